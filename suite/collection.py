@@ -1,0 +1,134 @@
+"""The stored collection (A8, B1, B2, B4-B6, G1, G2, I3, O4)."""
+
+from pyspark.sql import functions as F
+
+from gleanery.operators import summaries as G
+from gleanery.operators.validation import validate_rows
+from gleanery.session import scratch_path
+from gleanery.sources.collection import Collection, collection_rows
+from suite import inputs as I
+from suite import query
+
+
+def stored(spark, sf, **options) -> Collection:
+    """A fresh collection in the shared folder holding all embeddings."""
+    collection = Collection(spark, scratch_path(spark, "collection"), I.DIMENSION).create()
+    collection.append(I.vector_chunks(spark, sf), **options)
+    return collection
+
+
+def _shown(rows):
+    return rows.select(
+        "doc_id", "chunk_id", "content", "content_type", "embedding_model", "metadata.source",
+        I.big("metadata.chunk_index").alias("chunk_index"),
+        F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("vector_sum"),
+    )
+
+
+SHOWN = "doc_id, chunk_id, content, content_type, 'minilm' AS embedding_model, source, CAST(chunk_index AS BIGINT) AS chunk_index, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS vector_sum"
+
+
+@query("append_chunks", f"""
+WITH {I.CHUNK_CTE} SELECT coalesce(CASE WHEN vec_id % 9 <> 0 THEN doc_id END, '') AS doc_id, chunk_id, content, content_type,
+  'minilm' AS embedding_model, source, CAST(chunk_index AS BIGINT) AS chunk_index, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS vector_sum
+FROM c WHERE vec_id % 10 <> 0 AND content_type IN ('python', 'text')""")
+def append_chunks(spark, sf):
+    """Some vectors too short, some document ids missing, one content type not admitted; read back."""
+    chunks = I.vector_chunks(spark, sf).withColumn(
+        "vector", F.expr("CASE WHEN vec_id % 10 = 0 THEN slice(vector, 1, 63) ELSE vector END")
+    ).withColumn("doc_id", F.expr("CASE WHEN vec_id % 9 <> 0 THEN doc_id END"))
+    collection = Collection(spark, scratch_path(spark, "collection"), I.DIMENSION).create()
+    collection.append(chunks, embedding_model="minilm", content_types=["python", "text"])
+    return _shown(collection.read())
+
+
+@query("append_documents", f"""
+WITH {I.CHUNK_CTE}, d AS (SELECT doc_id, count(*) FILTER (vec_id % 2 = 0) AS n_stored FROM c GROUP BY doc_id)
+SELECT doc_id, n_stored FROM d""")
+def append_documents(spark, sf):
+    """Documents with nested chunks, every second vector missing: all ids come back, only valid chunks are stored."""
+    c = I.vector_chunks(spark, sf).withColumn("vector", F.expr("CASE WHEN vec_id % 2 = 0 THEN vector END"))
+    documents = c.groupBy("doc_id").agg(
+        F.min("content_type").alias("content_type"), F.min("source").alias("source"),
+        F.collect_list(F.struct("chunk_id", "content", "vector", "chunk_index")).alias("chunks"),
+    )
+    collection = Collection(spark, scratch_path(spark, "collection"), I.DIMENSION).create()
+    ids = collection.append_documents(documents)
+    counts = collection.read().groupBy("doc_id").agg(F.count("*").alias("n"))
+    return ids.join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_stored"))
+
+
+@query("scan_collection", f"WITH {I.CHUNK_CTE} SELECT doc_id, chunk_id, content FROM c WHERE content_type = 'python' AND doc_id LIKE 'doc1%'")
+def scan_collection(spark, sf):
+    return stored(spark, sf).scan(F.col("doc_id").like("doc1%"), ["doc_id", "chunk_id", "content"], {"content_type": "python"})
+
+
+@query("create_collection", "SELECT (SELECT count(*) FROM embeddings) AS kept, CAST(0 AS BIGINT) AS after_drop, CAST(9 AS BIGINT) AS n_columns")
+def create_collection(spark, sf):
+    """Creating an existing collection keeps it; ``drop_old`` replaces it."""
+    collection = stored(spark, sf)
+    kept = collection.create().read().agg(F.count("*").alias("kept")).first()["kept"]
+    columns = len(collection.read().columns)
+    dropped = collection.create(drop_old=True).read()
+    return dropped.agg(F.count("*").alias("after_drop")).select(
+        F.lit(kept).cast("bigint").alias("kept"), "after_drop", F.lit(columns).cast("bigint").alias("n_columns")
+    )
+
+
+@query("delete_document", f"""
+WITH {I.CHUNK_CTE} SELECT 'row' AS kind, chunk_id AS id, true AS flag FROM c WHERE label <> 3
+UNION ALL SELECT DISTINCT 'asked', doc_id, true FROM (SELECT concat('label', label) AS doc_id FROM embeddings WHERE label = 3)
+UNION ALL SELECT 'asked', 'no such document', false""")
+def delete_document(spark, sf):
+    """Delete one of ten documents that hold everything, and one that does not exist."""
+    collection = Collection(spark, scratch_path(spark, "collection"), I.DIMENSION).create()
+    collection.append(I.vector_chunks(spark, sf).withColumn("doc_id", F.concat(F.lit("label"), "label")))
+    asked = spark.createDataFrame([("label3",), ("no such document",)], "doc_id string")
+    outcome = collection.delete(asked)
+    return collection.read().select(F.lit("row").alias("kind"), F.col("chunk_id").alias("id"), F.lit(True).alias("flag")).unionByName(
+        outcome.select(F.lit("asked").alias("kind"), F.col("doc_id").alias("id"), F.col("deleted").alias("flag"))
+    )
+
+
+@query("clear_collection", "SELECT (SELECT count(*) FROM embeddings) AS before, CAST(0 AS BIGINT) AS after")
+def clear_collection(spark, sf):
+    collection = stored(spark, sf)
+    before = collection.read().count()
+    collection.clear()
+    return collection.read().agg(F.count("*").alias("after")).select(F.lit(before).cast("bigint").alias("before"), "after")
+
+
+@query("collection_stats", f"""
+WITH {I.CHUNK_CTE} SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, CAST(64 AS BIGINT) AS dimension,
+ 'IVF_FLAT' AS index_type, 'L2' AS metric_type FROM c""")
+def collection_stats(spark, sf):
+    return G.collection_stats(collection_rows(I.vector_chunks(spark, sf)), I.DIMENSION).withColumn("dimension", I.big("dimension"))
+
+
+@query("reassemble_document", f"""
+WITH {I.CHUNK_CTE} SELECT doc_id, string_agg(content, concat(chr(10), chr(10)) ORDER BY chunk_index, chunk_id) AS content,
+ arg_min(source, chunk_index) AS source, count(*) AS n_chunks FROM c GROUP BY doc_id""")
+def reassemble_document(spark, sf):
+    return stored(spark, sf).documents().select("doc_id", "content", "metadata.source", "n_chunks")
+
+
+@query("chunks_in_order", f"""
+WITH {I.CHUNK_CTE} SELECT row_number() OVER (ORDER BY doc_id, chunk_index, chunk_id) AS position, chunk_id FROM c""")
+def chunks_in_order(spark, sf):
+    """The order, made visible as a position."""
+    from gleanery.operators.ordering import global_rank
+
+    ordered = G.chunks_in_order(I.vector_chunks(spark, sf).select("doc_id", "chunk_index", "chunk_id"))
+    ranked = global_rank(ordered, [F.asc("doc_id"), F.asc("chunk_index"), F.asc("chunk_id")], "position")
+    return ranked.select(I.big("position").alias("position"), "chunk_id")
+
+
+@query("validate_rows", """
+SELECT doc_id, concat_ws(',', CASE WHEN strlen(text) > 65535 THEN 'content_too_long' END,
+  CASE WHEN strlen(concat(source, substr(text, 1, 45))) > 50 THEN 'content_type_too_long' END) AS reasons FROM documents""")
+def validate_rows_query(spark, sf):
+    rows = I.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.lit("c").alias("chunk_id"), F.col("text").alias("content"),
+        F.concat("source", F.substring("text", 1, 45)).alias("content_type"), F.lit("m").alias("embedding_model"),
+    )
+    return validate_rows(rows).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.array_join("reasons", ",").alias("reasons"))

@@ -1,0 +1,176 @@
+"""Ingest sources, jobs, validation and streams (A1, A2, G4, G5, M, O1-O3)."""
+
+from pyspark.sql import functions as F
+
+from gleanery.operators import summaries as G
+from gleanery.operators import validation as V
+from gleanery.plans.ingest import ingest_documents
+from gleanery.session import scratch_path
+from gleanery.sources import direct as D
+from gleanery.sources.collection import Collection
+from gleanery.streaming import ingest as M
+from suite import inputs as I
+from suite import query
+from suite.chunks import DOCS_CTE
+from suite.splitter_sql import splitter_query
+
+from gleanery import schema
+
+
+@query("source_direct", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'python' ELSE 'text' END AS content_type,
+       md5(text) AS content_md5, 'alpha' AS project FROM documents""")
+def source_direct(spark, sf):
+    sources = I.table(spark, sf, "documents").select(
+        "doc_id", F.col("text").alias("content"), "source",
+        F.expr("CASE doc_id % 3 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'Python' ELSE 'application/x-unknown' END").alias("content_type"),
+    )
+    docs = D.direct_documents(sources, F.create_map(F.lit("project"), F.lit("alpha")))
+    return docs.select("doc_id", "source", "content_type", F.md5("content").alias("content_md5"), F.col("extra")["project"].alias("project"))
+
+
+@query("source_files", """
+SELECT doc_id // 500 AS block, 'text' AS content_type, md5(string_agg(concat(text, chr(10)), '' ORDER BY doc_id)) AS content_md5
+FROM documents GROUP BY doc_id // 500""")
+def source_files(spark, sf):
+    """The documents as text files of at most 500 documents, read back as whole files."""
+    path = scratch_path(spark, "files")
+    blocks = I.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 500).alias("block"), "doc_id", F.col("text").alias("value"))
+    blocks.repartition("block").sortWithinPartitions("block", "doc_id").drop("doc_id").write.partitionBy("block").text(path)
+    docs = D.file_documents(spark, path)
+    return docs.select(
+        F.regexp_extract("source", "block=([0-9]+)", 1).cast("bigint").alias("block"), "content_type", F.md5("content").alias("content_md5")
+    )
+
+
+@query("ingest_results", f"""
+WITH {I.CHUNK_CTE} SELECT doc_id, CAST(0 AS BIGINT) AS part, string_agg(chunk_id, ' ' ORDER BY chunk_index, chunk_id) AS chunks,
+ coalesce(string_agg(chunk_id, ' ' ORDER BY chunk_index, chunk_id) FILTER (vec_id % 4 <> 0), '') AS chunk_ids FROM c GROUP BY doc_id""")
+def ingest_results(spark, sf):
+    chunks = I.vector_chunks(spark, sf).withColumn("vector", F.expr("CASE WHEN vec_id % 4 <> 0 THEN vector END"))
+    return G.ingest_results(chunks, I.DIMENSION).select(
+        "doc_id", "part", F.array_join("chunks", " ").alias("chunks"), F.array_join("chunk_ids", " ").alias("chunk_ids")
+    )
+
+
+@query("ingest_job_summary", """
+WITH e AS (SELECT concat(user_id, '-', CAST(CAST(ts AS DATE) AS VARCHAR)) AS job_id, event_id, event_type = 'error' AS bad FROM events)
+SELECT job_id, CASE WHEN bool_or(bad) THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN bool_or(bad) THEN 'could not read source' ELSE concat('Ingested ', count(DISTINCT event_id), ' documents') END AS message,
+  CASE WHEN bool_or(bad) THEN '' ELSE string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY CAST(event_id AS VARCHAR)) END AS document_ids
+FROM e GROUP BY job_id""")
+def ingest_job_summary(spark, sf):
+    """A user's events of one day as one job; an error event fails it."""
+    log = I.table(spark, sf, "events").select(
+        F.concat_ws("-", F.col("user_id"), F.to_date("ts")).alias("job_id"),
+        F.col("event_id").cast("string").alias("document_id"),
+        F.when(F.col("event_type") == "error", "could not read source").alias("error"),
+    )
+    return G.ingest_job_summary(log).select("job_id", "status", "message", F.array_join("document_ids", " ").alias("document_ids"))
+
+
+CHUNKED_SQL = splitter_query(DOCS_CTE, "docs", schema.TEXT_SEPARATORS, 1000, 200)
+STORED_SQL = f"SELECT concat(doc_id, '_chunk_', chunk_index) AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, content_md5 FROM ({CHUNKED_SQL})"
+
+
+def _as_documents(frame):
+    return frame.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), "source",
+        F.lit("text").alias("content_type"),
+    )
+
+
+def _stored_chunks(collection):
+    return collection.read().select("chunk_id", "doc_id", F.md5("content").alias("content_md5"))
+
+
+@query("ingest_documents", STORED_SQL)
+def ingest_documents_query(spark, sf):
+    """Whole batch plan: documents -> chunks -> vectors -> collection, read back."""
+    collection = Collection(spark, scratch_path(spark, "collection")).create()
+    ingest_documents(_as_documents(I.spread(I.table(spark, sf, "documents"))), collection, "job-1")
+    return _stored_chunks(collection)
+
+
+@query("stream_ingest", STORED_SQL)
+def stream_ingest(spark, sf):
+    """The same plan as a stream, which must store the same chunks."""
+    path = f"{sf}/documents.parquet"
+    source = M.stream_table(spark, path, spark.read.parquet(path).schema)
+    collection = Collection(spark, scratch_path(spark, "collection")).create()
+    stream = M.stream_ingest(
+        _as_documents(source), collection, scratch_path(spark, "job-log"), scratch_path(spark, "checkpoint"), "stream-1"
+    )
+    stream.awaitTermination()
+    return _stored_chunks(collection)
+
+
+@query("stream_seen_urls", "SELECT DISTINCT props AS url FROM events")
+def stream_seen_urls(spark, sf):
+    path = f"{sf}/events.parquet"
+    source = M.stream_table(spark, path, spark.read.parquet(path).schema)
+    out = scratch_path(spark, "seen")
+    M.write_table(M.seen_urls(source.select(F.col("props").alias("url"))), out, scratch_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.schema("url string").parquet(out)
+
+
+@query("stream_seen_urls_watermark", "SELECT DISTINCT concat(user_id, '/', props) AS url FROM events")
+def stream_seen_urls_watermark(spark, sf):
+    """Bounded memory: the delay covers the table's whole time range, so the result is the same."""
+    path = f"{sf}/events.parquet"
+    source = M.stream_table(spark, path, spark.read.parquet(path).schema).select(
+        "ts", F.concat_ws("/", F.col("user_id"), F.col("props")).alias("url")
+    )
+    out = scratch_path(spark, "seen")
+    M.write_table(M.seen_urls(source, "ts", "3650 days").select("url"), out, scratch_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.schema("url string").parquet(out)
+
+
+@query("stream_batches", """
+SELECT 'completed' AS status, count(*) AS n_documents, CAST(ceil(ceil(count(*) / 100.0) / 4) AS BIGINT) AS n_batches FROM documents""")
+def stream_batches(spark, sf):
+    """Files of 100 documents, four files per micro-batch."""
+    files = scratch_path(spark, "files")
+    docs = I.table(spark, sf, "documents")
+    docs.coalesce(1).write.option("maxRecordsPerFile", 100).parquet(files)
+    collection = Collection(spark, scratch_path(spark, "collection")).create()
+    log = scratch_path(spark, "job-log")
+    source = M.stream_table(spark, files, docs.schema, files_per_batch=4)
+    M.stream_ingest(_as_documents(source), collection, log, scratch_path(spark, "checkpoint"), "batches").awaitTermination()
+    rows = spark.read.schema("job_id string, document_id string, error string, batch string").parquet(log)
+    return rows.agg(
+        F.when(F.bool_or(F.col("error").isNotNull()), "failed").otherwise("completed").alias("status"),
+        F.count("document_id").alias("n_documents"), F.countDistinct("batch").alias("n_batches"),
+    )
+
+
+@query("validate_sources", """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'exclusive' WHEN 1 THEN 'empty' ELSE '' END AS reasons FROM documents""")
+def validate_sources(spark, sf):
+    pick = lambda *rests: F.when((F.col("doc_id") % 4).isin(*rests), F.col("source"))
+    sources = I.table(spark, sf, "documents").select(
+        "doc_id", pick(0, 2).alias("url"), pick(0).alias("file_path"), F.when(F.col("doc_id") % 4 == 3, F.col("text")).alias("content")
+    )
+    return V.validate_sources(sources).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("validate_chunking", """
+WITH r AS (SELECT doc_id, n_chars % 2300 AS s, doc_id % 600 AS o, doc_id % 3 AS t FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN s < 100 OR s > 2000 THEN 'chunk_size_range' END, CASE WHEN o > 500 THEN 'chunk_overlap_range' END,
+  CASE WHEN t = 0 THEN 'max_tokens_positive' END, CASE WHEN o > s THEN 'overlap_exceeds_size' END) AS reasons FROM r""")
+def validate_chunking(spark, sf):
+    requests = I.table(spark, sf, "documents").select(
+        "doc_id", (F.col("n_chars") % 2300).alias("chunk_size"), (F.col("doc_id") % 600).alias("chunk_overlap"),
+        (F.col("doc_id") % 3).alias("max_tokens"),
+    )
+    return V.validate_chunking(requests).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("validate_search", """
+SELECT event_id, CASE WHEN user_id BETWEEN 1 AND 100 THEN 'accepted' ELSE 'k_range' END AS outcome FROM events""")
+def validate_search(spark, sf):
+    requests = I.table(spark, sf, "events").select("event_id", F.col("user_id").alias("k"))
+    accepted, rejected = V.split_valid(V.validate_search(requests))
+    return accepted.select("event_id", F.lit("accepted").alias("outcome")).unionByName(
+        rejected.select("event_id", F.array_join("reasons", ",").alias("outcome"))
+    )

@@ -1,0 +1,185 @@
+"""Vector search, filters, cells and text search (F5, G6, H4, K, L, C19)."""
+
+from pyspark.sql import functions as F
+
+from gleanery.operators import chunking as C
+from gleanery.operators import embedding as E
+from gleanery.operators import ivf
+from gleanery.operators import search as S
+from gleanery.session import cut_lineage
+from gleanery.sources.collection import collection_rows
+from suite import inputs as I
+from suite import query
+from suite.chunks import FIXED_CTE, bag_of_words_ctes
+
+SQUARED = "pow(list_distance(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 2)"
+DOT = "list_inner_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[]))"
+COSINE = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[]))"
+
+
+def _topk_sql(k: int, score: str = SQUARED, direction: str = "ASC", where: str = "true") -> str:
+    return f"""
+WITH {I.CENTROID_CTE}, {I.CHUNK_CTE},
+scored AS (SELECT query_id, chunk_id, doc_id, content, source, {score} AS s FROM c, q WHERE {where}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s {direction}, chunk_id) AS rank FROM scored)
+SELECT CAST(query_id AS BIGINT) AS query_id, rank, chunk_id AS id, doc_id AS document_id, content, round(s, 6) AS score
+FROM ranked WHERE rank <= {k}"""
+
+
+def _stored(spark, sf):
+    return collection_rows(I.vector_chunks(spark, sf))
+
+
+def _shown(hits):
+    return hits.select(
+        "query_id", I.big("rank").alias("rank"), "id", "document_id", "content", F.round("score", 6).alias("score")
+    )
+
+
+FILTERS = {"content_type": ["markdown", "python"], "tenant": "ignored"}
+FILTERS_SQL = "content_type IN ('markdown', 'python')"
+
+
+@query("vector_topk", _topk_sql(5, where=FILTERS_SQL))
+def vector_topk(spark, sf):
+    """Flagship: exact top 5 with a filter, for the mean vector of every label."""
+    hits = S.vector_search(I.centroid_queries(spark, sf), _stored(spark, sf), 5, FILTERS, include_metadata=False)
+    return _shown(hits)
+
+
+@query("vector_metrics", " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, * FROM ({_topk_sql(10, s, d)})"
+    for m, s, d in (("L2", SQUARED, "ASC"), ("IP", DOT, "DESC"), ("COSINE", COSINE, "DESC"))
+))
+def vector_metrics(spark, sf):
+    queries, stored = cut_lineage(I.centroid_queries(spark, sf)), _stored(spark, sf)
+    found = [
+        _shown(S.vector_search(queries, stored, 10, metric=m, include_metadata=False)).select(F.lit(m).alias("metric"), "*")
+        for m in S.METRICS
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+SELF_SQL = f"""
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings), {I.CHUNK_CTE},
+scored AS (SELECT query_id, chunk_id, {SQUARED} AS s FROM c, q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, chunk_id) AS rank FROM scored)
+SELECT query_id, rank, chunk_id, round(s, 6) AS score FROM ranked WHERE rank <= 5"""
+
+
+@query("topk_per_query", SELF_SQL)
+def topk_per_query(spark, sf):
+    """Every stored vector as a query: the shuffled block plan, no broadcast of the queries."""
+    stored = _stored(spark, sf)
+    queries = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = S.nearest(queries, stored, 5, output=[], broadcast_bytes=0)
+    return hits.select("query_id", I.big("rank").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("cross_candidates", f"""
+WITH {I.CENTROID_CTE}
+SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS pairs, round(min({SQUARED}), 6) AS low, round(max({SQUARED}), 6) AS high
+FROM embeddings, q GROUP BY query_id""")
+def cross_candidates(spark, sf):
+    s = S.candidate_summary(I.centroid_queries(spark, sf), _stored(spark, sf))
+    return s.select("query_id", "pairs", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("project_hits", f"""
+SELECT h.query_id, h.rank, h.id, h.document_id, h.content, h.score, concat('https://src', e.label, '.example.com/it', chr(39), 's') AS source,
+       round(CAST(e.embedding[1] AS DOUBLE), 6) AS first_value
+FROM ({_topk_sql(3)}) h JOIN embeddings e ON h.id = concat('vec', e.vec_id)""")
+def project_hits(spark, sf):
+    hits = S.vector_search(I.centroid_queries(spark, sf), _stored(spark, sf), 3, include_vectors=True)
+    return hits.select(
+        "query_id", I.big("rank").alias("rank"), "id", "document_id", "content", F.round("score", 6).alias("score"),
+        "metadata.source", F.round(F.col("vector")[0].cast("double"), 6).alias("first_value"),
+    )
+
+
+@query("search_totals", f"SELECT query_id, count(*) AS total FROM ({_topk_sql(7, where=FILTERS_SQL)}) GROUP BY query_id")
+def search_totals(spark, sf):
+    hits = S.vector_search(I.centroid_queries(spark, sf), _stored(spark, sf), 7, FILTERS, include_metadata=False)
+    return S.search_totals(hits)
+
+
+def _filter_sql(where: str) -> str:
+    return f"WITH {I.CHUNK_CTE} SELECT chunk_id, doc_id, content_type, source FROM c WHERE {where}"
+
+
+def _filtered(spark, sf, condition):
+    return _stored(spark, sf).where(condition).select("chunk_id", "doc_id", "content_type", "metadata.source")
+
+
+@query("filter_content_type", _filter_sql("content_type IN ('python', 'text')"))
+def filter_content_type(spark, sf):
+    return _filtered(spark, sf, S.filter_content_type(["python", "text"]))
+
+
+@query("filter_source", _filter_sql("source = concat('https://src4.example.com/it', chr(39), 's')"))
+def filter_source(spark, sf):
+    return _filtered(spark, sf, S.filter_source("https://src4.example.com/it's"))
+
+
+@query("filter_doc_id", _filter_sql("doc_id = 'doc7'"))
+def filter_doc_id(spark, sf):
+    return _filtered(spark, sf, S.filter_doc_id("doc7"))
+
+
+@query("combine_filters", _filter_sql("content_type = 'python' AND source = concat('https://src4.example.com/it', chr(39), 's')"))
+def combine_filters(spark, sf):
+    return _filtered(spark, sf, S.combine_filters(
+        {"content_type": "python", "source": "https://src4.example.com/it's", "unknown": 1}
+    ))
+
+
+NLIST = 16
+
+
+@query("ivf_assign")
+def ivf_assign(spark, sf):
+    """Every stored vector with its cell; each row's cell is the nearest centre (tested)."""
+    stored = _stored(spark, sf)
+    return ivf.ivf_assign(stored, ivf.train_cells(stored, NLIST)).select("chunk_id", I.big("_cell").alias("cell"))
+
+
+def _cells(spark, sf):
+    stored = _stored(spark, sf)
+    centers = ivf.train_cells(stored, NLIST)
+    return cut_lineage(ivf.ivf_assign(stored, centers)), centers
+
+
+@query("ivf_search")
+def ivf_search(spark, sf):
+    """Approximate: 4 of 16 cells probed."""
+    cells, centers = _cells(spark, sf)
+    hits = ivf.ivf_search(I.centroid_queries(spark, sf), cells, centers, 5, 4, output=["doc_id", "content"])
+    return _shown(S.project_hits(hits, include_metadata=False))
+
+
+@query("ivf_search_all_cells", _topk_sql(5))
+def ivf_search_all_cells(spark, sf):
+    """All cells probed, which must give the exact result."""
+    cells, centers = _cells(spark, sf)
+    hits = ivf.ivf_search(I.centroid_queries(spark, sf), cells, centers, 5, NLIST, output=["doc_id", "content"])
+    return _shown(S.project_hits(hits, include_metadata=False))
+
+
+@query("text_search", f"""
+WITH {FIXED_CTE},
+src AS (SELECT concat('d', doc_id, '_', i) AS id, content AS text FROM fixed UNION ALL SELECT concat('q', item_id), text FROM benchmark),
+{bag_of_words_ctes('src', 'id', 384)},
+norms AS (SELECT id, sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS sq FROM v GROUP BY id),
+dots AS (SELECT q.id AS qid, d.id AS did, sum(CAST(q.x AS DOUBLE) * CAST(d.x AS DOUBLE)) AS dot
+         FROM v q JOIN v d USING (dim) WHERE starts_with(q.id, 'q') AND starts_with(d.id, 'd') GROUP BY ALL),
+scored AS (SELECT qid, nq.sq + nd.sq - 2 * dot AS s FROM dots JOIN norms nq ON nq.id = qid JOIN norms nd ON nd.id = did),
+ranked AS (SELECT qid, s, row_number() OVER (PARTITION BY qid ORDER BY s) AS rank FROM scored)
+SELECT CAST(substr(qid, 2) AS BIGINT) AS query_id, rank, round(s, 5) AS score FROM ranked WHERE rank <= 5""")
+def text_search(spark, sf):
+    """Benchmark passages as text queries over the embedded chunks of all documents."""
+    chunks = C.chunk_fixed(I.documents(spark, sf))
+    loader = E.hashed_bag_of_words()
+    stored = collection_rows(E.embed_chunks(chunks.withColumn("content_type", F.lit("text")), loader))
+    queries = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = S.text_search(queries, stored, loader, k=5, include_metadata=False)
+    return hits.select("query_id", I.big("rank").alias("rank"), F.round("score", 5).alias("score"))
