@@ -32,11 +32,18 @@ def infer_document_type(content_type: Column, url: Column) -> Column:
 
 def extension_to_mime(name: Column) -> Column:
     """MIME type of a file name, by its last extension; null when unknown."""
-    extension = F.lower(F.regexp_extract(name, r"\.[^./\\]*$", 0))
-    mime = F.lit(None).cast("string")
-    for ext, value in MIME_BY_EXTENSION.items():
-        mime = F.when(extension == ext, value).otherwise(mime)
-    return mime
+    return lookup(MIME_BY_EXTENSION, F.lower(F.regexp_extract(name, r"\.[^./\\]*$", 0)))
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """Value of a key in a small fixed table; null when it is not there."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def type_of_mime(mime: Column) -> Column:
+    """Document type of a MIME string; a plain type name passes through, null is text."""
+    types = {value: kind for kind, value in MIME_BY_TYPE.items()} | {kind: kind for kind in DOCUMENT_TYPES}
+    return F.coalesce(lookup(types, F.lower(mime)), F.lit("text"))
 
 
 def route_extractor(mime: Column, known: list[str] | None = None) -> Column:

@@ -3,18 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.functions.content_types import coerce_content_type, extension_to_mime, infer_document_type
+from gleanery.functions.content_types import extension_to_mime, infer_document_type, type_of_mime
 from gleanery.functions.metadata import attach_metadata
 from gleanery.functions.urls import document_id
-from gleanery.schema import MIME_BY_TYPE
-
-
-def type_of_mime(mime):
-    """Document type of a MIME string; a plain type name passes through."""
-    name = F.lower(mime)
-    for kind, value in MIME_BY_TYPE.items():
-        name = F.when(name == value, kind).otherwise(name)
-    return coerce_content_type(name)
 
 
 def direct_documents(sources: DataFrame, extra=None) -> DataFrame:
@@ -43,7 +34,7 @@ def file_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.select(
         document_id(F.col("path")).alias("doc_id"),
         F.col("path").alias("source"),
-        F.coalesce(type_of_mime(mime), F.lit("text")).alias("content_type"),
+        type_of_mime(mime).alias("content_type"),
         F.col("value").alias("content"),
         F.create_map().cast("map<string,string>").alias("extra"),
     )

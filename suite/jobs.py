@@ -119,7 +119,7 @@ def stream_seen_urls_watermark(spark, sf):
     """Bounded memory: the delay covers the table's whole time range, so the result is the same."""
     path = f"{sf}/events.parquet"
     source = M.stream_table(spark, path, spark.read.parquet(path).schema).select(
-        "ts", F.concat_ws("/", F.col("user_id"), F.col("props")).alias("url")
+        F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", F.col("user_id"), F.col("props")).alias("url")
     )
     out = scratch_path(spark, "seen")
     M.write_table(M.seen_urls(source, "ts", "3650 days").select("url"), out, scratch_path(spark, "checkpoint")).awaitTermination()
