@@ -13,18 +13,19 @@ from gleanery.schema import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE
 
 # A Markdown section: a header line (or nothing, for the preamble) followed by
 # whole fenced blocks and ordinary lines. Possessive loops keep it linear.
-_FENCE = r"^(?<f>`{3,}|~{3,})[^\n]*\n(?:[^\n]*\n)*?\k<f>[ \t]*(?:\n|\z)"
+_FENCE = r"^(?<f>`{3,}|~{3,})[^\n]*\n(?:(?!\k<f>[ \t]*(?:\n|\z))[^\n]*\n)*+\k<f>[ \t]*(?:\n|\z)"
 _ATX = r"^#{1,6}(?:[ \t][^\n]*)?(?:\n|\z)"
 _SETEXT = r"^(?![ \t]*(?:\n|[-*+>|]))[^\n]+\n(?:=+|-{2,})[ \t]*(?:\n|\z)"
 _LINE = r"(?:[^\n]*\n|[^\n]+\z)"
 _PLAIN = rf"(?!{_ATX}|{_SETEXT}){_LINE}"
-SECTION_PATTERN = rf"(?m)(?:{_ATX}|{_SETEXT}|{_FENCE}|{_LINE})(?:{_FENCE}|{_PLAIN})*+"
+# A section that opens with a fence needs a group name of its own there.
+_OPENING_FENCE = _FENCE.replace("<f>", "<g>")
+SECTION_PATTERN = rf"(?m)(?:{_ATX}|{_SETEXT}|{_OPENING_FENCE}|{_LINE})(?:{_FENCE}|{_PLAIN})*+"
 
 
 def markdown_sections(text: Column) -> Column:
     """Array of consecutive section texts whose concatenation is the document."""
-    pattern = SECTION_PATTERN.replace("?<f>", "?<f1>", 1).replace(r"\k<f>", r"\k<f1>", 1)
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(SECTION_PATTERN), F.lit(0))
 
 
 def header_level(section: Column) -> Column:

@@ -25,22 +25,23 @@ def hashed_bag_of_words(dimension: int = DEFAULT_DIMENSION) -> Loader:
     modulo the dimension, so vectors are equal on every machine.
     """
 
-    def load() -> Model:
-        bucket_of: dict[str, int] = {}
-        blanks = re.compile("[ \t\n\r\f\x0b]+")
+    class Buckets(dict):
+        """Bucket of every token met so far; a full table computes without storing."""
 
-        def bucket(token: str) -> int:
-            found = bucket_of.get(token)
-            if found is None:
-                found = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimension
-                if len(bucket_of) < 1_000_000:
-                    bucket_of[token] = found
+        def __missing__(self, token: str) -> int:
+            found = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimension
+            if len(self) < 1_000_000:
+                self[token] = found
             return found
 
+    def load() -> Model:
+        bucket_of = Buckets().__getitem__
+        blanks = re.compile("[ \t\n\r\f\x0b]+")
+
         def embed(texts: list[str]) -> np.ndarray:
             counts = np.zeros((len(texts), dimension))
             for row, text in enumerate(texts):
-                buckets = [bucket(token) for token in blanks.split(text.lower()) if token]
+                buckets = list(map(bucket_of, filter(None, blanks.split(text.lower()))))
                 if buckets:
                     counts[row] = np.bincount(buckets, minlength=dimension)
             norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))

@@ -21,6 +21,7 @@ from gleanery.schema import DEFAULT_K, MAX_K, MIN_K
 from gleanery.session import cut_lineage
 
 METRICS = ("L2", "IP", "COSINE")
+_ID_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 # Query sets up to this size are sent to every task; larger ones are shuffled.
 BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 50_000
@@ -167,15 +168,21 @@ def _output_type(queries: DataFrame, corpus: DataFrame) -> T.StructType:
     )
 
 
-def _scan_topk(block: QueryBlock, corpus: DataFrame, out: T.StructType, k: int, metric: str, vector: str, chunk_id: str):
+def _id_type(queries: DataFrame) -> pa.DataType:
+    name = queries.schema["query_id"].dataType.simpleString()
+    if name not in _ID_TYPES:
+        raise TypeError(f"query_id must be one of {', '.join(_ID_TYPES)}, not {name}")
+    return _ID_TYPES[name]
+
+
+def _scan_topk(id_type: pa.DataType, block: QueryBlock, corpus: DataFrame, out: T.StructType, k: int, metric: str, vector: str, chunk_id: str):
     """Every task scans its part of the collection against all queries. No shuffle."""
 
     def run(batches):
         state = RunningTopK(block, k, metric)
         for batch in batches:
             if batch.num_rows:
-                # integers and strings are the only id types; Arrow infers both
-                yield _scored_batch(batch, state, None, vector, chunk_id)
+                yield _scored_batch(batch, state, id_type, vector, chunk_id)
 
     return corpus.mapInArrow(run, out)
 
@@ -201,7 +208,7 @@ def _block_topk(queries: DataFrame, corpus: DataFrame, out: T.StructType, k: int
     def pairs(df: DataFrame, own: str, other: str, own_key: str, other_key: str) -> DataFrame:
         return (
             df.join(sizes, "_cell")
-            .withColumn(own_key, F.pmod("_n", F.col(own)).cast("int"))
+            .withColumn(own_key, F.pmod(F.xxhash64("_n"), F.col(own)).cast("int"))
             .withColumn(other_key, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             .drop("_n", own, other)
         )
@@ -210,21 +217,19 @@ def _block_topk(queries: DataFrame, corpus: DataFrame, out: T.StructType, k: int
     left = pairs(stored, "_stored_blocks", "_probe_blocks", "_stored_block", "_probe_block")
     right = pairs(probes, "_probe_blocks", "_stored_blocks", "_probe_block", "_stored_block")
 
+    id_type = _id_type(queries)
+
     def run(rows: pa.Table, wanted: pa.Table) -> pa.Table:
-        block = QueryBlock(
-            wanted.column("query_id").to_pylist(), _matrix(wanted.column("_query").combine_chunks())
-        )
-        query_type = wanted.schema.field("query_id").type
-        state = RunningTopK(block, k, metric)
         rows = rows.drop_columns(["_stored_block", "_probe_block"])
-        found = [
-            _scored_batch(b, state, query_type, vector, chunk_id) for b in rows.combine_chunks().to_batches() if b.num_rows
-        ] if wanted.num_rows else []
-        if not found:
-            empty = rows.slice(0, 0).drop_columns(["_cell"])
-            empty = empty.add_column(0, "query_id", pa.array([], query_type))
-            return empty.append_column("score", pa.array([], pa.float64()))
-        return pa.Table.from_batches(found)
+        found = []
+        if rows.num_rows and wanted.num_rows:
+            vectors = _matrix(wanted.column("_query").combine_chunks())
+            state = RunningTopK(QueryBlock(wanted.column("query_id").to_pylist(), vectors), k, metric)
+            found = [_scored_batch(b, state, id_type, vector, chunk_id) for b in rows.combine_chunks().to_batches()]
+        if found:
+            return pa.Table.from_batches(found)
+        empty = rows.slice(0, 0).drop_columns(["_cell"]).add_column(0, "query_id", pa.array([], id_type))
+        return empty.append_column("score", pa.array([], pa.float64()))
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, out)
 
@@ -266,7 +271,7 @@ def nearest(
     else:
         if with_cells:
             rows = rows.where(F.col("_cell").isin(sorted({c for cells in block.cells for c in cells})))
-        scored = _scan_topk(block, rows, out, k, metric, vector, chunk_id)
+        scored = _scan_topk(_id_type(asked), block, rows, out, k, metric, vector, chunk_id)
     return topk_per_query(scored, k, metric, chunk_id).select(
         "query_id", "rank", *[c for c in columns if c != vector or vector in output], "score"
     )
@@ -297,6 +302,7 @@ def candidate_summary(queries: DataFrame, corpus: DataFrame, metric: str = "L2",
     block, dimension = _bounded_queries(asked, BROADCAST_QUERY_BYTES)
     if block is None:
         raise ValueError("the query set is too large for a candidate summary")
+    id_type, id_name = _id_type(asked), asked.schema["query_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -305,7 +311,7 @@ def candidate_summary(queries: DataFrame, corpus: DataFrame, metric: str = "L2",
                 scores = [exact_scores(q, rows, metric) for q in block.vectors]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(block.ids),
+                        pa.array(block.ids, id_type),
                         pa.array([len(s) for s in scores], pa.int64()),
                         pa.array([s.min() for s in scores], pa.float64()),
                         pa.array([s.max() for s in scores], pa.float64()),
@@ -313,10 +319,9 @@ def candidate_summary(queries: DataFrame, corpus: DataFrame, metric: str = "L2",
                     ["query_id", "pairs", "low", "high"],
                 )
 
-    id_type = queries.schema["query_id"].dataType.simpleString()
     rows = corpus.where(has_dimension(F.col(vector), dimension)).select(vector)
     return (
-        rows.mapInArrow(run, f"query_id {id_type}, pairs bigint, low double, high double")
+        rows.mapInArrow(run, f"query_id {id_name}, pairs bigint, low double, high double")
         .groupBy("query_id")
         .agg(F.sum("pairs").alias("pairs"), F.min("low").alias("low"), F.max("high").alias("high"))
     )
