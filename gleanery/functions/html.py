@@ -7,8 +7,6 @@ expressions and stays in one JVM projection.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleanery.functions.urls import resolve_url
-
 # Elements removed when their flag is off (fixed values). Pairs are tried before
 # stand-alone tags so that the body of an element goes with it.
 ELEMENT_PATTERNS = {
@@ -93,10 +91,6 @@ def page_links(html: Column) -> Column:
     )
 
 
-def absolute_links(base: Column, html: Column) -> Column:
-    return F.transform(page_links(html), lambda href: resolve_url(base, href))
-
-
 def strip_html_elements(html: Column, keep: set[str] = frozenset(KEPT_BY_DEFAULT)) -> Column:
     """Remove every element kind whose name is not in ``keep``."""
     unknown = set(keep) - set(ELEMENT_PATTERNS)

@@ -49,8 +49,8 @@ def split_sections(docs: DataFrame, text: str = "content") -> DataFrame:
     """One row per Markdown section with its level and header text."""
     keep = [c for c in docs.columns if c != text]
     return docs.select(
-        *keep, F.posexplode(markdown_sections(F.col(text))).alias("section_index", "section_text")
-    ).select(
+        *keep, F.posexplode_outer(markdown_sections(F.col(text))).alias("section_index", "section_text")
+    ).where("section_text is not null").select(
         *keep,
         "section_index",
         header_level(F.col("section_text")).alias("header_level"),
@@ -97,30 +97,33 @@ def chunk_documents(
     keep = [c for c in docs.columns if c != text]
     whole = F.array(F.col(text))
     sections = F.when(kind == "sections", markdown_sections(F.col(text))).otherwise(whole) if sectioned else whole
-    chunks = chunk_array(F.col("_sections"), kind, _as_column(size), _as_column(overlap), separators)
-    split = docs.withColumn("_sections", sections).withColumn("_chunks", chunks)
-    if sectioned:
-        split = split.withColumn("_headers", F.transform("_sections", _header)).withColumn(
-            "_chunks",
-            F.transform("_chunks", lambda c: c.withField("header", F.get("_headers", c.getField("section_index")))),
-        )
+    headers = F.transform("_sections", _header) if sectioned else F.lit(None).cast(f"array<{_HEADER}>")
+    chunks = chunk_array(
+        F.col("_sections"), headers, kind, _as_column(size), _as_column(overlap), separators
+    )
     # The outer explode keeps Catalyst from pushing a "not empty" filter below
     # the generator, which would run the Python function a second time.
-    rows = split.select(*keep, F.posexplode_outer("_chunks").alias("chunk_index", "_c")).where("_c is not null")
-    fields = ["section_index", "section_chunk_index", "section_chunk_count"] if sectioned else []
+    rows = (
+        docs.withColumn("_sections", sections)
+        .withColumn("_chunks", chunks)
+        .select(*keep, F.posexplode_outer("_chunks").alias("chunk_index", "_c"))
+        .where("_c is not null")
+    )
+    fields = ["section_index", "section_chunk_index", "section_chunk_count", "header_level", "header_text"]
     return rows.select(
         *keep,
         chunk_id(F.col(doc_id), F.col("chunk_index")).alias("chunk_id"),
         "chunk_index",
         "_c.chunk_count",
         "_c.start",
-        *[f"_c.{name}" for name in fields],
-        *([F.col("_c.header.level").alias("header_level"), F.col("_c.header.text").alias("header_text")]
-          if sectioned else []),
+        *([f"_c.{name}" for name in fields] if sectioned else []),
         "_c.content",
     )
 
 
+_HEADER = "struct<level:int,text:string>"
+
+
 def _header(section: Column) -> Column:
     return F.struct(header_level(section).alias("level"), header_text(section).alias("text"))
 

@@ -133,7 +133,7 @@ def bounded_crawl(
     first, then URLs in order.
     """
     links = cut_lineage(links.select("url", "target").distinct())
-    known = pages.select("url").distinct()
+    known = cut_lineage(pages.select("url").distinct())
     level = cut_lineage(seeds.select("url").distinct().join(known, "url", "left_semi").withColumn("depth", F.lit(0)))
     reached = level
     for depth in range(1, max_depth + 1):

@@ -23,7 +23,9 @@ def top_n_per_group(
     salt, which is exact: the first n overall are among the first n of each part.
     """
     if n > _GROUP_LIMIT:
-        salt = F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))
+        # hashed from the row itself, so that a repeated task salts alike
+        hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        salt = F.pmod(F.xxhash64(*hashable), F.lit(_SALTS))
         df = df.withColumn("_salt", salt)
         part = W.partitionBy(*keys, "_salt").orderBy(*order)
         df = df.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= n).drop("_r", "_salt")

@@ -345,8 +345,8 @@ def vector_search(
 
 
 def text_search(queries: DataFrame, collection: DataFrame, loader: Loader, **options) -> DataFrame:
-    """Embed text queries (query_id, text), then search."""
-    return vector_search(embed_query(queries, loader), collection, **options)
+    """Embed text queries (query_id, text), then search. The model sees each query once."""
+    return vector_search(cut_lineage(embed_query(queries, loader)), collection, **options)
 
 
 def project_hits(hits: DataFrame, include_metadata: bool = True, include_vectors: bool = False) -> DataFrame:

@@ -97,12 +97,13 @@ def split_ranges(text: str, separators: Sequence[str], size: int, overlap: int):
 
 CHUNKS_TYPE = (
     "array<struct<section_index:int,section_chunk_index:int,section_chunk_count:int,"
-    "chunk_count:int,start:int,content:string>>"
+    "chunk_count:int,start:int,header_level:int,header_text:string,content:string>>"
 )
 
 
 def chunk_array(
     sections: Column,
+    headers: Column,
     kind: Column,
     size: Column,
     overlap: Column,
@@ -112,32 +113,38 @@ def chunk_array(
 
     One Arrow call per batch; sections are split one by one, so no chunk
     crosses a section, and ``start`` counts from the start of the document.
+    ``headers`` holds (level, text) per section, or is null.
     """
     custom = list(separators) if separators is not None else None
 
     @F.arrow_udf(CHUNKS_TYPE)
-    def chunks(sections: pa.Array, kind: pa.Array, size: pa.Array, overlap: pa.Array) -> pa.Array:
-        lengths, totals, rows = [0], [], ([], [], [], [], [])
-        for texts, name, limit, shared in zip(
-            sections.to_pylist(), kind.to_pylist(), size.to_pylist(), overlap.to_pylist()
+    def chunks(sections: pa.Array, headers: pa.Array, kind: pa.Array, size: pa.Array, overlap: pa.Array) -> pa.Array:
+        ends = [0]
+        section, position, in_section, in_document, start, level, header, content = rows = [[] for _ in range(8)]
+        for texts, heads, name, limit, shared in zip(
+            *(column.to_pylist() for column in (sections, headers, kind, size, overlap))
         ):
             offset = 0
             for number, text in enumerate(texts or []):
                 text = text or ""
+                head = heads[number] if heads else None
                 ranges = split_ranges(text, custom or SEPARATORS_BY_KIND[name], limit, shared)
-                for position, (lo, hi) in enumerate(ranges):
-                    for column, value in zip(rows, (number, position, len(ranges), offset + lo, text[lo:hi])):
-                        column.append(value)
+                n = len(ranges)
+                section.extend([number] * n)
+                position.extend(range(n))
+                in_section.extend([n] * n)
+                start.extend([offset + lo for lo, _ in ranges])
+                level.extend([head and head["level"]] * n)
+                header.extend([head and head["text"]] * n)
+                content.extend([text[lo:hi] for lo, hi in ranges])
                 offset += len(text)
-            totals.extend([len(rows[0]) - lengths[-1]] * (len(rows[0]) - lengths[-1]))
-            lengths.append(len(rows[0]))
-        fields = [
-            "section_index", "section_chunk_index", "section_chunk_count", "chunk_count", "start", "content",
-        ]
-        arrays = [pa.array(c, pa.int32()) for c in (*rows[:3], totals, rows[3])]
-        arrays.append(pa.array(rows[4], pa.string()))
-        return pa.ListArray.from_arrays(
-            pa.array(lengths, pa.int32()), pa.StructArray.from_arrays(arrays, fields)
-        )
-
-    return chunks(sections, kind, size, overlap)
+            total = len(content) - ends[-1]
+            in_document.extend([total] * total)
+            ends.append(len(content))
+        kinds = [pa.int32()] * 6 + [pa.string()] * 2
+        fields = ["section_index", "section_chunk_index", "section_chunk_count", "chunk_count", "start",
+                  "header_level", "header_text", "content"]
+        arrays = [pa.array(values, kind) for values, kind in zip(rows, kinds)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, fields))
+
+    return chunks(sections, headers, kind, size, overlap)

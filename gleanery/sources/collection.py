@@ -120,16 +120,20 @@ class Collection:
     def delete(self, doc_ids: DataFrame) -> DataFrame:
         """Delete documents by ``doc_id``: every asked id with ``deleted`` true or false."""
         asked = doc_ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
-        now = time.time_ns()
-        found = self.read().join(asked, "doc_id", "left_semi").select("doc_id").distinct()
-        found.withColumn("deleted_at", F.lit(now)).write.mode("append").parquet(self._deletions)
-        log = self.spark.read.schema(_DELETIONS).parquet(self._deletions).where(F.col("deleted_at") == now)
-        hit = log.select("doc_id").distinct().withColumn("_hit", F.lit(True))
-        return asked.join(hit, "doc_id", "left").select("doc_id", F.coalesce("_hit", F.lit(False)).alias("deleted"))
+        deleted = self._mark_deleted(self.read().join(asked, "doc_id", "left_semi")).withColumn("_hit", F.lit(True))
+        return asked.join(deleted, "doc_id", "left").select("doc_id", F.coalesce("_hit", F.lit(False)).alias("deleted"))
 
     def delete_document(self, doc_id: str) -> bool:
-        one = self.spark.createDataFrame([(doc_id,)], "doc_id string")
-        return self.delete(one).first()["deleted"]
+        """Delete one document; the id reaches the scan as a filter."""
+        return not self._mark_deleted(self.read().where(F.col("doc_id") == doc_id)).isEmpty()
+
+    def _mark_deleted(self, rows: DataFrame) -> DataFrame:
+        """Record the documents of ``rows`` as deleted now; their ids."""
+        now = time.time_ns()
+        marks = rows.select("doc_id").distinct().withColumn("deleted_at", F.lit(now))
+        marks.write.mode("append").parquet(self._deletions)
+        log = self.spark.read.schema(_DELETIONS).parquet(self._deletions)
+        return log.where(F.col("deleted_at") == now).select("doc_id").distinct()
 
     def stats(self, **options) -> DataFrame:
         return collection_stats(self.read(), self.dimension, **options)

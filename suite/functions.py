@@ -6,6 +6,7 @@ from gleanery.functions import content_types as ct
 from gleanery.functions import html as H
 from gleanery.functions import metadata as M
 from gleanery.functions import urls as U
+from gleanery.operators.pages import page_link_rows, page_metadata
 from gleanery.sources.responses import crawl_success
 from gleanery.sources.sitemaps import parse_sitemap_fields, sitemap_documents, sitemap_entry_json
 from suite import inputs as I
@@ -134,11 +135,7 @@ for _entity, _char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("
 SELECT page_id, trim({DECODED_TITLE}) AS title, '' AS description,
        regexp_extract(html, 'html lang="([a-z]+)"', 1) AS language, 'utf-8' AS encoding FROM pages""")
 def extract_page_metadata(spark, sf):
-    html = F.col("html")
-    return I.pages(spark, sf).select(
-        "page_id", H.page_title(html).alias("title"), H.page_description(html).alias("description"),
-        H.page_language(html).alias("language"), H.page_encoding(html).alias("encoding"),
-    )
+    return page_metadata(I.pages(spark, sf)).drop("url")
 
 
 LINKS_CTE = """
@@ -148,9 +145,7 @@ hrefs AS (SELECT page_id, url, html, unnest(regexp_extract_all(html, '<a href="(
 
 @query("extract_links", f"WITH {LINKS_CTE} SELECT page_id, CAST(pos AS BIGINT) AS pos, href, concat({I.HOST}, href) AS link FROM hrefs")
 def extract_links(spark, sf):
-    return I.pages(spark, sf).select(
-        "page_id", "url", F.posexplode(H.page_links(F.col("html"))).alias("pos", "href")
-    ).select("page_id", I.big("pos").alias("pos"), "href", U.resolve_url(F.col("url"), F.col("href")).alias("link"))
+    return page_link_rows(I.pages(spark, sf)).select("page_id", I.big("pos").alias("pos"), "href", "link")
 
 
 @query("filter_links", f"""
@@ -158,8 +153,7 @@ WITH {LINKS_CTE}, l AS (SELECT page_id, concat({I.HOST}, href) AS link FROM href
 SELECT page_id, link FROM l
 WHERE (contains(link, '.com/') OR contains(link, '.org/')) AND NOT regexp_matches(link, '/[A-Z]')""")
 def filter_links(spark, sf):
-    links = I.pages(spark, sf).select("page_id", F.explode(H.absolute_links(F.col("url"), F.col("html"))).alias("link"))
-    return links.where(U.link_allowed(F.col("link"), [r"\.com/", r"\.org/"], [r"/[A-Z]"]))
+    return page_link_rows(I.pages(spark, sf), [r"\.com/", r"\.org/"], [r"/[A-Z]"]).select("page_id", "link")
 
 
 @query("strip_html_elements", r"""
