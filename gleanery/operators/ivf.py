@@ -50,12 +50,22 @@ def _nearest_cells(vector: Column, centers: np.ndarray, n: int) -> Column:
 
 
 def ivf_assign(corpus: DataFrame, centers: np.ndarray, vector: str = "vector") -> DataFrame:
-    """Add ``_cell``; write the result partitioned by it to prune directories."""
+    """Add ``_cell``, the nearest cell of every row."""
     return corpus.where(F.size(vector) == centers.shape[1]).withColumn(
         "_cell", _nearest_cells(F.col(vector), centers, 1)[0]
     )
 
 
+def write_cells(cells: DataFrame, path: str) -> DataFrame:
+    """Store assigned rows in one directory per cell, so that a search reads only what it probes.
+
+    The rebalance hint gathers a cell's rows in few files and splits a cell
+    that holds very many of them.
+    """
+    cells.hint("rebalance", "_cell").write.mode("overwrite").partitionBy("_cell").parquet(path)
+    return cells.sparkSession.read.schema(cells.schema).parquet(path)
+
+
 def ivf_search(
     queries: DataFrame,
     cells: DataFrame,

@@ -23,8 +23,12 @@ from gleanery.session import cut_lineage
 METRICS = ("L2", "IP", "COSINE")
 _ID_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 # Query sets up to this size are sent to every task; larger ones are shuffled.
-BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
+BROADCAST_QUERY_BYTES = 16 * 1024 * 1024
 BLOCK_ROWS = 50_000
+# What one task holds: (query, hit) entries of all its running top k lists,
+# and distances of one matrix product.
+STATE_ENTRIES = 1_000_000
+PRODUCT_CELLS = 4_000_000
 
 
 # --- predicates ------------------------------------------------------------
@@ -109,6 +113,13 @@ class RunningTopK:
 
     def offer(self, which: np.ndarray, rows: np.ndarray, ids: list) -> list[tuple[int, int, float]]:
         """(query, row, score) of rows that belong to a query's best k so far."""
+        step = max(1, PRODUCT_CELLS // max(1, len(rows)))
+        entered = []
+        for at in range(0, len(which), step):
+            entered.extend(self._offer(which[at : at + step], rows, ids))
+        return entered
+
+    def _offer(self, which: np.ndarray, rows: np.ndarray, ids: list) -> list[tuple[int, int, float]]:
         entered = []
         rough, slack = self._rough(which, rows)
         for line, q, margin in zip(rough, which, slack):
@@ -199,11 +210,14 @@ def _block_topk(queries: DataFrame, corpus: DataFrame, out: T.StructType, k: int
     )
     stored = cut_lineage(corpus.withColumn("_n", F.monotonically_increasing_id()))
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("_cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+    def blocks(df: DataFrame, name: str, rows: int) -> DataFrame:
+        return df.groupBy("_cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
     # one row per cell: bounded by nlist
-    sizes = F.broadcast(blocks(stored, "_stored_blocks").join(blocks(probes, "_probe_blocks"), "_cell"))
+    sizes = F.broadcast(
+        blocks(stored, "_stored_blocks", BLOCK_ROWS)
+        .join(blocks(probes, "_probe_blocks", min(BLOCK_ROWS, STATE_ENTRIES // k)), "_cell")
+    )
 
     def pairs(df: DataFrame, own: str, other: str, own_key: str, other_key: str) -> DataFrame:
         return (
@@ -264,7 +278,7 @@ def nearest(
         "query_id", F.col("vector"), (F.col("cells") if with_cells else F.array(F.lit(0))).alias("cells")
     )
     out = _output_type(asked, rows)
-    block, dimension = _bounded_queries(asked, broadcast_bytes)
+    block, dimension = _bounded_queries(asked, broadcast_bytes, STATE_ENTRIES // k)
     rows = rows.where(F.size(vector) == dimension)
     if block is None:
         scored = _block_topk(asked, rows, out, k, metric, vector, chunk_id)
@@ -277,14 +291,14 @@ def nearest(
     )
 
 
-def _bounded_queries(queries: DataFrame, limit: int) -> tuple[QueryBlock | None, int]:
-    """The query set as one block, or None when it is larger than ``limit`` bytes; and its dimension."""
+def _bounded_queries(queries: DataFrame, limit: int, most: int) -> tuple[QueryBlock | None, int]:
+    """The query set as one block, or None when it is too large for one task; and its dimension."""
     low, high, probes, total = queries.agg(
         F.min(F.size("vector")), F.max(F.size("vector")), F.max(F.size("cells")), F.count("*")
     ).first()
     if low != high:
         raise ValueError(f"query vectors have between {low} and {high} values")
-    if total * (4 * ((high or 0) + (probes or 0)) + 64) > limit:
+    if total > most or total * (4 * ((high or 0) + (probes or 0)) + 64) > limit:
         return None, high
     rows = queries.collect()
     vectors = np.array([r["vector"] for r in rows], dtype=np.float32).reshape(len(rows), high or 0)
@@ -299,7 +313,7 @@ def topk_per_query(scored: DataFrame, k: int, metric: str = "L2", chunk_id: str
 def candidate_summary(queries: DataFrame, corpus: DataFrame, metric: str = "L2", vector: str = "vector") -> DataFrame:
     """Per query: candidate pairs, best and worst score, without producing the pairs."""
     asked = queries.select("query_id", "vector", F.array(F.lit(0)).alias("cells"))
-    block, dimension = _bounded_queries(asked, BROADCAST_QUERY_BYTES)
+    block, dimension = _bounded_queries(asked, BROADCAST_QUERY_BYTES, STATE_ENTRIES)
     if block is None:
         raise ValueError("the query set is too large for a candidate summary")
     id_type, id_name = _id_type(asked), asked.schema["query_id"].dataType.simpleString()

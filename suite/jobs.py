@@ -127,12 +127,13 @@ def stream_seen_urls_watermark(spark, sf):
 
 
 @query("stream_batches", """
-SELECT 'completed' AS status, count(*) AS n_documents, CAST(ceil(ceil(count(*) / 100.0) / 4) AS BIGINT) AS n_batches FROM documents""")
+SELECT 'completed' AS status, count(*) AS n_documents, CAST(ceil(count(DISTINCT doc_id // 100) / 4.0) AS BIGINT) AS n_batches FROM documents""")
 def stream_batches(spark, sf):
     """Files of 100 documents, four files per micro-batch."""
     files = scratch_path(spark, "files")
     docs = I.table(spark, sf, "documents")
-    docs.coalesce(1).write.option("maxRecordsPerFile", 100).parquet(files)
+    blocks = docs.withColumn("block", F.floor(F.col("doc_id") / 100))
+    blocks.repartition("block").write.partitionBy("block").parquet(files)
     collection = Collection(spark, scratch_path(spark, "collection")).create()
     log = scratch_path(spark, "job-log")
     source = M.stream_table(spark, files, docs.schema, files_per_batch=4)

@@ -6,7 +6,7 @@ from gleanery.operators import chunking as C
 from gleanery.operators import embedding as E
 from gleanery.operators import ivf
 from gleanery.operators import search as S
-from gleanery.session import cut_lineage
+from gleanery.session import cut_lineage, scratch_path
 from gleanery.sources.collection import collection_rows
 from suite import inputs as I
 from suite import query
@@ -146,7 +146,7 @@ def ivf_assign(spark, sf):
 def _cells(spark, sf):
     stored = _stored(spark, sf)
     centers = ivf.train_cells(stored, NLIST)
-    return cut_lineage(ivf.ivf_assign(stored, centers)), centers
+    return ivf.write_cells(ivf.ivf_assign(stored, centers), scratch_path(spark, "cells")), centers
 
 
 @query("ivf_search")
