@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import summaries as G
 from gleanery.operators import validation as V
-from gleanery.plans.ingest import ingest_documents
+from gleanery.plans.ingest import ingest_documents, ingest_requests
 from gleanery.session import scratch_path
 from gleanery.sources import direct as D
 from gleanery.sources.collection import Collection
@@ -92,6 +92,27 @@ def ingest_documents_query(spark, sf):
     return _stored_chunks(collection)
 
 
+@query("ingest_requests", f"""
+WITH h AS (SELECT {I.HOST} AS job_id, bool_or({I.PAGE_STATUS} <> 200) AS bad, count(*) AS n FROM pages GROUP BY 1),
+d AS (SELECT source AS job_id, count(DISTINCT text) AS n FROM documents GROUP BY 1)
+SELECT job_id, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN bad THEN 'status 404' ELSE concat('Ingested ', n, ' documents') END AS message FROM h
+UNION ALL SELECT job_id, 'completed', concat('Ingested ', n, ' documents') FROM d""")
+def ingest_requests_query(spark, sf):
+    """Pages by URL, one job per host, and documents as direct content, one job per source."""
+    none = F.lit(None).cast("string")
+    urls = I.table(spark, sf, "pages").select(F.expr(I.HOST).alias("job_id"), "url", none.alias("content"))
+    texts = I.table(spark, sf, "documents").select(F.col("source").alias("job_id"), none.alias("url"), F.col("text").alias("content"))
+    sources = urls.unionByName(texts).select(
+        "job_id", "url", none.alias("file_path"), "content", none.alias("content_type"), F.lit(1000).alias("chunk_size"),
+        F.lit(200).alias("chunk_overlap"), F.lit(None).cast("int").alias("max_tokens"), F.create_map(F.lit("by"), F.lit("suite")).alias("metadata"),
+    )
+    files = spark.createDataFrame([], "source string, content string, content_type string")
+    collection = Collection(spark, scratch_path(spark, "collection")).create()
+    log = ingest_requests(I.spread(sources), I.page_responses(spark, sf).drop("page_id"), files, collection)
+    return G.ingest_job_summary(log).select("job_id", "status", "message")
+
+
 @query("stream_ingest", STORED_SQL)
 def stream_ingest(spark, sf):
     """The same plan as a stream, which must store the same chunks."""

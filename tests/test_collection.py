@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import summaries as G
 from gleanery.operators import validation as V
-from gleanery.plans.ingest import failed_sources, ingest_documents, write_job_log
+from gleanery.plans.ingest import failed_sources, ingest_documents, ingest_requests, write_job_log
 from gleanery.session import scratch_path
 from gleanery.sources import direct as D
 from gleanery.sources.collection import Collection, collection_rows
@@ -116,7 +116,33 @@ def test_validation(spark):
     assert [len(r.reasons) for r in V.validate_search(ks).coalesce(1).collect()] == [1, 0, 0, 1]
     row = collection_rows(chunks(spark, ("é" * 128, "c", "text", 0, None)))
     assert V.validate_rows(row).first().reasons == ["doc_id_too_long"]
-    assert failed_sources(rejected, "j").where("error = 'empty'").count() == 1
+    assert failed_sources(rejected.withColumn("job_id", F.lit("j"))).where("error = 'empty'").count() == 1
+
+
+def test_requests_from_all_three_kinds_of_sources(spark, collection):
+    sources = spark.createDataFrame(
+        [
+            ("j1", None, None, "# A\n\none\n# B\n\ntwo", "text/markdown", 100, 0, {"team": "x"}),
+            ("j1", "http://a/p", None, None, None, 1000, 200, {}),
+            ("j2", None, "/f/x.py", None, None, 1000, 200, None),
+            ("j3", "http://a/missing", None, None, None, 1000, 200, None),
+            ("j4", "http://a/p", None, "both", None, 1000, 200, None),
+            ("j5", None, None, "bad size", None, 50, 90, None),
+            ("j6", None, "/f/none", None, None, 1000, 200, None),
+        ],
+        "job_id string, url string, file_path string, content string, content_type string, chunk_size int, chunk_overlap int, metadata map<string,string>",
+    ).withColumn("max_tokens", F.lit(None).cast("int"))
+    responses = spark.createDataFrame([("http://a/p", 200, "text/html", "<h1>T</h1><p>body</p>")], "url string, status int, content_type string, body string")
+    files = spark.createDataFrame([("/f/x.py", "def f():\n    pass", "python")], "source string, content string, content_type string")
+    log = ingest_requests(sources, responses, files, collection)
+    jobs = {r.job_id: (r.status, r.message) for r in G.ingest_job_summary(log).collect()}
+    assert jobs == {
+        "j1": ("completed", "Ingested 2 documents"), "j2": ("completed", "Ingested 1 documents"), "j3": ("failed", "no response"),
+        "j4": ("failed", "exclusive"), "j5": ("failed", "chunk_size_range,overlap_exceeds_size"), "j6": ("failed", "no such file"),
+    }
+    rows = {(r.content_type, r.content) for r in collection.read().collect()}
+    assert rows == {("markdown", "# A\n\none"), ("markdown", "# B\n\ntwo"), ("web_page", "# T\n\nbody"), ("python", "def f():\n    pass")}
+    assert collection.read().where("content_type = 'markdown'").first().metadata.extra == {"team": "x"}
 
 
 def test_sources(spark, tmp_path):
