@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions.urls import document_id
-from gleanery.operators.embedding import check_dimension
-from gleanery.operators.search import combine_filters
+from gleanery.operators.embedding import Loader, check_dimension
+from gleanery.operators.search import combine_filters, text_search, vector_search
 from gleanery.operators.summaries import collection_stats, reassemble_documents
 from gleanery.schema import CHUNK_METADATA, COLLECTION, DEFAULT_DIMENSION, DEFAULT_MODEL_NAME
 
@@ -135,5 +135,22 @@ class Collection:
         log = self.spark.read.schema(_DELETIONS).parquet(self._deletions)
         return log.where(F.col("deleted_at") == now).select("doc_id").distinct()
 
+    def compact_to(self, path: str) -> "Collection":
+        """Copy what is left after deletions to a new collection, for the caller to switch to.
+
+        Worth it once the deletions are too many to be broadcast on every read.
+        """
+        target = Collection(self.spark, path, self.dimension).create()
+        self.read().write.mode("append").partitionBy("content_type", "batch").parquet(target._rows)
+        return target
+
+    def search(self, queries: DataFrame, **options) -> DataFrame:
+        """Filtered top-k search for (query_id, vector); see ``operators.search.vector_search``."""
+        return vector_search(queries, self.read(), **options)
+
+    def text_search(self, queries: DataFrame, loader: Loader, **options) -> DataFrame:
+        """The same for text queries (query_id, text)."""
+        return text_search(queries, self.read(), loader, **options)
+
     def stats(self, **options) -> DataFrame:
         return collection_stats(self.read(), self.dimension, **options)

@@ -1,11 +1,13 @@
 """Vector search, filters, cells and text search (F5, G6, H4, K, L, C19)."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gleanery.operators import chunking as C
 from gleanery.operators import embedding as E
 from gleanery.operators import ivf
 from gleanery.operators import search as S
+from gleanery.schema import DEFAULT_NLIST
 from gleanery.session import cut_lineage, scratch_path
 from gleanery.sources.collection import collection_rows
 from suite import inputs as I
@@ -165,6 +167,41 @@ def ivf_search_all_cells(spark, sf):
     return _shown(S.project_hits(hits, include_metadata=False))
 
 
+LABEL_CELLS_CTE = f"""
+{I.CENTROID_CTE}, {I.CHUNK_CTE},
+near AS (SELECT chunk_id, query_id AS cell, row_number() OVER (PARTITION BY chunk_id ORDER BY {SQUARED}, query_id) AS n FROM c, q),
+cells AS (SELECT chunk_id, cell FROM near WHERE n = 1)"""
+
+
+def _label_centers(spark, sf):
+    """The mean vector of every label as cell centres, ordered by label: known cells, so SQL can follow."""
+    rows = I.centroid_queries(spark, sf).orderBy("query_id").limit(DEFAULT_NLIST + 1).collect()
+    if len(rows) > DEFAULT_NLIST:
+        raise ValueError("more labels than cells")
+    return np.array([r["vector"] for r in rows], dtype=np.float32)
+
+
+@query("ivf_assign_label_cells", f"WITH {LABEL_CELLS_CTE} SELECT chunk_id, CAST(cell AS BIGINT) AS cell FROM cells")
+def ivf_assign_label_cells(spark, sf):
+    return ivf.ivf_assign(_stored(spark, sf), _label_centers(spark, sf)).select("chunk_id", I.big("_cell").alias("cell"))
+
+
+@query("ivf_search_label_cells", f"""
+WITH {LABEL_CELLS_CTE},
+probes AS (SELECT a.query_id, b.query_id AS cell, row_number() OVER (PARTITION BY a.query_id
+   ORDER BY list_distance(CAST(a.qv AS DOUBLE[]), CAST(b.qv AS DOUBLE[])), b.query_id) AS n FROM q a, q b),
+scored AS (SELECT q.query_id, chunk_id, {SQUARED} AS s FROM c JOIN cells USING (chunk_id) JOIN probes p USING (cell)
+           JOIN q ON q.query_id = p.query_id WHERE p.n <= 4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, chunk_id) AS rank FROM scored)
+SELECT CAST(query_id AS BIGINT) AS query_id, rank, chunk_id, round(s, 6) AS score FROM ranked WHERE rank <= 20""")
+def ivf_search_label_cells(spark, sf):
+    """4 of the label cells probed by every query."""
+    centers = _label_centers(spark, sf)
+    cells = ivf.write_cells(ivf.ivf_assign(_stored(spark, sf), centers), scratch_path(spark, "cells"))
+    hits = ivf.ivf_search(I.centroid_queries(spark, sf), cells, centers, 20, 4, output=[])
+    return hits.select("query_id", I.big("rank").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query("text_search", f"""
 WITH {FIXED_CTE},
 src AS (SELECT concat('d', doc_id, '_', i) AS id, content AS text FROM fixed UNION ALL SELECT concat('q', item_id), text FROM benchmark),

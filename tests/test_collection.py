@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import summaries as G
 from gleanery.operators import validation as V
+from gleanery.operators.embedding import hashed_bag_of_words
 from gleanery.plans.ingest import failed_sources, ingest_documents, ingest_requests, write_job_log
 from gleanery.session import scratch_path
 from gleanery.sources import direct as D
@@ -54,6 +55,18 @@ def test_delete_hides_only_what_was_there(spark, collection):
     assert (stats.chunks, stats.documents, stats.dimension) == (3, 3, 2)
 
 
+def test_compaction_and_search(spark, collection):
+    collection.append(chunks(spark, *ROWS))
+    collection.delete_document("d1")
+    smaller = collection.compact_to(scratch_path(spark, "compact"))
+    assert sorted(map(str, smaller.read().collect())) == sorted(map(str, collection.read().collect()))
+    queries = spark.createDataFrame([("q", [3.0, 4.0])], "query_id string, vector array<float>")
+    hits = smaller.search(queries, k=2, filters={"content_type": "text"}).orderBy("rank").collect()
+    assert [(h.document_id, h.score) for h in hits] == [("d2", 0.0), ("", 8.0)]
+    texts = spark.createDataFrame([(1, "any words")], "query_id int, text string")
+    assert smaller.text_search(texts, hashed_bag_of_words(2), k=5).count() == 2
+
+
 def test_create_keeps_and_clear_empties(spark, collection):
     collection.append(chunks(spark, *ROWS))
     collection.delete_document("d2")
