@@ -102,8 +102,13 @@ def priority_order() -> list[Column]:
 
 
 def sort_by_priority(entries: DataFrame) -> DataFrame:
-    """Entries with their 1-based global rank in priority order."""
-    return global_rank(entries, priority_order())
+    """Entries with their 1-based global rank in priority order.
+
+    Copies of a location are told apart by where they stand, which also keeps
+    the sort's ranges even when one location makes up much of the input.
+    """
+    place = [F.asc(c) for c in ("sitemap_url", "pos") if c in entries.columns]
+    return global_rank(entries, priority_order() + place)
 
 
 def cap_pages(entries: DataFrame, max_pages: int) -> DataFrame:

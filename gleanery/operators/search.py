@@ -186,7 +186,9 @@ def _id_type(queries: DataFrame) -> pa.DataType:
     return _ID_TYPES[name]
 
 
-def _scan_topk(id_type: pa.DataType, block: QueryBlock, corpus: DataFrame, out: T.StructType, k: int, metric: str, vector: str, chunk_id: str):
+def _scan_topk(
+    id_type: pa.DataType, block: QueryBlock, corpus: DataFrame, out: T.StructType, k: int, metric: str, vector: str, chunk_id: str
+) -> DataFrame:
     """Every task scans its part of the collection against all queries. No shuffle."""
 
     def run(batches):
@@ -198,43 +200,55 @@ def _scan_topk(id_type: pa.DataType, block: QueryBlock, corpus: DataFrame, out:
     return corpus.mapInArrow(run, out)
 
 
-def _block_topk(queries: DataFrame, corpus: DataFrame, out: T.StructType, k: int, metric: str, vector: str, chunk_id: str):
+def _in_blocks(
+    queries: DataFrame, corpus: DataFrame, out: T.StructType | str, query_rows: int, chunk_id: str, celled: bool, work
+) -> DataFrame:
     """Both sides cut into blocks of bounded size, every block pair one group.
 
-    A cell with many vectors or many queries gets more blocks, so the size of
-    a group does not depend on how rows are distributed over cells.
+    ``work(stored rows, query rows)`` gets two Arrow tables and gives one. A cell
+    with many vectors or many queries gets more blocks, so the size of a group
+    does not depend on how rows are distributed over cells. Blocks follow from
+    ids, so copies of a vector spread and a repeated task cuts alike.
     """
-    probes = cut_lineage(
-        queries.select("query_id", F.explode("cells").alias("_cell"), F.col("vector").alias("_query"))
-        .withColumn("_n", F.monotonically_increasing_id())
-    )
-    stored = cut_lineage(corpus.withColumn("_n", F.monotonically_increasing_id()))
+    probes = cut_lineage(queries.select("query_id", F.explode("cells").alias("_cell"), F.col("vector").alias("_query")))
 
     def blocks(df: DataFrame, name: str, rows: int) -> DataFrame:
         return df.groupBy("_cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
-    # one row per cell: bounded by nlist
-    sizes = F.broadcast(
-        blocks(stored, "_stored_blocks", BLOCK_ROWS)
-        .join(blocks(probes, "_probe_blocks", min(BLOCK_ROWS, STATE_ENTRIES // k)), "_cell")
-    )
+    if celled:
+        # one row per cell: bounded by nlist
+        sizes = F.broadcast(
+            blocks(corpus, "_stored_blocks", BLOCK_ROWS).join(blocks(probes, "_probe_blocks", query_rows), "_cell")
+        )
+        sized = lambda df: df.join(sizes, "_cell")
+    else:
+        counts = {"_stored_blocks": -(-corpus.count() // BLOCK_ROWS), "_probe_blocks": -(-probes.count() // query_rows)}
+        sized = lambda df: df.withColumns({name: F.lit(max(1, n)) for name, n in counts.items()})
 
-    def pairs(df: DataFrame, own: str, other: str, own_key: str, other_key: str) -> DataFrame:
+    def pairs(df: DataFrame, row_id: str, own: str, other: str, own_key: str, other_key: str) -> DataFrame:
         return (
-            df.join(sizes, "_cell")
-            .withColumn(own_key, F.pmod(F.xxhash64("_n"), F.col(own)).cast("int"))
+            sized(df)
+            .withColumn(own_key, F.pmod(F.xxhash64(row_id), F.col(own)).cast("int"))
             .withColumn(other_key, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .drop("_n", own, other)
+            .drop(own, other)
         )
 
     keys = ["_cell", "_stored_block", "_probe_block"]
-    left = pairs(stored, "_stored_blocks", "_probe_blocks", "_stored_block", "_probe_block")
-    right = pairs(probes, "_probe_blocks", "_stored_blocks", "_probe_block", "_stored_block")
+    left = pairs(corpus, chunk_id, "_stored_blocks", "_probe_blocks", "_stored_block", "_probe_block")
+    right = pairs(probes, "query_id", "_probe_blocks", "_stored_blocks", "_probe_block", "_stored_block")
+
+    def run(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        return work(rows.drop_columns(["_stored_block", "_probe_block"]), wanted)
 
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, out)
+
+
+def _block_topk(
+    queries: DataFrame, corpus: DataFrame, out: T.StructType, k: int, metric: str, vector: str, chunk_id: str, celled: bool
+) -> DataFrame:
     id_type = _id_type(queries)
 
-    def run(rows: pa.Table, wanted: pa.Table) -> pa.Table:
-        rows = rows.drop_columns(["_stored_block", "_probe_block"])
+    def work(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         found = []
         if rows.num_rows and wanted.num_rows:
             vectors = _matrix(wanted.column("_query").combine_chunks())
@@ -245,7 +259,7 @@ def _block_topk(queries: DataFrame, corpus: DataFrame, out: T.StructType, k: int
         empty = rows.slice(0, 0).drop_columns(["_cell"]).add_column(0, "query_id", pa.array([], id_type))
         return empty.append_column("score", pa.array([], pa.float64()))
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, out)
+    return _in_blocks(queries, corpus, out, min(BLOCK_ROWS, STATE_ENTRIES // k), chunk_id, celled, work)
 
 
 def nearest(
@@ -281,7 +295,7 @@ def nearest(
     block, dimension = _bounded_queries(asked, broadcast_bytes, STATE_ENTRIES // k)
     rows = rows.where(F.size(vector) == dimension)
     if block is None:
-        scored = _block_topk(asked, rows, out, k, metric, vector, chunk_id)
+        scored = _block_topk(asked, rows, out, k, metric, vector, chunk_id, with_cells)
     else:
         if with_cells:
             rows = rows.where(F.col("_cell").isin(sorted({c for cells in block.cells for c in cells})))
@@ -310,35 +324,50 @@ def topk_per_query(scored: DataFrame, k: int, metric: str = "L2", chunk_id: str
     return top_n_per_group(scored, ["query_id"], [order, F.asc(chunk_id)], k)
 
 
-def candidate_summary(queries: DataFrame, corpus: DataFrame, metric: str = "L2", vector: str = "vector") -> DataFrame:
-    """Per query: candidate pairs, best and worst score, without producing the pairs."""
+def candidate_summary(
+    queries: DataFrame,
+    corpus: DataFrame,
+    metric: str = "L2",
+    vector: str = "vector",
+    chunk_id: str = "chunk_id",
+    broadcast_bytes: int = BROADCAST_QUERY_BYTES,
+) -> DataFrame:
+    """Per query: candidate pairs, lowest and highest score, without producing the pairs."""
     asked = queries.select("query_id", "vector", F.array(F.lit(0)).alias("cells"))
-    block, dimension = _bounded_queries(asked, BROADCAST_QUERY_BYTES, STATE_ENTRIES)
-    if block is None:
-        raise ValueError("the query set is too large for a candidate summary")
     id_type, id_name = _id_type(asked), asked.schema["query_id"].dataType.simpleString()
+    block, dimension = _bounded_queries(asked, broadcast_bytes, STATE_ENTRIES)
+    rows = corpus.where(has_dimension(F.col(vector), dimension)).select(chunk_id, vector, F.lit(0).alias("_cell"))
+    out = f"query_id {id_name}, pairs bigint, low double, high double"
+
+    def summary(stored: np.ndarray, ids: list, vectors: np.ndarray) -> pa.RecordBatch:
+        scores = [exact_scores(q, stored, metric) for q in vectors] if len(stored) else []
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids if len(stored) else [], id_type),
+                pa.array([len(s) for s in scores], pa.int64()),
+                pa.array([s.min() for s in scores], pa.float64()),
+                pa.array([s.max() for s in scores], pa.float64()),
+            ],
+            ["query_id", "pairs", "low", "high"],
+        )
 
-    def run(batches):
+    def scan(batches):
         for batch in batches:
             if batch.num_rows:
-                rows = _matrix(batch.column(vector))
-                scores = [exact_scores(q, rows, metric) for q in block.vectors]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(block.ids, id_type),
-                        pa.array([len(s) for s in scores], pa.int64()),
-                        pa.array([s.min() for s in scores], pa.float64()),
-                        pa.array([s.max() for s in scores], pa.float64()),
-                    ],
-                    ["query_id", "pairs", "low", "high"],
-                )
-
-    rows = corpus.where(has_dimension(F.col(vector), dimension)).select(vector)
-    return (
-        rows.mapInArrow(run, f"query_id {id_name}, pairs bigint, low double, high double")
-        .groupBy("query_id")
-        .agg(F.sum("pairs").alias("pairs"), F.min("low").alias("low"), F.max("high").alias("high"))
-    )
+                yield summary(_matrix(batch.column(vector)), block.ids, block.vectors)
+
+    def work(stored: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not stored.num_rows or not wanted.num_rows:
+            return pa.Table.from_batches([summary(np.empty((0, 1)), [], np.empty((0, 1)))])
+        vectors = _matrix(wanted.column("_query").combine_chunks())
+        found = summary(_matrix(stored.column(vector).combine_chunks()), wanted.column("query_id").to_pylist(), vectors)
+        return pa.Table.from_batches([found])
+
+    if block is None:
+        parts = _in_blocks(asked, rows, out, BLOCK_ROWS, chunk_id, False, work)
+    else:
+        parts = rows.select(vector).mapInArrow(scan, out)
+    return parts.groupBy("query_id").agg(F.sum("pairs").alias("pairs"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 # --- request level ----------------------------------------------------------

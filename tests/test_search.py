@@ -83,6 +83,8 @@ def test_no_queries_no_hits(corpus, queries):
 
 def test_candidate_summary(corpus, queries):
     rows = {r.query_id: r for r in S.candidate_summary(queries, corpus).collect()}
+    blocks = S.candidate_summary(queries, corpus, broadcast_bytes=0).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, rows.values()))
     scores = S.exact_scores(VECTORS[7], VECTORS, "L2")
     assert rows[1].pairs == 300 and rows[1].low == 0 and abs(rows[1].high - scores.max()) < 1e-9
 
