@@ -74,7 +74,9 @@ def embed_column(text: Column, loader: Loader, batch_size: int = 32) -> Column:
                 parts.append(pa.ListArray.from_arrays(offsets, pa.array(block.ravel(), pa.float32())))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
-    return vectors(text)
+    # Marked nondeterministic so that Catalyst never runs the model twice, which
+    # it would do for a filter on the vector.
+    return vectors.asNondeterministic()(text)
 
 
 def embed_chunks(

@@ -46,7 +46,8 @@ def _nearest_cells(vector: Column, centers: np.ndarray, n: int) -> Column:
         offsets = pa.array(np.arange(len(rows) + 1) * order.shape[1], pa.int32())
         return pa.ListArray.from_arrays(offsets, pa.array(order.ravel(), pa.int32()))
 
-    return cells(vector)
+    # evaluated once, also when a filter on the cell follows
+    return cells.asNondeterministic()(vector)
 
 
 def ivf_assign(corpus: DataFrame, centers: np.ndarray, vector: str = "vector") -> DataFrame:

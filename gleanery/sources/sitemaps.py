@@ -89,7 +89,7 @@ def scan_sitemap_index(sitemaps: DataFrame, body: str = "body") -> DataFrame:
 
 def scan_robots(robots: DataFrame, body: str = "body") -> DataFrame:
     """``Sitemap:`` directives of robots files: url, sitemap_url."""
-    lines = robots.select("url", F.explode(F.split(F.col(body), r"\R")).alias("line"))
+    lines = robots.select("url", F.explode_outer(F.split(F.col(body), r"\R")).alias("line"))
     trimmed = strip(F.col("line"))
     return lines.where(trimmed.rlike("(?i)^sitemap:")).select(
         "url", strip(F.regexp_replace(trimmed, "(?i)^sitemap:", "")).alias("sitemap_url")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gleanery import schema
 from gleanery.operators import chunking as C
 from gleanery.operators import embedding as E
+from gleanery.session import cut_lineage
 from suite import inputs as I
 from suite import query
 from suite.splitter_sql import splitter_query
@@ -97,7 +98,7 @@ def chunk_sections(spark, sf):
 @query("renumber_chunks", SECTION_CHUNKS_SQL)
 def renumber_chunks(spark, sf):
     chunks = C.chunk_documents(I.markdown_documents(spark, sf), "sections", 300, 60)
-    return _shown(C.renumber_chunks(chunks.drop("chunk_id", "chunk_index", "chunk_count")))
+    return _shown(C.renumber_chunks(cut_lineage(chunks.drop("chunk_id", "chunk_index", "chunk_count"))))
 
 
 @query("number_chunks", """

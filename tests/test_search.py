@@ -148,3 +148,13 @@ def test_dimension_check_reports_reasons(spark):
     good, bad = E.check_dimension(df, 2)
     assert [r.id for r in good.collect()] == [1]
     assert {r.id: r.reason for r in bad.collect()} == {2: "expected 2 values, got 1", 3: "expected 2 values, got 0"}
+
+
+def test_the_model_runs_once_per_chunk(spark):
+    texts = spark.createDataFrame([("a b",), ("c",)], "content string")
+    accepted, rejected = E.check_dimension(E.embed_chunks(texts, E.hashed_bag_of_words(4)), 4)
+    plan = accepted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and accepted.count() == 2 and rejected.count() == 0
+    centers = np.array([[0.0, 0, 0, 0], [1, 1, 1, 1]], dtype=np.float32)
+    cells = ivf.ivf_assign(accepted, centers).where("_cell = 1")
+    assert cells._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
