@@ -26,8 +26,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a batch into steps of about STEP_BYTES: first row, end row, bytes, offsets from 0.
+def text_steps(batch: pa.RecordBatch, column: str = "text", rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cuts a batch into steps of about STEP_BYTES and at most ``rows`` rows: first row, end row, bytes, offsets from 0.
 
     A row is never cut: a longer text is a step of its own. Null texts have no bytes.
     """
@@ -40,6 +40,6 @@ def text_steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[in
     row = 0
     while row < len(texts):
         end = int(np.searchsorted(offsets, offsets[row] + STEP_BYTES, side="right")) - 1
-        end = min(max(end, row + 1), len(texts))
+        end = min(max(end, row + 1), row + rows, len(texts))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
