@@ -37,11 +37,19 @@ THRESHOLD = 0.75
 TEMPLATE_BIGRAMS = 100_000
 
 
+def _let(value, body):
+    """Evaluates ``value`` once for all its uses in ``body``; a plain column would be inlined into each."""
+    return F.transform(F.array(value), body)[0]
+
+
 def bigrams(text):
     """Distinct word bigrams of a normalised text; a single word is its own bigram, no word gives none."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(pairs))
+
+    def pairs(words):
+        joined = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(joined))
+
+    return _let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), pairs)
 
 
 def license_matches(
@@ -70,11 +78,14 @@ def license_matches(
 
     rows = two_columns(df, id_col, text_col)
     lines = rows.select("id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    sized = lines.select("id", "line", bigrams(F.col("content")).alias("b")).withColumn("size_l", F.size("b"))
-    sized = sized.filter(F.col("size_l").between(low, high))
-    met = sized.select("id", "line", "size_l", F.hash("b").alias("wording"), F.explode("b").alias("bigram")).join(
-        F.broadcast(spread), "bigram"
-    )
+    none = F.array().cast("array<struct<size_l:int,wording:int,bigram:string>>")
+
+    def sized(b):
+        spread = F.transform(b, lambda x: F.struct(F.size(b).alias("size_l"), F.hash(b).alias("wording"), x.alias("bigram")))
+        return F.when(F.size(b).between(low, high), spread).otherwise(none)
+
+    met = lines.select("id", "line", F.explode(_let(bigrams(F.col("content")), sized)).alias("x")).select("id", "line", "x.*")
+    met = met.join(F.broadcast(spread), "bigram")
     met = met.filter((F.col("size_l") >= F.lit(factor) * F.col("size_t")) & (F.col("size_l") * F.lit(factor) <= F.col("size_t")))
     shared = met.groupBy("id", "line", "wording", "license", "size_l", "size_t").agg(F.countDistinct("bigram").alias("both"))
     scored = shared.withColumn("dice", 2 * F.col("both") / (F.col("size_l") + F.col("size_t"))).filter(F.col("dice") >= threshold)
