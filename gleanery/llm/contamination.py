@@ -135,7 +135,7 @@ def _hits(block):
     def hits(batches):
         member = byte_class(ALPHANUMERIC)
         for batch in batches:
-            ids, columns = batch.column("row").to_pylist(), [[], [], [], []]
+            columns = [[], [], []]
             for row, end, data, offsets in text_steps(batch):
                 words = Words(data, offsets, member)
                 start, window = _occurrences(block.value, words, data.tobytes().lower())
@@ -152,12 +152,13 @@ def _hits(block):
                 for r, w in zip(words.row[start].tolist(), window.tolist()):
                     items.setdefault(r, set()).update(block.value.items[w])
                 for r in range(end - row):
-                    columns[0].append(ids[row + r])
-                    columns[1].append(int(counts[r]))
-                    columns[2].append(places.get(r, []))
-                    columns[3].append(sorted(items.get(r, ())))
-            types = [batch.column("row").type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["row", "n_words", "places", "items"])
+                    columns[0].append(int(counts[r]))
+                    columns[1].append(places.get(r, []))
+                    columns[2].append(sorted(items.get(r, ())))
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), *(pa.array(c, t) for c, t in zip(columns, types))], ["row", "n_words", "places", "items"]
+            )
 
     return hits
 

@@ -11,6 +11,7 @@ from gleanery.llm.contamination import contamination
 from gleanery.llm.exact_duplicates import exact_duplicates
 from gleanery.llm.languages import fit_languages, identify_languages
 from gleanery.llm.near_duplicates import near_duplicates
+from gleanery.llm.pieces import encode_pieces, load_pieces
 from gleanery.llm.secrets import joined_spans, secrets
 from gleanery.llm.token_shards import token_shards
 from gleanery.llm.url_rules import url_rules
@@ -61,6 +62,11 @@ def op2_near_duplicates(spark, sf):
     return near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op3_pieces")
+def op3_pieces(spark, sf):
+    return encode_pieces(table(spark, sf, "documents"), load_pieces(PIECE_MODEL))
+
+
 #: The contract's rules: host, path, action.
 URL_RULES = [
     ("com", "/", "allow"),
