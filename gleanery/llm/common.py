@@ -1,5 +1,7 @@
 """What the operators share: inputs, ASCII folding, Arrow plumbing."""
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def worker_state() -> dict:
+    """A dictionary of this Python process; functions travel by value, so their own module's globals do not last."""
+    return sys.modules.setdefault("gleanery_worker_state", types.ModuleType("gleanery_worker_state")).__dict__
+
+
 def text_steps(batch: pa.RecordBatch, column: str = "text", rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a batch into steps of about STEP_BYTES and at most ``rows`` rows: first row, end row, bytes, offsets from 0.
 

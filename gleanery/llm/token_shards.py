@@ -11,25 +11,28 @@ file, and any store that Spark writes to will do.
 
 import bisect
 import json
+import os
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gleanery.llm.common import two_columns
-from gleanery.session import scratch_path
+from gleanery.llm.common import two_columns, worker_state
+from gleanery.session import cut_lineage, scratch_path
 
 MAGIC = b"WVM1"
 #: Bits of a plane that are compressed together.
 BLOCK_BITS = 1 << 16
 #: Ids after which a shard is closed; a longer document is a shard of its own.
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 21
 #: Words remembered by an encoding task, twice at most.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 END = 0
 
 
@@ -148,6 +151,14 @@ class WaveletMatrix:
         return values
 
 
+_BEFORE, _AFTER = re.compile(r"[^\S ] "), re.compile(r" [^\S ]")
+
+
+def _odd_spaces(text: str) -> bool:
+    """Whether a space is at an end of the text, or next to white space."""
+    return text[0] == " " or text[-1] == " " or "  " in text or bool(_BEFORE.search(text) or _AFTER.search(text))
+
+
 def chunks(text: str) -> list[str]:
     """Cuts a text before single spaces between characters that are not white space.
 
@@ -168,44 +179,75 @@ def chunks(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; the ids of words met lately are remembered."""
+    """Ids of texts by the tokenizers library; the ids of words met lately are remembered.
+
+    A word stands for the chunk of a space and itself; the first of a text, which has no
+    space before it, has one in its key instead. Other chunks are not remembered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.recent, self.older = {}, {}
+        self.kind = np.uint32 if self.tokenizer.get_vocab_size() > 1 << 16 else np.uint16
+        found = self.tokenizer.encode("a\n b", add_special_tokens=False).ids
+        self.line_feed = found[1] if len(found) == 3 else None
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def _keys(text: str) -> list[str]:
+        if not _odd_spaces(text):
+            keys = text.split(" ")
+            keys[0] = " " + keys[0]
+            return keys
+        # a chunk with odd spaces keeps them all and gets two before it, which no other key has
+        return [c[1:] if c[0] == " " and len(c) > 1 and " " not in c[1:] else "  " + c for c in chunks(text)]
+
+    @staticmethod
+    def _chunk(key: str) -> str:
+        return key[2:] if key[:2] == "  " else key[1:] if key[:1] == " " else " " + key
+
+    def _learn(self, missing: list[str]) -> None:
+        """Encodes words in lines of many: a line feed before a space is a piece of its own, so it separates their ids."""
+        lines, single, width = [], [], self.kind().itemsize
+        plain = [key for key in missing if key[:1] != " " and "\n" not in key] if self.line_feed is not None else []
+        if len(plain) < len(missing):
+            chosen = set(plain)
+            single = [key for key in missing if key not in chosen]
+        lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for words, found in zip(lines, self.tokenizer.encode_batch_fast([" " + "\n ".join(words) for words in lines], add_special_tokens=False)):
+            ids = np.array(found.ids, self.kind)
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(words, [*np.flatnonzero(ids == self.line_feed).tolist(), len(ids)]):
+                self.recent[word] = raw[start * width : end * width]
+                start = end + 1
+        for key, found in zip(single, self.tokenizer.encode_batch_fast([self._chunk(k) for k in single], add_special_tokens=False)):
+            self.recent[key] = np.array(found.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [chunks(text) for text in texts]
-        recent, older, missing = self.recent, self.older, []
-        for chunk in {c for parts in cut for c in parts}:
-            if chunk not in recent:
-                if chunk in older:
-                    recent[chunk] = older[chunk]
-                else:
-                    missing.append(chunk)
-        kind = np.uint32 if self.wide else np.uint16
-        for start in range(0, len(missing), 20_000):
-            part = missing[start : start + 20_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                recent[chunk] = np.array(found.ids, kind).tobytes()
-        out = [np.frombuffer(b"".join([recent[c] for c in parts]), kind) for parts in cut]
-        if len(recent) > REMEMBERED:
-            self.older, self.recent = recent, {}
+        keys = [self._keys(text) if text else [] for text in texts]
+        known = self.recent
+        missing = []
+        for key in set().union(*keys).difference(known):
+            if key in self.older:
+                known[key] = self.older[key]
+            else:
+                missing.append(key)
+        self._learn(missing)
+        out = [np.frombuffer(b"".join([known[k] for k in own]), self.kind) for own in keys]
+        if len(known) > REMEMBERED:
+            self.older, self.recent = known, {}
         return out
 
 
 def _shards(path: str, bits: int, shard_ids: int, id_type: pa.DataType):
     def write(batches):
-        import os
-
-        from pyspark import TaskContext
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, number = Encoder(path), TaskContext.get().partitionId(), 0
+        state = worker_state()  # what is remembered serves the worker's next task too
+        encoder = state.get(("encoder", path)) or state.setdefault(("encoder", path), Encoder(path))
+        part, number = TaskContext.get().partitionId(), 0
         ids, lengths, gathered, total = [], [], [], 0
 
         def close():
@@ -275,8 +317,8 @@ def read_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     kind = shards.schema["ids"].dataType.elementType
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per shard: SHARD_IDS ids to each, so a few rows for each GB
-    starts = shards.select("part", "number", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
+    # one row per shard, a few for each GB; as a table its size is known before the join, so images stay in place while it is small
+    starts = cut_lineage(shards.select("part", "number", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start")))
     placed = shards.select("part", "number", "ids", "lengths", "image").join(starts, ["part", "number"])
     return placed.mapInArrow(
         _read(to_arrow_type(kind)), f"id {kind.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint"
