@@ -57,13 +57,12 @@ class WaveletMatrix:
         n = len(ids)
         zeros, ranks, packed = [], [], []
         for plane in range(bits - 1, -1, -1):
-            bit = (ids >> plane) & 1
-            ones = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
-            ranks.append(ones[0:n:BLOCK_BITS])
-            for start in range(0, n, BLOCK_BITS):
-                packed.append(zlib.compress(np.packbits(bit[start : start + BLOCK_BITS].astype(np.uint8)).tobytes(), 1))
-            one = bit.astype(bool)
-            zeros.append(n - int(ones[-1]))
+            one = (ids & ids.dtype.type(1 << plane)) != 0
+            raw = np.packbits(one).tobytes()
+            packed += [zlib.compress(raw[start : start + BLOCK_BITS // 8], 1) for start in range(0, len(raw), BLOCK_BITS // 8)]
+            counts = [int(np.count_nonzero(one[start : start + BLOCK_BITS])) for start in range(0, n, BLOCK_BITS)]
+            ranks.append(np.cumsum([0, *counts])[:-1] if n else np.zeros(0, np.int64))
+            zeros.append(n - sum(counts))
             ids = np.concatenate([ids[~one], ids[one]])
         head = json.dumps({"n": n, "bits": bits, "zeros": zeros}).encode()
         directory = np.concatenate(ranks).astype("<u4") if n else np.zeros(0, "<u4")
