@@ -4,7 +4,8 @@ A text is a vector of hashed byte trigrams, logarithmic counts times inverse doc
 frequency, of length one. Each language has several centroids, found by spherical
 k-means on a bounded sample of labelled rows; document frequencies cover all labelled
 rows. A text goes to the language of the centroid with the largest cosine and is
-rejected when it is farther than any text that the centroid was fitted on, by a margin.
+rejected when it is farther from it than any sampled text of that language from its
+own nearest centroid, by a margin.
 """
 
 from dataclasses import dataclass
@@ -16,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import text_steps
+from gleanery.session import cut_lineage
 
 SIZE = 1 << 12
 CENTROIDS = 4
 #: Labelled rows per language that centroids are fitted on, in expectation.
 SAMPLE_ROWS = 2_000
-#: A text is rejected below this share of the least cosine that its centroid had in the sample.
+#: A text is rejected below this share of the least cosine in its language's sample.
 MARGIN = 0.5
 _ROWS = 256
 
@@ -105,7 +107,7 @@ def _clustered(k: int, rounds: int = 12):
         cosine = x @ centres.T
         owner = cosine.argmax(axis=1)
         used = [c for c in range(len(centres)) if (owner == c).any()]
-        floors = [float(cosine[owner == c, c].min()) for c in used]
+        floors = float(cosine.max(axis=1).min())
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [centres[c].astype(np.float32).tobytes() for c in used], "floor": floors})
 
     return fit
@@ -126,7 +128,8 @@ def fit_languages(
     seen = {r["place"]: r["n"] for r in counts}
     total = seen.pop(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + seen.get(p, 0))) + 1 for p in range(SIZE)], np.float32)
-    share = rows.groupBy("lang").agg((F.lit(float(sample_rows)) / F.count("*")).alias("share"))
+    # one row per language; as a table its size is known before the join, so texts stay in place
+    share = cut_lineage(rows.groupBy("lang").agg((F.lit(float(sample_rows)) / F.count("*")).alias("share")))
     spread = (F.shiftrightunsigned(F.xxhash64("id", "text"), 11) / F.lit(float(1 << 53))).alias("spread")
     sample = rows.select("lang", "text", spread).join(share, "lang").filter("spread < share")
     fitted = (

@@ -39,7 +39,7 @@ def test_base_spans(text):
     (quote, "url"), (lambda s: quote(quote(s)), "url>url"), (lambda s: "".join(f"\\u{ord(c):04x}" for c in s), "unicode"),
     (lambda s: "".join(f"&#{ord(c)};" for c in s), "unicode"), (b64, "base64"), (lambda s: b64(b64(s)), "base64>base64"),
     (lambda s: b64(gzip.compress(s.encode())), "compressed"), (lambda s: b64(zlib.compress(gzip.compress(s.encode()))), "compressed"),
-    (lambda s: quote(b64("é " + s), safe=""), "url>base64"), (lambda s: b64(quote("a b " + s)), "base64>url"),
+    (lambda s: "".join(f"%{b:02x}" for b in b64("é " + s).encode()), "url>base64"), (lambda s: b64(quote("a b " + s)), "base64>url"),
 ])
 def test_layers_are_unwrapped_and_spans_lead_to_the_original(encode, path):
     secret = 'password = "hunter2hunter2="'
@@ -48,7 +48,7 @@ def test_layers_are_unwrapped_and_spans_lead_to_the_original(encode, path):
     deep = [s for s in found if s[0] == 0]
     assert skipped == 0 and len(deep) == 1
     kind, start, end, how = deep[0]
-    assert how == path or how in path.split(">")[0]
+    assert how == path
     assert 7 <= start < end <= 7 + len(inner)
 
 
