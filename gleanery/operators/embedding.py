@@ -110,11 +110,22 @@ def has_dimension(vector: Column, dimension: int) -> Column:
     return F.coalesce(F.size(vector), F.lit(0)) == dimension
 
 
+def reject_reason(vector: Column, dimension: int) -> Column:
+    """Why a vector cannot be stored or compared; null for a sound one."""
+    found = F.greatest(F.coalesce(F.size(vector), F.lit(0)), F.lit(0))
+    unsound = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    return F.when(found != dimension, F.format_string("expected %d values, got %d", F.lit(dimension), found)).when(
+        F.exists(vector, unsound), F.lit("null or non-finite value")
+    )
+
+
+def is_sound(vector: Column, dimension: int) -> Column:
+    return reject_reason(vector, dimension).isNull()
+
+
 def check_dimension(
     chunks: DataFrame, dimension: int = DEFAULT_DIMENSION, vector: str = "vector"
 ) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with a reason): vectors must have exactly ``dimension`` values."""
-    found = F.greatest(F.coalesce(F.size(vector), F.lit(0)), F.lit(0))
-    ok = found == dimension
-    reason = F.format_string("expected %d values, got %d", F.lit(dimension), found)
-    return chunks.where(ok), chunks.where(~ok).withColumn("reason", reason)
+    """(accepted, rejected with a reason): exactly ``dimension`` values, all of them finite."""
+    judged = chunks.withColumn("reason", reject_reason(F.col(vector), dimension))
+    return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")

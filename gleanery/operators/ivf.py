@@ -7,42 +7,54 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.embedding import is_sound
 from gleanery.operators.search import nearest
 from gleanery.schema import DEFAULT_K, DEFAULT_NLIST, DEFAULT_NPROBE
 
-TRAINING_ROWS_PER_CELL = 256
+#: Centres go to every task; more than this is refused.
+CENTER_BYTES = 256 * 1024 * 1024
 
 
 def train_cells(
-    corpus: DataFrame, nlist: int = DEFAULT_NLIST, seed: int = 17, max_iter: int = 10, vector: str = "vector"
+    corpus: DataFrame,
+    nlist: int = DEFAULT_NLIST,
+    seed: int = 17,
+    max_iter: int = 10,
+    vector: str = "vector",
+    fraction: float = 1.0,
 ) -> np.ndarray:
-    """Cell centres by distributed k-means. ``nlist`` is capped by the row count.
+    """Cell centres by distributed k-means over all vectors. ``nlist`` is capped by the row count.
 
-    Training sees at most a fixed number of rows per cell, which only moves the
-    centres: every row is assigned to a cell afterwards, none is left out.
+    A caller may train on a random ``fraction``, at every size alike; it only moves the
+    centres, as every row is assigned to a cell afterwards.
     """
     rows = corpus.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector)).alias("features"))
-    total = rows.count()
-    nlist = max(1, min(nlist, total))
-    wanted = nlist * TRAINING_ROWS_PER_CELL
-    sample = rows if total <= wanted else rows.sample(fraction=wanted / total, seed=seed)
-    sample = sample.cache()
+    rows = (rows if fraction >= 1 else rows.sample(fraction=fraction, seed=seed)).cache()
     try:
-        model = KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(sample)
+        model = KMeans(k=max(1, min(nlist, rows.count())), seed=seed, maxIter=max_iter).fit(rows)
     finally:
-        sample.unpersist()
+        rows.unpersist()
     return np.array(model.clusterCenters(), dtype=np.float32)
 
 
 def _nearest_cells(vector: Column, centers: np.ndarray, n: int) -> Column:
-    """The ``n`` nearest cells of a vector, nearest first. Centres are nlist x dim values."""
+    """The ``n`` nearest cells of a vector, nearest first; of equally near ones the lower number."""
+    if centers.nbytes > CENTER_BYTES:
+        raise ValueError(f"cell centres take {centers.nbytes} bytes, at most {CENTER_BYTES} are sent to tasks")
 
     @F.arrow_udf("array<int>")
     def cells(vectors: pa.Array) -> pa.Array:
         flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
         rows = flat.reshape(len(vectors), -1)
         distance = (centers * centers).sum(axis=1) - 2 * rows @ centers.T
-        order = np.argsort(distance, axis=1, kind="stable")[:, :n].astype(np.int32)
+        if n == 1:
+            order = distance.argmin(axis=1)[:, None].astype(np.int32)
+        else:
+            kth = np.partition(distance, n - 1, axis=1)[:, n - 1 : n]
+            order = np.empty((len(rows), n), np.int32)
+            for i, line in enumerate(distance):
+                near = np.flatnonzero(line <= kth[i])
+                order[i] = near[np.argsort(line[near], kind="stable")[:n]]
         offsets = pa.array(np.arange(len(rows) + 1) * order.shape[1], pa.int32())
         return pa.ListArray.from_arrays(offsets, pa.array(order.ravel(), pa.int32()))
 
@@ -51,8 +63,8 @@ def _nearest_cells(vector: Column, centers: np.ndarray, n: int) -> Column:
 
 
 def ivf_assign(corpus: DataFrame, centers: np.ndarray, vector: str = "vector") -> DataFrame:
-    """Add ``_cell``, the nearest cell of every row."""
-    return corpus.where(F.size(vector) == centers.shape[1]).withColumn(
+    """Add ``_cell``, the nearest cell of every row with a sound vector."""
+    return corpus.where(is_sound(F.col(vector), centers.shape[1])).withColumn(
         "_cell", _nearest_cells(F.col(vector), centers, 1)[0]
     )
 
@@ -81,5 +93,6 @@ def ivf_search(
 
     With ``nprobe`` equal to the number of cells the result is the exact one.
     """
-    probes = queries.withColumn("cells", _nearest_cells(F.col("vector"), centers, min(nprobe, len(centers))))
-    return nearest(probes, cells, k, metric, output, **options)
+    sound = queries.where(is_sound(F.col("vector"), centers.shape[1]))
+    probes = sound.withColumn("cells", _nearest_cells(F.col("vector"), centers, min(nprobe, len(centers))))
+    return nearest(probes, cells, k, metric, output, dimension=centers.shape[1], **options)

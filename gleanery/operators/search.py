@@ -1,8 +1,9 @@
 """Filtered top-k vector search.
 
 Exact scoring compares every query with every stored vector, but the pairs are
-never rows: each Arrow batch of the collection meets the query matrix in one
-matrix product, and only rows that enter a query's current top k leave it.
+never rows: each Arrow batch of ids and vectors meets the query matrix in one
+matrix product, and a task sends its final top k of every query. Text and metadata
+are read afterwards, for the hits only.
 """
 
 import logging
@@ -15,20 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.operators.embedding import Loader, embed_query, has_dimension
+from gleanery.operators.embedding import Loader, embed_query, has_dimension, is_sound, reject_reason
 from gleanery.operators.ordering import top_n_per_group
 from gleanery.schema import DEFAULT_K, MAX_K, MIN_K
 from gleanery.session import cut_lineage
 
 METRICS = ("L2", "IP", "COSINE")
 _ID_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
-# Query sets up to this size are sent to every task; larger ones are shuffled.
-BROADCAST_QUERY_BYTES = 16 * 1024 * 1024
+PLANS = ("scan", "blocks")
+# The scan plan sends the query set to every task and refuses one above this size.
+SCAN_QUERY_BYTES = 16 * 1024 * 1024
 BLOCK_ROWS = 50_000
 # What one task holds: (query, hit) entries of all its running top k lists,
 # and distances of one matrix product.
 STATE_ENTRIES = 1_000_000
 PRODUCT_CELLS = 4_000_000
+TILE_ROWS = 8_192
 
 
 # --- predicates ------------------------------------------------------------
@@ -84,18 +87,24 @@ class QueryBlock:
     vectors: np.ndarray
     cells: list | None = None
 
-    def probing(self, cell) -> np.ndarray:
+    def probing(self, cell: int) -> np.ndarray:
         if self.cells is None:
             return np.arange(len(self.ids))
-        return np.array([i for i, probed in enumerate(self.cells) if cell in probed], dtype=int)
+        if not hasattr(self, "_asking"):
+            self._asking: dict[int, list[int]] = {}
+            for i, probed in enumerate(self.cells):
+                for c in probed:
+                    self._asking.setdefault(c, []).append(i)
+        return np.array(self._asking.get(cell, []), dtype=int)
 
 
 class RunningTopK:
-    """Best k (distance, id) per query seen so far by one task."""
+    """Best k (distance, id, score, row to keep) per query seen so far by one task; an id counts once."""
 
     def __init__(self, queries: QueryBlock, k: int, metric: str) -> None:
         self.queries, self.k, self.metric = queries, k, metric
         self.best: list[list[tuple]] = [[] for _ in queries.ids]
+        self.limits = np.full(len(queries.ids), np.inf)
 
     def _rough(self, which: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Single-precision distances, smaller is nearer, and a bound on their error."""
@@ -111,91 +120,97 @@ class RunningTopK:
         cosine = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
         return -cosine, np.full(len(which), 8 * rows.shape[1] * np.finfo(np.float32).eps)
 
-    def offer(self, which: np.ndarray, rows: np.ndarray, ids: list) -> list[tuple[int, int, float]]:
-        """(query, row, score) of rows that belong to a query's best k so far."""
+    def offer(self, which: np.ndarray, rows: np.ndarray, ids: list) -> None:
+        """Let rows compete for the best k of the queries ``which``."""
         step = max(1, PRODUCT_CELLS // max(1, len(rows)))
-        entered = []
         for at in range(0, len(which), step):
-            entered.extend(self._offer(which[at : at + step], rows, ids))
-        return entered
+            self._offer(which[at : at + step], rows, ids)
 
-    def _offer(self, which: np.ndarray, rows: np.ndarray, ids: list) -> list[tuple[int, int, float]]:
-        entered = []
+    def _offer(self, which: np.ndarray, rows: np.ndarray, ids: list) -> None:
         rough, slack = self._rough(which, rows)
-        for line, q, margin in zip(rough, which, slack):
+        limits = self.limits[which] + slack
+        # most batches bring nothing to most queries: they are passed over without a loop
+        for at in np.flatnonzero(~(rough.min(axis=1) > limits)).tolist():
+            line, q, margin = rough[at], int(which[at]), slack[at]
             k = min(self.k, len(line))
-            limit = np.partition(line, k - 1)[k - 1] + 2 * margin
-            best = self.best[q]
-            if len(best) == self.k:
-                limit = min(limit, best[-1][0] + margin)
-            near = np.flatnonzero(line <= limit)
-            if not len(near):
-                continue
+            nearest = np.partition(line, k - 1)[k - 1] + 2 * margin
+            near = np.flatnonzero(~(line > min(limits[at], nearest) if self._unique(ids) else line > limits[at]))
             scores = exact_scores(self.queries.vectors[q], rows[near], self.metric)
             ranked = scores if self.metric == "L2" else -scores
-            # Keep k by (distance, id); sorting only what ties or beats the k-th.
-            if len(near) > self.k:
-                kept = np.flatnonzero(ranked <= np.partition(ranked, self.k - 1)[self.k - 1])
-                near, scores, ranked = near[kept], scores[kept], ranked[kept]
-            fresh = sorted(zip(ranked.tolist(), (ids[i] for i in near), near.tolist(), scores.tolist()))
-            merged = sorted([(d, i, None, None) for d, i in best] + fresh, key=lambda e: e[:2])[: self.k]
-            self.best[q] = [(d, i) for d, i, _, _ in merged]
-            entered.extend((int(q), row, score) for _, _, row, score in merged if row is not None)
-        return entered
+            fresh = [(d, ids[i], s, i) for d, s, i in zip(ranked.tolist(), scores.tolist(), near.tolist())]
+            merged, seen = [], set()
+            for entry in sorted(self.best[q] + fresh, key=lambda e: e[:2]):
+                if entry[1] not in seen:
+                    seen.add(entry[1])
+                    # a row of this batch is kept as its vector, for callers that want it
+                    merged.append(entry if isinstance(entry[3], np.ndarray) else (*entry[:3], rows[entry[3]].copy()))
+                    if len(merged) == self.k:
+                        break
+            self.best[q] = merged
+            if len(merged) == self.k:
+                self.limits[q] = merged[-1][0]
+
+    def _unique(self, ids: list) -> bool:
+        """Whether a batch has no id twice; only then do its k nearest rows stand for k ids."""
+        if getattr(self, "_last", None) is not ids:
+            self._last, self._distinct = ids, len(set(ids)) == len(ids)
+        return self._distinct
+
+    def found(self, query_type: pa.DataType, id_type: pa.DataType, id_name: str, vector: str | None):
+        """The best k of every query as Arrow batches of bounded size."""
+        for at in range(0, len(self.best), 1_000):
+            part = [(self.queries.ids[at + i], *e) for i, best in enumerate(self.best[at : at + 1_000]) for e in best]
+            columns = [
+                pa.array([e[0] for e in part], query_type), pa.array([e[2] for e in part], id_type),
+                pa.array([e[3] for e in part], pa.float64()),
+            ]
+            names = ["query_id", id_name, "score"]
+            if vector is not None:
+                flat = np.concatenate([e[4] for e in part]) if part else np.zeros(0, np.float32)
+                size = len(flat) // len(part) if part else 0
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * size, pa.int32()), pa.array(flat, pa.float32())))
+                names.append(vector)
+            if part:
+                yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows; a null entry becomes NaN."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
     return flat.reshape(len(vectors), -1)
 
 
-def _scored_batch(batch: pa.RecordBatch, state: RunningTopK, query_type: pa.DataType, vector: str, chunk_id: str):
-    """Rows of ``batch`` that entered some query's top k, with query id and score."""
+def _compete(batch: pa.RecordBatch, state: RunningTopK, vector: str, chunk_id: str) -> None:
+    """Offer the rows of a batch whose vectors are finite to the queries that probe their cells."""
     rows, ids = _matrix(batch.column(vector)), batch.column(chunk_id).to_pylist()
     cells = np.asarray(batch.column("_cell").to_numpy(zero_copy_only=False))
-    entered = []
-    for cell in np.unique(cells):
+    sound = np.isfinite(rows).all(axis=1)
+    for cell in np.unique(cells[sound]):
         which = state.queries.probing(int(cell))
-        members = np.flatnonzero(cells == cell)
+        members = np.flatnonzero(sound & (cells == cell))
         if len(which):
-            found = state.offer(which, rows[members], [ids[i] for i in members])
-            entered.extend((q, int(members[row]), score) for q, row, score in found)
-    taken = batch.take(pa.array([row for _, row, _ in entered], pa.int64()))
-    keep = [name for name in taken.schema.names if name != "_cell"]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([state.queries.ids[q] for q, _, _ in entered], query_type)]
-        + [taken.column(name) for name in keep]
-        + [pa.array([score for _, _, score in entered], pa.float64())],
-        ["query_id", *keep, "score"],
-    )
+            state.offer(which, rows[members], [ids[i] for i in members])
 
 
 # --- the two ways to bring queries and vectors together ---------------------
 
-def _output_type(queries: DataFrame, corpus: DataFrame) -> T.StructType:
-    kept = [f for f in corpus.schema.fields if f.name != "_cell"]
-    return T.StructType(
-        [T.StructField("query_id", queries.schema["query_id"].dataType), *kept, T.StructField("score", T.DoubleType())]
-    )
-
-
-def _id_type(queries: DataFrame) -> pa.DataType:
-    name = queries.schema["query_id"].dataType.simpleString()
+def _id_type(df: DataFrame, column: str) -> pa.DataType:
+    name = df.schema[column].dataType.simpleString()
     if name not in _ID_TYPES:
-        raise TypeError(f"query_id must be one of {', '.join(_ID_TYPES)}, not {name}")
+        raise TypeError(f"{column} must be one of {', '.join(_ID_TYPES)}, not {name}")
     return _ID_TYPES[name]
 
 
-def _scan_topk(
-    id_type: pa.DataType, block: QueryBlock, corpus: DataFrame, out: T.StructType, k: int, metric: str, vector: str, chunk_id: str
-) -> DataFrame:
+def _scan_topk(block: QueryBlock, corpus: DataFrame, out: T.StructType, k: int, metric: str, names: tuple, types: tuple) -> DataFrame:
     """Every task scans its part of the collection against all queries. No shuffle."""
+    vector, chunk_id, kept = names
 
     def run(batches):
         state = RunningTopK(block, k, metric)
         for batch in batches:
             if batch.num_rows:
-                yield _scored_batch(batch, state, id_type, vector, chunk_id)
+                _compete(batch, state, vector, chunk_id)
+        yield from state.found(*types, chunk_id, kept)
 
     return corpus.mapInArrow(run, out)
 
@@ -244,20 +259,22 @@ def _in_blocks(
 
 
 def _block_topk(
-    queries: DataFrame, corpus: DataFrame, out: T.StructType, k: int, metric: str, vector: str, chunk_id: str, celled: bool
+    queries: DataFrame, corpus: DataFrame, out: T.StructType, k: int, metric: str, names: tuple, types: tuple, celled: bool
 ) -> DataFrame:
-    id_type = _id_type(queries)
+    vector, chunk_id, kept = names
 
     def work(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         found = []
         if rows.num_rows and wanted.num_rows:
-            vectors = _matrix(wanted.column("_query").combine_chunks())
-            state = RunningTopK(QueryBlock(wanted.column("query_id").to_pylist(), vectors), k, metric)
-            found = [_scored_batch(b, state, id_type, vector, chunk_id) for b in rows.combine_chunks().to_batches()]
+            state = RunningTopK(QueryBlock(wanted.column("query_id").to_pylist(), _matrix(wanted.column("_query").combine_chunks())), k, metric)
+            for batch in rows.combine_chunks().to_batches(max_chunksize=10_000):
+                _compete(batch, state, vector, chunk_id)
+            found = list(state.found(*types, chunk_id, kept))
         if found:
             return pa.Table.from_batches(found)
-        empty = rows.slice(0, 0).drop_columns(["_cell"]).add_column(0, "query_id", pa.array([], id_type))
-        return empty.append_column("score", pa.array([], pa.float64()))
+        columns = [pa.array([], types[0]), pa.array([], types[1]), pa.array([], pa.float64())]
+        columns += [pa.array([], pa.list_(pa.float32()))] if kept is not None else []
+        return pa.Table.from_arrays(columns, out.fieldNames())
 
     return _in_blocks(queries, corpus, out, min(BLOCK_ROWS, STATE_ENTRIES // k), chunk_id, celled, work)
 
@@ -270,53 +287,89 @@ def nearest(
     output: list[str] | None = None,
     vector: str = "vector",
     chunk_id: str = "chunk_id",
-    broadcast_bytes: int = BROADCAST_QUERY_BYTES,
+    plan: str = "scan",
+    dimension: int | None = None,
 ) -> DataFrame:
     """k best rows of ``corpus`` for every row of ``queries(query_id, vector)``.
 
-    When both sides carry cells (``corpus._cell``, ``queries.cells``) a query
+    Only ids and vectors are scored; the other columns of ``output`` are joined to
+    the at most queries x k rows that are left. Rows that share a chunk id count as
+    one. When both sides carry cells (``corpus._cell``, ``queries.cells``) a query
     only meets the cells it probes. Ranks are by score, ties by chunk id.
+
+    ``plan="scan"`` sends the queries to every task and refuses a set too large for
+    that; ``plan="blocks"`` shuffles both sides in blocks and takes any number. Both
+    give the same rows. Vectors of another length than ``dimension`` (by default that
+    of most queries), with a null or non-finite entry, or null are not compared, on
+    either side: ``vector_rejects`` counts them.
     """
     if not MIN_K <= k <= MAX_K:
         raise ValueError(f"k must be between {MIN_K} and {MAX_K}")
     metric = metric.upper()
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
+    if plan not in PLANS:
+        raise ValueError(f"plan is one of {', '.join(PLANS)}")
     with_cells = "cells" in queries.columns
     output = output if output is not None else [c for c in corpus.columns if c not in (vector, "_cell")]
-    columns = list(dict.fromkeys([chunk_id, *output, vector]))
-    rows = corpus.where(F.col(vector).isNotNull()).select(
-        *columns, (F.col("_cell") if with_cells else F.lit(0)).cast("int").alias("_cell")
-    )
-    asked = queries.select(
-        "query_id", F.col("vector"), (F.col("cells") if with_cells else F.array(F.lit(0))).alias("cells")
+    asked = queries.select("query_id", F.col("vector"), (F.col("cells") if with_cells else F.array(F.lit(0))).alias("cells"))
+    dimension = dimension if dimension is not None else query_dimension(asked)
+    asked = asked.where(is_sound(F.col("vector"), dimension))
+    rows = corpus.where(has_dimension(F.col(vector), dimension)).select(
+        chunk_id, vector, (F.col("_cell") if with_cells else F.lit(0)).cast("int").alias("_cell")
     )
-    out = _output_type(asked, rows)
-    block, dimension = _bounded_queries(asked, broadcast_bytes, STATE_ENTRIES // k)
-    rows = rows.where(F.size(vector) == dimension)
-    if block is None:
-        scored = _block_topk(asked, rows, out, k, metric, vector, chunk_id, with_cells)
+    kept = vector if vector in output else None
+    types = (_id_type(asked, "query_id"), _id_type(rows, chunk_id))
+    out = T.StructType([
+        T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField(chunk_id, rows.schema[chunk_id].dataType),
+        T.StructField("score", T.DoubleType()), *([T.StructField(vector, T.ArrayType(T.FloatType()))] if kept else []),
+    ])
+    if plan == "blocks":
+        scored = _block_topk(asked, cut_lineage(rows), out, k, metric, (vector, chunk_id, kept), types, with_cells)
     else:
+        block = _query_block(asked, dimension, STATE_ENTRIES // k)
         if with_cells:
             rows = rows.where(F.col("_cell").isin(sorted({c for cells in block.cells for c in cells})))
-        scored = _scan_topk(_id_type(asked), block, rows, out, k, metric, vector, chunk_id)
-    return topk_per_query(scored, k, metric, chunk_id).select(
-        "query_id", "rank", *[c for c in columns if c != vector or vector in output], "score"
-    )
-
-
-def _bounded_queries(queries: DataFrame, limit: int, most: int) -> tuple[QueryBlock | None, int]:
-    """The query set as one block, or None when it is too large for one task; and its dimension."""
-    low, high, probes, total = queries.agg(
-        F.min(F.size("vector")), F.max(F.size("vector")), F.max(F.size("cells")), F.count("*")
+        scored = _scan_topk(block, rows, out, k, metric, (vector, chunk_id, kept), types)
+    order = F.min if metric == "L2" else F.max
+    once = scored.groupBy("query_id", chunk_id).agg(order("score").alias("score"), *([F.first(vector).alias(vector)] if kept else []))
+    best = topk_per_query(once, k, metric, chunk_id)
+    more = [c for c in output if c not in (chunk_id, vector)]
+    if more:
+        # a table of known size, so that Spark can choose the join; vectors are not read again
+        best = cut_lineage(best)
+        wanted = best.select(chunk_id).distinct()
+        best = best.join(corpus.select(chunk_id, *more).join(wanted, chunk_id, "left_semi").dropDuplicates([chunk_id]), chunk_id)
+    return best.select("query_id", "rank", *dict.fromkeys([chunk_id, *output]), "score")
+
+
+def query_dimension(queries: DataFrame, vector: str = "vector") -> int:
+    """The length most vectors have, the larger of equally frequent ones; 0 without vectors."""
+    sizes = queries.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("d")).count()
+    first = sizes.orderBy(F.desc("count"), F.desc("d")).first()
+    return first["d"] if first else 0
+
+
+def vector_rejects(queries: DataFrame, corpus: DataFrame, dimension: int | None = None, vector: str = "vector") -> DataFrame:
+    """(side, reason, n): the vectors that a search does not compare, by reason."""
+    dimension = dimension if dimension is not None else query_dimension(queries)
+    sides = (("query", queries.select(F.col("vector").alias("v"))), ("stored", corpus.select(F.col(vector).alias("v"))))
+    counted = [
+        df.select(F.lit(side).alias("side"), reject_reason(F.col("v"), dimension).alias("reason")).where("reason IS NOT NULL") for side, df in sides
+    ]
+    return counted[0].unionByName(counted[1]).groupBy("side", "reason").agg(F.count("*").alias("n"))
+
+
+def _query_block(queries: DataFrame, dimension: int, most: int) -> QueryBlock:
+    """The query set as one block; an error when it is too large for one task."""
+    total, ids, probes = queries.agg(
+        F.count("*"), F.sum(F.length(F.col("query_id").cast("string"))), F.max(F.size("cells"))
     ).first()
-    if low != high:
-        raise ValueError(f"query vectors have between {low} and {high} values")
-    if total > most or total * (4 * ((high or 0) + (probes or 0)) + 64) > limit:
-        return None, high
+    if total > most or total * (4 * (dimension + (probes or 0)) + 64) + 4 * (ids or 0) > SCAN_QUERY_BYTES:
+        raise ValueError(f"{total} queries are too many for the scan plan; use plan='blocks'")
     rows = queries.collect()
-    vectors = np.array([r["vector"] for r in rows], dtype=np.float32).reshape(len(rows), high or 0)
-    return QueryBlock([r["query_id"] for r in rows], vectors, [set(r["cells"]) for r in rows]), high or 0
+    vectors = np.array([r["vector"] for r in rows], dtype=np.float32).reshape(len(rows), dimension)
+    return QueryBlock([r["query_id"] for r in rows], vectors, [set(r["cells"]) for r in rows])
 
 
 def topk_per_query(scored: DataFrame, k: int, metric: str = "L2", chunk_id: str = "chunk_id") -> DataFrame:
@@ -330,42 +383,63 @@ def candidate_summary(
     metric: str = "L2",
     vector: str = "vector",
     chunk_id: str = "chunk_id",
-    broadcast_bytes: int = BROADCAST_QUERY_BYTES,
+    plan: str = "scan",
+    dimension: int | None = None,
 ) -> DataFrame:
-    """Per query: candidate pairs, lowest and highest score, without producing the pairs."""
+    """Per query: candidate pairs, lowest and highest score, without producing the pairs.
+
+    Plans and unsound vectors as in ``nearest``. A task holds three numbers per query
+    and the scores of one query with a tile of rows.
+    """
+    if plan not in PLANS:
+        raise ValueError(f"plan is one of {', '.join(PLANS)}")
     asked = queries.select("query_id", "vector", F.array(F.lit(0)).alias("cells"))
-    id_type, id_name = _id_type(asked), asked.schema["query_id"].dataType.simpleString()
-    block, dimension = _bounded_queries(asked, broadcast_bytes, STATE_ENTRIES)
+    dimension = dimension if dimension is not None else query_dimension(asked)
+    asked = asked.where(is_sound(F.col("vector"), dimension))
+    id_type, id_name = _id_type(asked, "query_id"), asked.schema["query_id"].dataType.simpleString()
     rows = corpus.where(has_dimension(F.col(vector), dimension)).select(chunk_id, vector, F.lit(0).alias("_cell"))
     out = f"query_id {id_name}, pairs bigint, low double, high double"
 
-    def summary(stored: np.ndarray, ids: list, vectors: np.ndarray) -> pa.RecordBatch:
-        scores = [exact_scores(q, stored, metric) for q in vectors] if len(stored) else []
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids if len(stored) else [], id_type),
-                pa.array([len(s) for s in scores], pa.int64()),
-                pa.array([s.min() for s in scores], pa.float64()),
-                pa.array([s.max() for s in scores], pa.float64()),
-            ],
-            ["query_id", "pairs", "low", "high"],
-        )
-
-    def scan(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield summary(_matrix(batch.column(vector)), block.ids, block.vectors)
+    class Summary:
+        def __init__(self, ids: list, vectors: np.ndarray) -> None:
+            self.ids, self.vectors, self.pairs = ids, vectors, 0
+            self.low, self.high = np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
+
+        def add(self, stored: np.ndarray) -> None:
+            stored = stored[np.isfinite(stored).all(axis=1)]
+            self.pairs += len(stored)
+            for at in range(0, len(stored), TILE_ROWS):
+                tile = stored[at : at + TILE_ROWS]
+                for i, q in enumerate(self.vectors):
+                    scores = exact_scores(q, tile, metric)
+                    self.low[i], self.high[i] = min(self.low[i], scores.min()), max(self.high[i], scores.max())
+
+        def batch(self) -> pa.RecordBatch:
+            n = len(self.ids) if self.pairs else 0
+            columns = [
+                pa.array(self.ids[:n], id_type), pa.array([self.pairs] * n, pa.int64()), pa.array(self.low[:n]), pa.array(self.high[:n]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["query_id", "pairs", "low", "high"])
 
     def work(stored: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not stored.num_rows or not wanted.num_rows:
-            return pa.Table.from_batches([summary(np.empty((0, 1)), [], np.empty((0, 1)))])
-        vectors = _matrix(wanted.column("_query").combine_chunks())
-        found = summary(_matrix(stored.column(vector).combine_chunks()), wanted.column("query_id").to_pylist(), vectors)
-        return pa.Table.from_batches([found])
-
-    if block is None:
-        parts = _in_blocks(asked, rows, out, BLOCK_ROWS, chunk_id, False, work)
+        vectors = _matrix(wanted.column("_query").combine_chunks()) if wanted.num_rows else np.empty((0, 1))
+        summary = Summary(wanted.column("query_id").to_pylist(), vectors)
+        if stored.num_rows and wanted.num_rows:
+            summary.add(_matrix(stored.column(vector).combine_chunks()))
+        return pa.Table.from_batches([summary.batch()])
+
+    if plan == "blocks":
+        parts = _in_blocks(asked, cut_lineage(rows), out, BLOCK_ROWS, chunk_id, False, work)
     else:
+        block = _query_block(asked, dimension, STATE_ENTRIES)
+
+        def scan(batches):
+            summary = Summary(block.ids, block.vectors)
+            for batch in batches:
+                if batch.num_rows:
+                    summary.add(_matrix(batch.column(vector)))
+            yield summary.batch()
+
         parts = rows.select(vector).mapInArrow(scan, out)
     return parts.groupBy("query_id").agg(F.sum("pairs").alias("pairs"), F.min("low").alias("low"), F.max("high").alias("high"))
 
@@ -380,10 +454,12 @@ def vector_search(
     metric: str = "L2",
     include_metadata: bool = True,
     include_vectors: bool = False,
+    plan: str = "scan",
+    dimension: int | None = None,
 ) -> DataFrame:
-    """Exact filtered search; filters apply before ranking."""
+    """Exact filtered search; filters apply before ranking. Plans as in ``nearest``."""
     output = ["doc_id", "content"] + (["metadata"] if include_metadata else []) + (["vector"] if include_vectors else [])
-    hits = nearest(queries, collection.where(combine_filters(filters)), k, metric, output)
+    hits = nearest(queries, collection.where(combine_filters(filters)), k, metric, output, plan=plan, dimension=dimension)
     return project_hits(hits, include_metadata, include_vectors)
 
 

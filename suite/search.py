@@ -1,13 +1,13 @@
 """Vector search, filters, cells and text search (F5, G6, H4, K, L, C19)."""
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.operators import chunking as C
 from gleanery.operators import embedding as E
 from gleanery.operators import ivf
 from gleanery.operators import search as S
-from gleanery.schema import DEFAULT_NLIST
 from gleanery.session import cut_lineage, scratch_path
 from gleanery.sources.collection import collection_rows
 from suite import inputs as I
@@ -49,6 +49,47 @@ def vector_topk(spark, sf):
     return _shown(hits)
 
 
+BROKEN = """CASE WHEN {id} % 11 = 0 THEN transform({v}, (x, i) -> IF(i = 3, CAST('NaN' AS FLOAT), x))
+  WHEN {id} % 13 = 0 THEN transform({v}, (x, i) -> IF(i = 5, NULL, x)) WHEN {id} % 17 = 0 THEN NULL
+  WHEN {id} % 19 = 0 THEN slice({v}, 1, 63) WHEN {id} % 23 = 0 THEN transform({v}, x -> CAST('Infinity' AS FLOAT)) ELSE {v} END"""
+SOUND = "vec_id % 11 <> 0 AND vec_id % 13 <> 0 AND vec_id % 17 <> 0 AND vec_id % 19 <> 0 AND vec_id % 23 <> 0"
+
+
+def _dirty(spark, sf):
+    """Stored vectors and queries of which many have a NaN, a null or infinite entry, 63 values, or are null."""
+    stored = _stored(spark, sf).withColumn("vec_id", F.expr("CAST(substr(chunk_id, 4) AS BIGINT)"))
+    queries = I.centroid_queries(spark, sf)
+    wrong = queries.select((F.col("query_id") + 100_001).alias("query_id"), "vector").withColumn("n", F.row_number().over(Window.orderBy("query_id")))
+    wrong = wrong.select("query_id", F.expr(BROKEN.format(id="array(11, 13, 17, 19, 23)[n % 5]", v="vector")).alias("vector"))
+    return queries.unionByName(wrong), stored.withColumn("vector", F.expr(BROKEN.format(id="vec_id", v="vector")))
+
+
+@query("vector_topk_dirty", " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, query_id, rank, id, score FROM ({_topk_sql(10, s, d, SOUND)})"
+    for m, s, d in (("L2", SQUARED, "ASC"), ("IP", DOT, "DESC"), ("COSINE", COSINE, "DESC"))
+))
+def vector_topk_dirty(spark, sf):
+    """Unsound vectors on both sides never hide or displace a sound hit, under any metric and in either plan."""
+    queries, stored = _dirty(spark, sf)
+    queries, found = cut_lineage(queries), []
+    for metric, plan in zip(S.METRICS, ("scan", "blocks", "scan")):
+        hits = S.vector_search(queries, stored, 10, metric=metric, include_metadata=False, plan=plan)
+        found.append(_shown(hits).select(F.lit(metric).alias("metric"), "query_id", "rank", "id", "score"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("vector_rejects", f"""
+WITH {I.CENTROID_CTE}, m AS (SELECT row_number() OVER (ORDER BY query_id) % 5 AS r FROM q),
+r AS (
+  SELECT 'query' AS side, CASE r WHEN 2 THEN 'expected 64 values, got 0' WHEN 3 THEN 'expected 64 values, got 63' ELSE 'null or non-finite value' END AS reason FROM m
+  UNION ALL SELECT 'stored', CASE WHEN vec_id % 11 = 0 OR vec_id % 13 = 0 THEN 'null or non-finite value' WHEN vec_id % 17 = 0 THEN 'expected 64 values, got 0'
+    WHEN vec_id % 19 = 0 THEN 'expected 64 values, got 63' ELSE 'null or non-finite value' END FROM embeddings WHERE NOT ({SOUND})
+)
+SELECT side, reason, count(*) AS n FROM r GROUP BY side, reason""")
+def vector_rejects(spark, sf):
+    return S.vector_rejects(*_dirty(spark, sf), dimension=I.DIMENSION)
+
+
 @query("vector_metrics", " UNION ALL ".join(
     f"SELECT '{m}' AS metric, * FROM ({_topk_sql(10, s, d)})"
     for m, s, d in (("L2", SQUARED, "ASC"), ("IP", DOT, "DESC"), ("COSINE", COSINE, "DESC"))
@@ -74,7 +115,7 @@ def topk_per_query(spark, sf):
     """Every stored vector as a query: the shuffled block plan, no broadcast of the queries."""
     stored = _stored(spark, sf)
     queries = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    hits = S.nearest(queries, stored, 5, output=[], broadcast_bytes=0)
+    hits = S.nearest(queries, stored, 5, output=[], plan="blocks")
     return hits.select("query_id", I.big("rank").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -138,11 +179,28 @@ def combine_filters(spark, sf):
 NLIST = 16
 
 
-@query("ivf_assign")
+def _distance(vector, center):
+    """Squared distance of two columns in double precision, by expressions."""
+    squares = F.zip_with(vector, center, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2)))
+    return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
+
+
+def _center_column(centers):
+    return F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centers))
+
+
+@query("ivf_assign", "SELECT concat('vec', vec_id) AS chunk_id, true AS known, true AS is_nearest FROM embeddings")
 def ivf_assign(spark, sf):
-    """Every stored vector with its cell; each row's cell is the nearest centre (tested)."""
+    """Every stored vector with its cell, and whether that is the nearest of all centres, recomputed by expressions."""
     stored = _stored(spark, sf)
-    return ivf.ivf_assign(stored, ivf.train_cells(stored, NLIST)).select("chunk_id", I.big("_cell").alias("cell"))
+    centers = ivf.train_cells(stored, NLIST)
+    cells = cut_lineage(ivf.ivf_assign(stored, centers).select("chunk_id", "vector", "_cell"))
+    distances = F.transform(_center_column(centers), lambda c: _distance(F.col("vector"), c))
+    judged = cells.select("chunk_id", "_cell", distances.alias("d"))
+    return judged.select(
+        "chunk_id", F.col("_cell").between(0, len(centers) - 1).alias("known"),
+        (F.get("d", F.col("_cell")) <= F.array_min("d") + 1e-4).alias("is_nearest"),
+    )
 
 
 def _cells(spark, sf):
@@ -151,12 +209,28 @@ def _cells(spark, sf):
     return ivf.write_cells(ivf.ivf_assign(stored, centers), scratch_path(spark, "cells")), centers
 
 
-@query("ivf_search")
+@query("ivf_search", f"""
+WITH {I.CENTROID_CTE}
+SELECT CAST(query_id AS BIGINT) AS query_id, 5::BIGINT AS n_hits, true AS ranks_whole, true AS scores_exact, true AS all_probed, true AS in_order FROM q""")
 def ivf_search(spark, sf):
-    """Approximate: 4 of 16 cells probed."""
+    """Approximate, 4 of 16 cells probed; per query what the contract promises, recomputed by expressions."""
     cells, centers = _cells(spark, sf)
-    hits = ivf.ivf_search(I.centroid_queries(spark, sf), cells, centers, 5, 4, output=["doc_id", "content"])
-    return _shown(S.project_hits(hits, include_metadata=False))
+    queries = cut_lineage(I.centroid_queries(spark, sf))
+    hits = ivf.ivf_search(queries, cells, centers, 5, 4, output=[])
+    asked = queries.select("query_id", F.col("vector").alias("asked"))
+    near = F.transform(_center_column(centers), lambda c, i: F.struct(_distance(F.col("asked"), c).alias("d"), i.alias("cell")))
+    probed = F.transform(F.slice(F.array_sort(near), 1, 4), lambda x: x["cell"])
+    # two cells within the rounding of the fourth may change places
+    fourth = F.element_at(F.array_sort(near), 4)["d"]
+    judged = hits.join(asked, "query_id").join(cells.select("chunk_id", "vector", "_cell"), "chunk_id").select(
+        "query_id", "rank", "score", (F.abs(_distance(F.col("asked"), F.col("vector")) - F.col("score")) < 1e-6).alias("exact"),
+        (F.array_contains(probed, F.col("_cell")) | (F.get(near, F.col("_cell"))["d"] <= fourth + 1e-4)).alias("probed"),
+    )
+    return judged.groupBy("query_id").agg(
+        F.count("*").alias("n_hits"), (F.sort_array(F.collect_list("rank")) == F.sequence(F.lit(1), F.count("*").cast("int"))).alias("ranks_whole"),
+        F.bool_and("exact").alias("scores_exact"), F.bool_and("probed").alias("all_probed"),
+        (F.array_sort(F.collect_list("score")) == F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"])).alias("in_order"),
+    ).withColumn("query_id", F.col("query_id").cast("bigint"))
 
 
 @query("ivf_search_all_cells", _topk_sql(5))
@@ -175,9 +249,7 @@ cells AS (SELECT chunk_id, cell FROM near WHERE n = 1)"""
 
 def _label_centers(spark, sf):
     """The mean vector of every label as cell centres, ordered by label: known cells, so SQL can follow."""
-    rows = I.centroid_queries(spark, sf).orderBy("query_id").limit(DEFAULT_NLIST + 1).collect()
-    if len(rows) > DEFAULT_NLIST:
-        raise ValueError("more labels than cells")
+    rows = I.centroid_queries(spark, sf).orderBy("query_id").collect()
     return np.array([r["vector"] for r in rows], dtype=np.float32)
 
 

@@ -50,7 +50,7 @@ def test_block_plan_equals_scan_plan(corpus, queries, metric, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_ROWS", 2)
     small = corpus.where("chunk_id < 'c030' or chunk_id between 'c100' and 'c120'")
     scan = S.nearest(queries, small, 7, metric, output=["doc_id"]).collect()
-    blocks = S.nearest(queries, small, 7, metric, output=["doc_id"], broadcast_bytes=0).collect()
+    blocks = S.nearest(queries, small, 7, metric, output=["doc_id"], plan="blocks").collect()
     assert sorted(map(tuple, scan)) == sorted(map(tuple, blocks)) and len(scan) == 21
 
 
@@ -83,7 +83,7 @@ def test_no_queries_no_hits(corpus, queries):
 
 def test_candidate_summary(corpus, queries):
     rows = {r.query_id: r for r in S.candidate_summary(queries, corpus).collect()}
-    blocks = S.candidate_summary(queries, corpus, broadcast_bytes=0).collect()
+    blocks = S.candidate_summary(queries, corpus, plan="blocks").collect()
     assert sorted(map(tuple, blocks)) == sorted(map(tuple, rows.values()))
     scores = S.exact_scores(VECTORS[7], VECTORS, "L2")
     assert rows[1].pairs == 300 and rows[1].low == 0 and abs(rows[1].high - scores.max()) < 1e-9
@@ -100,7 +100,7 @@ def test_cells(corpus, queries):
     all_cells = ivf.ivf_search(queries, cells, centers, 5, 6, output=["doc_id"]).collect()
     assert sorted(map(tuple, exact)) == sorted(map(tuple, all_cells))
     some = ivf.ivf_search(queries, cells, centers, 5, 2, output=["doc_id"]).collect()
-    blocks = ivf.ivf_search(queries, cells, centers, 5, 2, output=["doc_id"], broadcast_bytes=0).collect()
+    blocks = ivf.ivf_search(queries, cells, centers, 5, 2, output=["doc_id"], plan="blocks").collect()
     assert sorted(map(tuple, some)) == sorted(map(tuple, blocks))
 
 
