@@ -73,7 +73,7 @@ class Words:
         after[:-1] = inside[1:]
         self.end = np.flatnonzero(inside & (first[1:] | ~after)) + 1
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(20, int(n).bit_length())
         up, down = _powers(size)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_byte_values()[data] * up[:n], out=sums[1:])

@@ -34,13 +34,14 @@ def brute(text, pieces):
     return [i for ids in reversed(out) for i in ids]
 
 
-def test_against_brute_force(spark, pieces):
+@pytest.mark.parametrize("frequent", [0, 20, 200_000])
+def test_against_brute_force(spark, pieces, frequent):
     rng = random.Random(4)
     texts = [None, "", " ", "   a  b", "a\nb\n\n", "été naïve ß", "日本語テスト 🎉🎉", "x" * 700, "aé" * 600, "0x1F,;()[]{}", "▁mark▁", "\0\x01", "Hello world. The end"]
     texts += ["".join(rng.choices("abeinrt .,\n'é0", k=rng.randint(1, 80))) for _ in range(60)]
     rows = [(i, t, "clash", 0) for i, t in enumerate(texts)] + [(3, texts[3], "", 0), (None, "null id", "", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, block int").repartition(3)
-    found = encode_pieces(df, pieces)
+    found = encode_pieces(df, pieces, frequent_words=frequent)
     got = sorted(((r.doc_id, r.n_pieces, r.ids, r.round_trip) for r in found.collect()), key=repr)
     expected = [(i, brute(t or "", pieces), MARK not in (t or "")) for i, t, *_ in rows]
     assert got == sorted(((i, len(ids), ids, same) for i, ids, same in expected), key=repr)
@@ -81,5 +82,5 @@ def test_same_ids_as_the_library_on_a_unigram_model(spark, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=str(path))
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for row in encode_pieces(docs, load_pieces(str(path))).collect():
+    for row in encode_pieces(docs, load_pieces(str(path)), frequent_words=1_000).collect():
         assert row.ids == library.encode(texts[row.doc_id])
