@@ -33,6 +33,14 @@ def worker_state() -> dict:
     return sys.modules.setdefault("gleanery_worker_state", types.ModuleType("gleanery_worker_state")).__dict__
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, without a copy: what is built for each of them stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def text_steps(batch: pa.RecordBatch, column: str = "text", rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a batch into steps of about STEP_BYTES and at most ``rows`` rows: first row, end row, bytes, offsets from 0.
 

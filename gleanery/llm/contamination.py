@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import text_steps, two_columns
+from gleanery.llm.common import slices, text_steps, two_columns
 from gleanery.llm.words import ALPHANUMERIC, Words, byte_class, combine
 from gleanery.session import cut_lineage
 
@@ -134,7 +134,7 @@ def _occurrences(block, words: Words, raw: bytes) -> tuple[np.ndarray, np.ndarra
 def _hits(block):
     def hits(batches):
         member = byte_class(ALPHANUMERIC)
-        for batch in batches:
+        for batch in slices(batches):
             columns = [[], [], []]
             for row, end, data, offsets in text_steps(batch):
                 words = Words(data, offsets, member)

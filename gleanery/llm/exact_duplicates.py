@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from gleanery.llm.common import two_columns
+from gleanery.llm.common import slices, two_columns
 from gleanery.session import cut_lineage
 
 HEAD = 32
 
 
 def _normalise(batches):
-    for batch in batches:
+    for batch in slices(batches):
         bodies = [text.encode().lower() for text in batch.column("text").to_pylist()]  # of bytes: A-Z only
         yield pa.RecordBatch.from_arrays(
             [
@@ -53,7 +53,7 @@ def _sweep(schema: pa.Schema):
                 column.extend(values)
 
         body, digest, ids, first = None, b"", [], True
-        for batch in batches:
+        for batch in slices(batches):
             for i, d, b in zip(*(batch.column(c).to_pylist() for c in ("id", "digest", "body"))):
                 if b == body:  # the full comparison with the neighbour
                     ids.append(i)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import text_steps
+from gleanery.llm.common import slices, text_steps
 from gleanery.session import cut_lineage
 
 SIZE = 1 << 12
@@ -147,7 +147,7 @@ def fit_languages(
 def _predict(model):
     def predict(batches):
         m = model.value
-        for batch in batches:
+        for batch in slices(batches):
             for row, end, data, offsets in text_steps(batch, rows=_ROWS):
                 letters = np.array(batch.column("letters").slice(row, end - row).to_pylist(), bool)
                 if len(m.languages):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import text_steps
+from gleanery.llm.common import slices, text_steps
 from gleanery.llm.components import components
 from gleanery.llm.words import SPACED, Words, byte_class, combine, mix
 from gleanery.session import cut_lineage
@@ -81,7 +81,7 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 def _signatures(width: int, bins: int, rows: int):
     def sign(batches):
         ranks = probing_ranks(bins)
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch, "text", width)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             keys = [None] * len(sets)
@@ -105,7 +105,7 @@ def _signatures(width: int, bins: int, rows: int):
 
 def _confirm(width: int, percent: int):
     def confirm(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, sets = {}, []
             for side in ("a", "b"):
                 ids = batch.column(side).to_pylist()

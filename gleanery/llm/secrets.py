@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import two_columns
+from gleanery.llm.common import slices, two_columns
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
@@ -190,7 +190,7 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 
 
 def _scan(batches):
-    for batch in batches:
+    for batch in slices(batches):
         spans, skips = [], []
         for text in batch.column("text").to_pylist():
             found, skipped = layers(text)

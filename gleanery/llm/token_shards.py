@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gleanery.llm.common import two_columns, worker_state
+from gleanery.llm.common import slices, two_columns, worker_state
 from gleanery.session import cut_lineage, scratch_path
 
 MAGIC = b"WVM1"
@@ -150,6 +150,7 @@ class WaveletMatrix:
         return values
 
 
+_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?])(?:\n([^\W\d_]+)([.,;:!?])?)?")
 _BEFORE, _AFTER = re.compile(r"[^\S ] "), re.compile(r" [^\S ]")
 
 
@@ -208,18 +209,55 @@ class Encoder:
     def _chunk(key: str) -> str:
         return key[2:] if key[:2] == "  " else key[1:] if key[:1] == " " else " " + key
 
+    @staticmethod
+    def _parts(key: str) -> list[str] | None:
+        """Keys whose ids together are those of a word with a mark at its end, and of two such words around a line feed.
+
+        The pre-tokenizer ends a run of letters before a mark, a run of marks before
+        white space, and a single line feed before a letter.
+        """
+        lead, body = (" ", key[1:]) if key[:1] == " " else ("", key)
+        m = _MARKED.fullmatch(body)
+        if m is None or not m[1].isalpha() or not (m[3] or "a").isalpha():
+            return None
+        out = [lead + m[1], " " + m[2]]
+        if m[3]:
+            out += [" \n", " " + m[3]]
+            if m[4]:
+                out.append(" " + m[4])
+        return out
+
     def _learn(self, missing: list[str]) -> None:
+        """Ids of new words, put together from known parts where that is certain."""
+        known, whole, composed = self.recent, set(), []
+        for key in missing:
+            parts = self._parts(key)
+            if parts is None:
+                whole.add(key)
+                continue
+            composed.append((key, parts))
+            for part in parts:
+                if part not in known:
+                    if part in self.older:
+                        known[part] = self.older[part]
+                    else:
+                        whole.add(part)
+        self._ask(list(whole))
+        for key, parts in composed:
+            known[key] = b"".join([known[p] for p in parts])
+
+    def _ask(self, words: list[str]) -> None:
         """Encodes words in lines of many: a line feed before a space is a piece of its own, so it separates their ids."""
-        lines, single, width = [], [], self.kind().itemsize
-        plain = [key for key in missing if key[:1] != " " and "\n" not in key] if self.line_feed is not None else []
-        if len(plain) < len(missing):
-            chosen = set(plain)
-            single = [key for key in missing if key not in chosen]
+        width, plain = self.kind().itemsize, []
+        if self.line_feed is not None:
+            plain = [key for key in words if key[:1] != " " and "\n" not in key]
+        chosen = set(plain)
+        single = [key for key in words if key not in chosen]
         lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for words, found in zip(lines, self.tokenizer.encode_batch_fast([" " + "\n ".join(words) for words in lines], add_special_tokens=False)):
+        for line, found in zip(lines, self.tokenizer.encode_batch_fast([" " + "\n ".join(line) for line in lines], add_special_tokens=False)):
             ids = np.array(found.ids, self.kind)
             raw, start = ids.tobytes(), 0
-            for word, end in zip(words, [*np.flatnonzero(ids == self.line_feed).tolist(), len(ids)]):
+            for word, end in zip(line, [*np.flatnonzero(ids == self.line_feed).tolist(), len(ids)]):
                 self.recent[word] = raw[start * width : end * width]
                 start = end + 1
         for key, found in zip(single, self.tokenizer.encode_batch_fast([self._chunk(k) for k in single], add_special_tokens=False)):
@@ -255,7 +293,7 @@ def _shards(path: str, bits: int, shard_ids: int, id_type: pa.DataType):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "number", "n", "ids", "lengths", "image"])
 
-        for batch in batches:
+        for batch in slices(batches):
             names, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             for start in range(0, len(texts), 256):
                 for name, found in zip(names[start : start + 256], encoder.encode(texts[start : start + 256])):

@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -7,16 +8,27 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleanery.llm.queries import BYTE_BPE
-from gleanery.llm.token_shards import WaveletMatrix, chunks, token_shards, write_shards
+from gleanery.llm.token_shards import Encoder, WaveletMatrix, chunks, token_shards, write_shards
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def encoded(texts):
+@cache
+def opened():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BYTE_BPE)
     tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@cache
+def encoder():
+    return Encoder(BYTE_BPE)
+
+
+def encoded(texts):
+    tokenizer = opened()
     return [found.ids + [0] for found in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -58,6 +70,13 @@ def test_encoding_by_chunks_is_encoding(text):
     assert [i for ids in encoded(chunks(text)) for i in ids[:-1]] == encoded([text])[0][:-1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Été", "ab.", "a,", "b.\nA", "b.\nA,", "²", "a²", "x1.", "'s", "\n", " ", "a\u0301.", "日", "日.", "_b!", "a!?"]), max_size=8))
+def test_encoding_with_remembered_words_is_encoding(words):
+    text = " ".join(words)
+    assert encoder().encode([text, text])[1].tolist() == encoded([text])[0][:-1]
+
+
 def test_documents_of_every_kind(spark):
     rows = [(1, None), (2, ""), (3, "a  b \n c\n\n"), (4, "<|endoftext|>"), (5, "word " * 30_000), (6, "日本語 'twas  "), (7, "x" * 5_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, ids string").repartition(3)
