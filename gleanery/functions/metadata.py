@@ -4,11 +4,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanery.functions.content_types import coerce_content_type
-from gleanery.schema import DEFAULT_LANGUAGE, METADATA_KEYS
+from gleanery.schema import DEFAULT_LANGUAGE, IMAGE, METADATA_KEYS, VIDEO
 
 
 def project_metadata(raw: Column, content_type: Column) -> Column:
-    """Struct of the known keys of a string map; an explicit content type wins."""
+    """Struct of all known keys of a string map; an explicit content type wins.
+
+    Images, videos and the extra map are JSON texts in the map; what does not parse is null.
+    """
     known = F.map_filter(raw, lambda key, _: key.isin(METADATA_KEYS))
     picked = lambda key: F.try_element_at(known, F.lit(key))
     stamp = lambda key: F.coalesce(F.try_to_timestamp(picked(key)), F.current_timestamp())
@@ -25,6 +28,12 @@ def project_metadata(raw: Column, content_type: Column) -> Column:
         picked("last_modified").alias("last_modified"),
         picked("change_frequency").alias("change_frequency"),
         picked("priority").try_cast("double").alias("priority"),
+        picked("sitemap_lastmod").alias("sitemap_lastmod"),
+        picked("sitemap_changefreq").alias("sitemap_changefreq"),
+        picked("sitemap_priority").try_cast("double").alias("sitemap_priority"),
+        F.from_json(picked("images"), f"array<{IMAGE.simpleString()}>").alias("images"),
+        F.from_json(picked("videos"), f"array<{VIDEO.simpleString()}>").alias("videos"),
+        F.from_json(picked("extra"), "map<string,string>").alias("extra"),
     )
 
 

@@ -28,15 +28,32 @@ def normalize_url(url: Column) -> Column:
     return F.when(full.rlike(_PARTS), joined)
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path with its ``.`` and ``..`` segments carried out; those above the root are dropped."""
+    segments = F.split(F.regexp_replace(path, r"/(\.{1,2})$", "/$1/"), "/")
+    kept = F.aggregate(
+        F.slice(segments, F.lit(2), F.size(segments)), F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done)
+        .when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(s))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def resolve_url(base: Column, ref: Column) -> Column:
-    """Absolute URL of a root-relative reference; absolute references pass through."""
-    origin = F.regexp_extract(base, _ORIGIN, 0)
+    """Absolute URL of a reference: relative paths start at the base's directory, ``?`` and ``#`` at the base itself."""
+    origin, path = F.regexp_extract(base, _ORIGIN, 0), F.regexp_extract(base, _PARTS, 3)
+    bare = F.regexp_replace(base, "#.*$", "")
+    ref_path, ref_rest = F.regexp_extract(ref, "^[^?#]*", 0), F.regexp_extract(ref, "[?#].*$", 0)
+    directory = F.coalesce(blank_to_null(F.regexp_replace(path, "[^/]*$", "")), F.lit("/"))
     return (
         F.when(ref.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
         .when(ref.startswith("//"), F.concat(F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*:", 0), ref))
-        .when(ref.startswith("/"), F.concat(origin, ref))
         .when(ref == "", base)
-        .otherwise(F.concat(origin, F.lit("/"), ref))
+        .when(ref.startswith("#"), F.concat(bare, ref))
+        .when(ref.startswith("?"), F.concat(origin, path, ref))
+        .when(ref.startswith("/"), F.concat(origin, _without_dots(ref_path), ref_rest))
+        .otherwise(F.concat(origin, _without_dots(F.concat(directory, ref_path)), ref_rest))
     )
 
 
@@ -97,7 +114,7 @@ def is_sitemap_url(url: Column) -> Column:
 
 
 def is_sitemap_body(body: Column) -> Column:
-    return (body.startswith("<?xml") & body.contains("<sitemap")) | body.contains("<urlset")
+    return (body.startswith("<?xml") & body.rlike(r"<([A-Za-z_][\w.-]*:)?sitemap")) | body.rlike(r"<([A-Za-z_][\w.-]*:)?urlset")
 
 
 def is_sitemap_index_body(body: Column) -> Column:

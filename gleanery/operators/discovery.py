@@ -84,7 +84,7 @@ def expand_sitemap_index(roots: DataFrame, edges: DataFrame) -> DataFrame:
 def skip_seen(urls: DataFrame, seen: DataFrame, position: str = "position") -> DataFrame:
     """First occurrence of every URL that was not seen before."""
     first = urls.groupBy("url").agg(F.min(position).alias(position))
-    return first.join(seen.select("url"), "url", "left_anti")
+    return first.join(seen.select("url").distinct(), "url", "left_anti")
 
 
 def dedup_first(entries: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def crawl_website(sites: DataFrame, entries: DataFrame) -> DataFrame:
     found = entries.join(sites.select("base_url").distinct(), "base_url", "left_semi").select(
         "base_url", F.col("loc").alias("url"), F.lit("sitemap").alias("source_type")
     ).distinct()
-    without = sites.select("base_url").distinct().join(entries.select("base_url"), "base_url", "left_anti")
+    without = sites.select("base_url").distinct().join(entries.select("base_url").distinct(), "base_url", "left_anti")
     homepages = without.select("base_url", F.col("base_url").alias("url"), F.lit("direct").alias("source_type"))
     return found.unionByName(homepages)
 
@@ -188,14 +188,20 @@ def join_sitemap_metadata(results: DataFrame, entries: DataFrame) -> DataFrame:
 SUMMARY_LINES = 100
 
 
-def sitemap_summary(entries: DataFrame) -> DataFrame:
+def sitemap_summary(entries: DataFrame, sitemaps: DataFrame | None = None) -> DataFrame:
     """Text summary per sitemap: total and the first 100 entries.
 
+    ``sitemaps(sitemap_url)`` names all that were read, so that one without entries
+    has its summary too.
+
     Counting is partial before the shuffle and only ranked heads are gathered,
     so a sitemap with very many entries costs no more than one with a hundred.
     The full URL list is ``sitemap_url_lists``.
     """
     totals = entries.groupBy("sitemap_url").agg(F.count("*").alias("url_count"))
+    if sitemaps is not None:
+        read = sitemaps.select("sitemap_url").distinct()
+        totals = read.join(totals, "sitemap_url", "left").select("sitemap_url", F.coalesce("url_count", F.lit(0)).alias("url_count"))
     head = top_n_per_group(entries, ["sitemap_url"], [F.asc("pos")], SUMMARY_LINES)
     line = F.concat(
         F.col("rank").cast("string"), F.lit(". "), F.col("loc"),
@@ -210,19 +216,15 @@ def sitemap_summary(entries: DataFrame) -> DataFrame:
         F.col("url_count") > SUMMARY_LINES,
         F.format_string("\n... and %d more URLs", F.col("url_count") - SUMMARY_LINES),
     ).otherwise("")
-    return totals.join(lines, "sitemap_url").select(
+    return totals.join(lines, "sitemap_url", "left").select(
         "sitemap_url",
         "url_count",
         F.concat(
-            F.format_string("Sitemap: %s\nTotal URLs: %d\n\n", "sitemap_url", "url_count"), "_lines", more
+            F.format_string("Sitemap: %s\nTotal URLs: %d\n\n", "sitemap_url", "url_count"), F.coalesce("_lines", F.lit("")), more
         ).alias("content"),
     )
 
 
-def sitemap_url_lists(entries: DataFrame, per_row: int = 10_000) -> DataFrame:
-    """URL list of every sitemap in order, in rows of at most ``per_row`` positions."""
-    return (
-        entries.groupBy("sitemap_url", F.floor(F.col("pos") / per_row).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "loc"))).alias("_u"))
-        .select("sitemap_url", "part", F.transform("_u", lambda u: u.getField("loc")).alias("urls"))
-    )
+def sitemap_url_lists(entries: DataFrame) -> DataFrame:
+    """URL list of every sitemap: one row per URL with its position, whatever the list's length."""
+    return entries.select("sitemap_url", F.col("pos").alias("position"), F.col("loc").alias("url"))

@@ -1,9 +1,9 @@
-"""Aggregations over chunks and jobs. Lists come in rows of bounded length."""
+"""Aggregations over chunks and jobs. Lists are long tables, so they have one shape at every size."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.embedding import has_dimension
+from gleanery.operators.embedding import is_sound
 
 _BLOCK = 1024
 
@@ -25,9 +25,8 @@ def chunks_in_order(chunks: DataFrame) -> DataFrame:
 def reassemble_documents(chunks: DataFrame) -> DataFrame:
     """Content of every document: chunks by index, joined by a blank line.
 
-    The first chunks of a document go straight to its group. Later ones, which
-    only long documents have, are first joined in blocks of their own, so no
-    task gathers all the rows of a very long document.
+    Chunks are first joined in blocks of neighbours, in one scan, so no task gathers
+    all the rows of a very long document.
     """
     rows = chunks.select(
         "doc_id", F.col("metadata.chunk_index").alias("index"), "chunk_id", "content", "content_type", "metadata"
@@ -45,57 +44,37 @@ def reassemble_documents(chunks: DataFrame) -> DataFrame:
             F.sum("_n").alias("_n"),
         )
 
-    rows = rows.withColumn("_n", F.lit(1).cast("bigint"))
-    head = rows.where(F.coalesce("index", F.lit(0)) < _BLOCK)
-    tail = rows.where(F.col("index") >= _BLOCK).withColumn("_block", F.floor(F.col("index") / _BLOCK))
-    blocks = joined(tail, "doc_id", "_block").select(rows.columns)
-    return joined(head.unionByName(blocks), "doc_id").select(
-        "doc_id", "content", "content_type", "metadata", F.col("_n").alias("n_chunks")
-    )
+    rows = rows.withColumn("_n", F.lit(1).cast("bigint")).withColumn("_block", F.floor(F.coalesce("index", F.lit(0)) / _BLOCK))
+    blocks = joined(rows, "doc_id", "_block").drop("_block")
+    return joined(blocks, "doc_id").select("doc_id", "content", "content_type", "metadata", F.col("_n").alias("n_chunks"))
 
 
-def ingest_results(chunks: DataFrame, dimension: int, per_row: int = 10_000) -> DataFrame:
-    """Per document: its chunk ids in order and those accepted by the store.
+def ingest_results(chunks: DataFrame, dimension: int) -> DataFrame:
+    """Every chunk of every document in a long table, and whether the store accepts it."""
+    return chunks.select("doc_id", "chunk_index", "chunk_id", is_sound(F.col("vector"), dimension).alias("accepted"))
 
-    Long documents continue in further rows (``part``), so no list outgrows a row.
-    """
-    return (
-        chunks.groupBy("doc_id", F.floor(F.col("chunk_index") / per_row).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", has_dimension(F.col("vector"), dimension).alias("ok")))).alias("_c"))
-        .select(
-            "doc_id", "part",
-            F.transform("_c", lambda c: c.getField("chunk_id")).alias("chunks"),
-            F.transform(F.filter("_c", lambda c: c.getField("ok")), lambda c: c.getField("chunk_id")).alias("chunk_ids"),
-        )
-    )
+
+def _per_document(log: DataFrame) -> DataFrame:
+    """Documents of a job once each, which also spreads a job with very many of them."""
+    return log.groupBy("job_id", "document_id").agg(F.max("error").alias("error"))
 
 
-def ingest_job_summary(log: DataFrame, ids_per_row: int = 10_000) -> DataFrame:
-    """Per job: status, message and document ids; any error fails the job and empties its ids.
+def ingest_job_summary(log: DataFrame) -> DataFrame:
+    """One row per job: status and message; any error fails the job.
 
-    ``log`` has job_id, document_id, error (null when fine). Documents are made
-    distinct before they are counted, which spreads a job with very many of
-    them; its ids are then cut by hash into parts of about ``ids_per_row``.
+    ``log`` has job_id, document_id, error (null when fine).
     """
-    per_document = log.groupBy("job_id", "document_id").agg(F.max("error").alias("error"))
-    jobs = per_document.groupBy("job_id").agg(
-        F.count("document_id").alias("_documents"), F.max("error").alias("error")
-    ).select(
+    counted = _per_document(log).groupBy("job_id").agg(F.count("document_id").alias("_documents"), F.max("error").alias("error"))
+    fine = F.col("error").isNull()
+    return counted.select(
         "job_id",
-        F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"),
-        F.when(F.col("error").isNull(), F.format_string("Ingested %d documents", "_documents"))
-        .otherwise(F.col("error")).alias("message"),
-        F.when(F.col("error").isNull(), F.greatest(F.ceil(F.col("_documents") / ids_per_row), F.lit(1)))
-        .otherwise(1).cast("int").alias("parts"),
-    )
-    fine = jobs.where("status = 'completed'").select("job_id", "parts")
-    ids = (
-        per_document.join(fine, "job_id")
-        .groupBy("job_id", F.pmod(F.xxhash64("document_id"), F.col("parts")).cast("int").alias("part"))
-        .agg(F.array_sort(F.collect_set("document_id")).alias("document_ids"))
-    )
-    spread = jobs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    empty = F.array().cast(ids.schema["document_ids"].dataType)
-    return spread.join(ids, ["job_id", "part"], "left").select(
-        "job_id", "part", "parts", "status", "message", F.coalesce("document_ids", empty).alias("document_ids")
+        F.when(fine, "completed").otherwise("failed").alias("status"),
+        F.when(fine, F.format_string("Ingested %d documents", "_documents")).otherwise(F.col("error")).alias("message"),
     )
+
+
+def ingest_job_documents(log: DataFrame) -> DataFrame:
+    """(job_id, document_id) of all jobs without an error; a failed job has none."""
+    documents = _per_document(log)
+    failed = documents.where("error IS NOT NULL").select("job_id").distinct()
+    return documents.where("document_id IS NOT NULL").join(failed, "job_id", "left_anti").select("job_id", "document_id")

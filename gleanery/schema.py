@@ -103,25 +103,14 @@ METADATA = T.StructType([
     T.StructField("videos", T.ArrayType(VIDEO)),
     T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
 ])
-RESPONSE = T.StructType([
-    T.StructField("url", T.StringType()),
-    T.StructField("status", T.IntegerType()),
-    T.StructField("content_type", T.StringType()),
-    T.StructField("body", T.StringType()),
-])
-# One piece of a document: where it starts (0-based character) and its text.
-PIECE = T.StructType([
-    T.StructField("start", T.IntegerType()),
-    T.StructField("text", T.StringType()),
-])
-# What a stored chunk's metadata column keeps.
+# What a stored chunk's metadata column keeps: all of its document's and its own place.
 CHUNK_METADATA = T.StructType([
-    T.StructField("source", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("language", T.StringType()),
+    *METADATA.fields[:-1],
     T.StructField("chunk_index", T.IntegerType()),
     T.StructField("chunk_count", T.IntegerType()),
-    T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("header_level", T.IntegerType()),
+    T.StructField("header_text", T.StringType()),
+    METADATA.fields[-1],
 ])
 COLLECTION = T.StructType([
     T.StructField("doc_id", T.StringType()),

@@ -1,4 +1,4 @@
-"""The chunk collection: Parquet partitioned by content type and append batch.
+"""The chunk collection: Parquet partitioned by append batch and content type.
 
 Rows are only ever added; deleting a document adds its id and the time to a
 small table of deletions, and reading anti-joins it. A delete therefore costs
@@ -6,18 +6,19 @@ one filtered scan instead of a rewrite of the collection, and a batch that is
 written twice (a retried job, a replayed stream batch) replaces itself.
 """
 
+import logging
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions.urls import document_id
-from gleanery.operators.embedding import Loader, check_dimension
+from gleanery.operators.embedding import Loader, reject_reason
 from gleanery.operators.search import combine_filters, text_search, vector_search
 from gleanery.operators.summaries import collection_stats, reassemble_documents
-from gleanery.schema import CHUNK_METADATA, COLLECTION, DEFAULT_DIMENSION, DEFAULT_MODEL_NAME
+from gleanery.schema import BYTE_LIMITS, CHUNK_METADATA, COLLECTION, DEFAULT_DIMENSION, DEFAULT_MODEL_NAME
 
 _DELETIONS = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("deleted_at", T.LongType())])
 
@@ -59,7 +60,7 @@ class Collection:
         """Create the empty collection; an existing one is kept unless ``drop_old``."""
         mode = "overwrite" if drop_old else "ignore"
         empty = self.spark.createDataFrame([], COLLECTION)
-        empty.write.mode(mode).partitionBy("content_type", "batch").parquet(self._rows)
+        empty.write.mode(mode).partitionBy("batch", "content_type").parquet(self._rows)
         self.spark.createDataFrame([], _DELETIONS).write.mode(mode).parquet(self._deletions)
         return self
 
@@ -74,19 +75,41 @@ class Collection:
         content_types: list[str] | None = None,
         batch: str | None = None,
     ) -> DataFrame:
-        """Store the chunks with a valid vector and an admitted type; ids of what was stored."""
+        """Store the chunks with a sound vector, short enough strings and an admitted type; ids of what was stored.
+
+        What is refused is counted by reason in the same pass and warned about;
+        ``rejects`` gives the rows. A batch that is written again is replaced as a
+        whole and keeps its first time, so that a document deleted meanwhile stays deleted.
+        """
         batch = batch or f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        accepted, _ = check_dimension(collection_rows(chunks, embedding_model), self.dimension)
+        added_at = self.read_all().where(F.col("batch") == batch).agg(F.min("added_at")).first()[0] or time.time_ns()
+        judged = self._judged(chunks, embedding_model)
+        counted = Observation()
+        kinds = ("vector", *BYTE_LIMITS)
+        judged = judged.observe(counted, *(F.count_if(F.startswith(F.col("reason"), F.lit(f"{kind}:"))).alias(kind) for kind in kinds))
+        accepted = judged.where("reason IS NULL")
         if content_types is not None:
             accepted = accepted.where(F.col("content_type").isin(list(content_types)))
-        stamped = accepted.withColumn("added_at", F.lit(time.time_ns())).withColumn("batch", F.lit(batch))
-        (
-            stamped.select(COLLECTION.fieldNames()).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("content_type", "batch").parquet(self._rows)
-        )
+        stamped = accepted.withColumn("added_at", F.lit(added_at))
+        stored = [c for c in COLLECTION.fieldNames() if c != "batch"]
+        stamped.select(stored).write.mode("overwrite").partitionBy("content_type").parquet(f"{self._rows}/batch={batch}")
+        refused = {kind: n for kind, n in counted.get.items() if n}
+        if refused:
+            logging.getLogger(__name__).warning("batch %s: chunks refused: %s", batch, refused)
         return self.read().where(F.col("batch") == batch).select("chunk_id")
 
+    def _judged(self, chunks: DataFrame, embedding_model: str) -> DataFrame:
+        rows = collection_rows(chunks, embedding_model)
+        vector = F.concat(F.lit("vector: "), reject_reason(F.col("vector"), self.dimension))
+        long = [
+            F.when(F.octet_length(name) > limit, f"{name}: more than {limit} bytes") for name, limit in BYTE_LIMITS.items() if name in rows.columns
+        ]
+        return rows.withColumn("reason", F.coalesce(vector, *long))
+
+    def rejects(self, chunks: DataFrame, embedding_model: str = DEFAULT_MODEL_NAME) -> DataFrame:
+        """The chunks that ``append`` would refuse, in stored form, each with its reason."""
+        return self._judged(chunks, embedding_model).where("reason IS NOT NULL")
+
     def append_documents(self, documents: DataFrame, **options) -> DataFrame:
         """Store documents with a nested ``chunks`` array; the ids of all documents."""
         flat = documents.select(
@@ -99,9 +122,13 @@ class Collection:
         self.append(flat, **options)
         return documents.select("doc_id").distinct()
 
+    def read_all(self) -> DataFrame:
+        """All rows, deleted documents included."""
+        return self.spark.read.schema(COLLECTION).parquet(self._rows)
+
     def read(self) -> DataFrame:
         """Current rows. The deletions are broadcast by Spark while they are small."""
-        rows = self.spark.read.schema(COLLECTION).parquet(self._rows)
+        rows = self.read_all()
         gone = self.spark.read.schema(_DELETIONS).parquet(self._deletions)
         deleted = (rows["doc_id"] == gone["doc_id"]) & (rows["added_at"] <= gone["deleted_at"])
         return rows.join(gone, deleted, "left_anti")
@@ -138,10 +165,13 @@ class Collection:
     def compact_to(self, path: str) -> "Collection":
         """Copy what is left after deletions to a new collection, for the caller to switch to.
 
-        Worth it once the deletions are too many to be broadcast on every read.
+        All batches become one, in few files per content type; the rebalance splits a
+        type that holds very many rows. Worth it once batches are many and small, or
+        deletions too many to be broadcast on every read.
         """
         target = Collection(self.spark, path, self.dimension).create()
-        self.read().write.mode("append").partitionBy("content_type", "batch").parquet(target._rows)
+        rows = self.read().drop("batch").hint("rebalance", "content_type")
+        rows.write.mode("overwrite").partitionBy("content_type").parquet(f"{target._rows}/batch=compact-{time.time_ns()}")
         return target
 
     def search(self, queries: DataFrame, **options) -> DataFrame:

@@ -7,13 +7,23 @@ from gleanery.functions.urls import file_extension, safe_filename
 from gleanery.operators.ordering import top_n_per_group
 
 
+def newest_responses(responses: DataFrame) -> DataFrame:
+    """One response per URL: the newest by ``fetched_at`` where that column is there, then by its own values.
+
+    Only keys are compared; the body breaks ties by its hash.
+    """
+    order = [F.desc_nulls_last("fetched_at")] if "fetched_at" in responses.columns else []
+    order += [F.desc_nulls_last("status"), F.desc_nulls_last("content_type"), F.desc(F.xxhash64("body"))]
+    return top_n_per_group(responses, ["url"], order, 1).drop("rank")
+
+
 def crawl_results(urls: DataFrame, responses: DataFrame) -> DataFrame:
-    """One result per distinct URL; a URL without a response gets status 0 and an error.
+    """One result per distinct URL, from its newest response; a URL without one gets status 0 and an error.
 
     The URL list is reduced before the join, so a URL repeated very often is
     one row by then.
     """
-    known = responses.withColumn("_found", F.lit(True))
+    known = newest_responses(responses).withColumn("_found", F.lit(True))
     return urls.select("url").distinct().join(known, "url", "left").select(
         "url",
         F.coalesce("status", F.lit(0)).alias("status"),

@@ -29,6 +29,24 @@ def _text(value: Column) -> Column:
     return blank_to_null(strip(value))
 
 
+#: The public namespaces, and the prefix this reader expects for each.
+_NAMESPACES = {
+    "http://www.sitemaps.org/schemas/sitemap/0.9": "",
+    "http://www.google.com/schemas/sitemap-image/1.1": "image:",
+    "http://www.google.com/schemas/sitemap-video/1.1": "video:",
+}
+
+
+def standard_prefixes(body: Column) -> Column:
+    """Elements under the expected prefixes, whatever prefix a document declares for a namespace."""
+    for name, wanted in _NAMESPACES.items():
+        declared = F.regexp_extract(body, r"""xmlns:([A-Za-z_][\w.-]*)\s*=\s*["']""" + name.replace(".", r"\.") + """["']""", 1)
+        tags = F.concat(F.lit("(</?)"), F.replace(declared, F.lit("."), F.lit("\\.")), F.lit(":"))
+        differs = (declared != "") & (declared != wanted.rstrip(":"))
+        body = F.when(differs, F.regexp_replace(body, tags, F.lit(f"$1{wanted}"))).otherwise(body)
+    return body
+
+
 def _images(raw: Column) -> Column:
     shaped = F.transform(
         raw, lambda i: F.struct(*[_text(i.getField(f"image:{n}")).alias(n) for n in _IMAGE_FIELDS])
@@ -54,7 +72,7 @@ def scan_sitemap(sitemaps: DataFrame, body: str = "body", normalize_loc: bool =
     With ``normalize_loc`` locations are normalized and changefreq keeps its case.
     """
     parsed = sitemaps.where(~is_sitemap_index_body(F.col(body))).select(
-        "sitemap_url", F.from_xml(F.col(body), _URLSET, _LENIENT).alias("x")
+        "sitemap_url", F.from_xml(standard_prefixes(F.col(body)), _URLSET, _LENIENT).alias("x")
     )
     rows = parsed.select("sitemap_url", F.posexplode("x.url").alias("pos", "u"))
     return parse_sitemap_fields(rows.select(
@@ -79,7 +97,7 @@ def parse_sitemap_fields(raw: DataFrame, normalize_loc: bool = False) -> DataFra
 def scan_sitemap_index(sitemaps: DataFrame, body: str = "body") -> DataFrame:
     """Children of sitemap indexes: sitemap_url (parent), pos, child_url, normalized."""
     parsed = sitemaps.where(is_sitemap_index_body(F.col(body))).select(
-        "sitemap_url", F.from_xml(F.col(body), _INDEX, _LENIENT).alias("x")
+        "sitemap_url", F.from_xml(standard_prefixes(F.col(body)), _INDEX, _LENIENT).alias("x")
     )
     rows = parsed.select("sitemap_url", F.posexplode("x.sitemap").alias("pos", "s"))
     return rows.select("sitemap_url", "pos", normalize_url(_text(F.col("s.loc"))).alias("child_url")).where(

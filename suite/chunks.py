@@ -117,12 +117,12 @@ def number_chunks(spark, sf):
 FIXED_CTE = f"""
 fixed AS (SELECT doc_id, i, substr(text, CAST(i * {SIZE - OVERLAP} + 1 AS BIGINT), {SIZE}) AS content,
                  ceil(greatest(length(text) - {OVERLAP}, 1) / {SIZE - OVERLAP}.0) AS n
-          FROM documents, generate_series(0, 1000) AS g(i)
+          FROM documents, generate_series(0, (SELECT coalesce(max(length(text)) // 800, 0) FROM documents)) AS g(i)
           WHERE text <> '' AND i * {SIZE - OVERLAP} <= greatest(length(text) - {OVERLAP} - 1, 0))"""
 
 
 @query("chunk_fixed", f"""
-WITH {FIXED_CTE.replace('generate_series(0, 1000) AS g(i)', 'generate_series(0, (SELECT max(length(text)) // 800 FROM documents)) AS g(i)')}
+WITH {FIXED_CTE}
 SELECT doc_id, concat(doc_id, '_chunk_', i) AS chunk_id, i AS chunk_index, CAST(n AS BIGINT) AS chunk_count,
        CAST(length(content) AS BIGINT) AS n_chars, md5(content) AS content_md5 FROM fixed""")
 def chunk_fixed(spark, sf):
@@ -154,12 +154,12 @@ v AS (SELECT {keys}, dim, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {keys})) A
 @query("embed_chunks", f"""
 WITH {FIXED_CTE}, src AS (SELECT concat(doc_id, '_chunk_', i) AS chunk_id, content AS text FROM fixed),
 {bag_of_words_ctes('src', 'chunk_id', 384)}
-SELECT chunk_id, count(*) AS n_nonzero, CAST(384 AS BIGINT) AS dimension,
-       round(sum(CAST(x AS DOUBLE) * (dim + 1)), 5) AS fingerprint FROM v GROUP BY chunk_id""")
+SELECT chunk_id, count(dim) AS n_nonzero, CAST(384 AS BIGINT) AS dimension,
+       round(coalesce(sum(CAST(x AS DOUBLE) * (dim + 1)), 0), 5) AS fingerprint FROM src LEFT JOIN v USING (chunk_id) GROUP BY chunk_id""")
 def embed_chunks(spark, sf):
-    """Summary of every chunk's vector, over all its entries."""
+    """Summary of every chunk's vector, over all its entries; a chunk of blanks has a vector of zeros."""
     vectors = E.embed_chunks(C.chunk_fixed(I.documents(spark, sf)).select("chunk_id", "content"))
-    return vectors.select("chunk_id", "vector").where(F.exists("vector", lambda x: x != 0)).select(
+    return vectors.select("chunk_id", "vector").select(
         "chunk_id",
         I.big(F.size(F.filter("vector", lambda x: x != 0))).alias("n_nonzero"),
         I.big(F.size("vector")).alias("dimension"),

@@ -99,10 +99,15 @@ def normalize_url(spark, sf):
 
 
 @query("resolve_url", f"""
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat({I.HOST}, '/robots.txt') WHEN 1 THEN 'https://other.example/x'
-       ELSE concat({I.HOST}, '/page/', page_id) END AS resolved FROM pages""")
+WITH b AS (SELECT page_id, {I.HOST} AS host, regexp_replace(url, '#.*$', '') AS bare, regexp_replace(url, '[?#].*$', '') AS page FROM pages),
+d AS (SELECT *, coalesce(nullif(regexp_extract(page, '^[a-z]+://[^/]+(.*/)', 1), ''), '/') AS dir FROM b)
+SELECT page_id, CASE page_id % 8 WHEN 0 THEN concat(host, '/robots.txt') WHEN 1 THEN 'https://other.example/x'
+  WHEN 2 THEN concat(host, dir, 'page/', page_id) WHEN 3 THEN concat(host, coalesce(nullif(regexp_replace(dir, '[^/]*/$', ''), ''), '/'), 'up?a=../b')
+  WHEN 4 THEN concat(page, '?q=', page_id) WHEN 5 THEN concat(bare, '#f') WHEN 6 THEN concat(host, dir, 'b/') ELSE concat(host, '/b') END AS resolved
+FROM d""")
 def resolve_url(spark, sf):
-    ref = F.expr("CASE page_id % 3 WHEN 0 THEN '/robots.txt' WHEN 1 THEN 'https://other.example/x' ELSE concat('page/', page_id) END")
+    ref = F.expr("""CASE page_id % 8 WHEN 0 THEN '/robots.txt' WHEN 1 THEN 'https://other.example/x' WHEN 2 THEN concat('page/', page_id)
+      WHEN 3 THEN '../up?a=../b' WHEN 4 THEN concat('?q=', page_id) WHEN 5 THEN '#f' WHEN 6 THEN './a/../b/.' ELSE '/a/../../b' END""")
     return I.table(spark, sf, "pages").select("page_id", U.resolve_url(F.col("url"), ref).alias("resolved"))
 
 

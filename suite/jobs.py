@@ -44,29 +44,47 @@ def source_files(spark, sf):
 
 
 @query("ingest_results", f"""
-WITH {I.CHUNK_CTE} SELECT doc_id, CAST(0 AS BIGINT) AS part, string_agg(chunk_id, ' ' ORDER BY chunk_index, chunk_id) AS chunks,
- coalesce(string_agg(chunk_id, ' ' ORDER BY chunk_index, chunk_id) FILTER (vec_id % 4 <> 0), '') AS chunk_ids FROM c GROUP BY doc_id""")
+WITH {I.CHUNK_CTE} SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_id, vec_id % 4 <> 0 AS accepted FROM c""")
 def ingest_results(spark, sf):
     chunks = I.vector_chunks(spark, sf).withColumn("vector", F.expr("CASE WHEN vec_id % 4 <> 0 THEN vector END"))
-    return G.ingest_results(chunks, I.DIMENSION).select(
-        "doc_id", "part", F.array_join("chunks", " ").alias("chunks"), F.array_join("chunk_ids", " ").alias("chunk_ids")
+    return G.ingest_results(chunks, I.DIMENSION).withColumn("chunk_index", I.big("chunk_index"))
+
+
+def _job_log(spark, sf):
+    return I.table(spark, sf, "events").select(
+        F.concat_ws("-", F.col("user_id"), F.to_date("ts")).alias("job_id"),
+        F.col("event_id").cast("string").alias("document_id"),
+        F.when(F.col("event_type") == "error", "could not read source").alias("error"),
     )
 
 
 @query("ingest_job_summary", """
 WITH e AS (SELECT concat(user_id, '-', CAST(CAST(ts AS DATE) AS VARCHAR)) AS job_id, event_id, event_type = 'error' AS bad FROM events)
 SELECT job_id, CASE WHEN bool_or(bad) THEN 'failed' ELSE 'completed' END AS status,
-  CASE WHEN bool_or(bad) THEN 'could not read source' ELSE concat('Ingested ', count(DISTINCT event_id), ' documents') END AS message,
-  CASE WHEN bool_or(bad) THEN '' ELSE string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY CAST(event_id AS VARCHAR)) END AS document_ids
+  CASE WHEN bool_or(bad) THEN 'could not read source' ELSE concat('Ingested ', count(DISTINCT event_id), ' documents') END AS message
 FROM e GROUP BY job_id""")
 def ingest_job_summary(spark, sf):
     """A user's events of one day as one job; an error event fails it."""
-    log = I.table(spark, sf, "events").select(
-        F.concat_ws("-", F.col("user_id"), F.to_date("ts")).alias("job_id"),
-        F.col("event_id").cast("string").alias("document_id"),
-        F.when(F.col("event_type") == "error", "could not read source").alias("error"),
+    return G.ingest_job_summary(_job_log(spark, sf))
+
+
+@query("ingest_job_documents", """
+WITH e AS (SELECT concat(user_id, '-', CAST(CAST(ts AS DATE) AS VARCHAR)) AS job_id, event_id, event_type = 'error' AS bad FROM events),
+f AS (SELECT DISTINCT job_id FROM e WHERE bad)
+SELECT DISTINCT job_id, CAST(event_id AS VARCHAR) AS document_id FROM e WHERE job_id NOT IN (SELECT job_id FROM f)""")
+def ingest_job_documents(spark, sf):
+    return G.ingest_job_documents(_job_log(spark, sf))
+
+
+@query("ingest_one_job", """
+SELECT 'all' AS job_id, 'completed' AS status, concat('Ingested ', count(DISTINCT l_orderkey * 10 + l_linenumber), ' documents') AS message FROM lineitem""")
+def ingest_one_job(spark, sf):
+    """All lines of all orders as the documents of one job, which is one row whatever its size."""
+    lines = I.table(spark, sf, "lineitem").select(
+        F.lit("all").alias("job_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("document_id"),
+        F.lit(None).cast("string").alias("error"),
     )
-    return G.ingest_job_summary(log).select("job_id", "status", "message", F.array_join("document_ids", " ").alias("document_ids"))
+    return G.ingest_job_summary(lines)
 
 
 CHUNKED_SQL = splitter_query(DOCS_CTE, "docs", schema.TEXT_SEPARATORS, 1000, 200)
