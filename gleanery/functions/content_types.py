@@ -15,6 +15,7 @@ def coerce_content_type(content_type: Column) -> Column:
 
 
 def infer_document_type(content_type: Column, url: Column) -> Column:
+    """Type by the first rule that fits; the rules and their order are fixed values."""
     ct = F.lower(F.coalesce(content_type, F.lit("")))
     u = F.lower(url)
     is_web = url.startswith("http://") | url.startswith("https://")

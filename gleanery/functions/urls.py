@@ -85,6 +85,7 @@ def safe_filename(url: Column, position: Column) -> Column:
 
 
 def file_extension(content_type: Column) -> Column:
+    """Extension of a stored page; the rules and their order are fixed values."""
     ct = F.coalesce(content_type, F.lit(""))
     return (
         F.when(ct.contains("html"), ".html")

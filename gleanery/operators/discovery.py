@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.urls import resolve_url, url_domain
 from gleanery.operators.ordering import global_rank, top_n_per_group
 from gleanery.schema import COMMON_SITEMAP_PATHS, DEFAULT_MAX_DEPTH, DEFAULT_MAX_PAGES, SITEMAP_MIME_TYPES
-from gleanery.session import cut_lineage
+from gleanery.session import append_rows, cut_lineage, scratch_path
 from gleanery.sources.sitemaps import scan_robots
 
 
@@ -61,20 +61,19 @@ def expand_sitemap_index(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """All sitemaps reachable from ``roots(sitemap_url)``, each once, with its depth and leaf flag.
 
     ``edges`` holds (sitemap_url, child_url). One join per level; visited
-    sitemaps are anti-joined, so cycles end. Every level is a written table.
+    sitemaps are one growing table that levels are anti-joined with, so cycles end.
     """
     edges = cut_lineage(edges.select("sitemap_url", "child_url").distinct())
-    level = cut_lineage(roots.select("sitemap_url").distinct().withColumn("depth", F.lit(0)))
-    visited = level
-    while not level.isEmpty():
+    path, depth = scratch_path(edges.sparkSession, "visited"), 0
+    visited = append_rows(roots.select("sitemap_url").distinct().withColumn("depth", F.lit(0)), path)
+    while not (level := visited.where(F.col("depth") == depth)).isEmpty():
         reached = (
             level.join(edges, "sitemap_url")
             .select(F.col("child_url").alias("sitemap_url"), (F.col("depth") + 1).alias("depth"))
             .distinct()
             .join(visited.select("sitemap_url"), "sitemap_url", "left_anti")
         )
-        level = cut_lineage(reached)
-        visited = visited.unionByName(level)
+        visited, depth = append_rows(reached, path), depth + 1
     parents = edges.select("sitemap_url").distinct().withColumn("_parent", F.lit(True))
     return visited.join(parents, "sitemap_url", "left").select(
         "sitemap_url", "depth", F.col("_parent").isNull().alias("is_leaf")
@@ -139,18 +138,17 @@ def bounded_crawl(
     """
     links = cut_lineage(links.select("url", "target").distinct())
     known = cut_lineage(pages.select("url").distinct())
-    level = cut_lineage(seeds.select("url").distinct().join(known, "url", "left_semi").withColumn("depth", F.lit(0)))
-    reached = level
+    path = scratch_path(links.sparkSession, "reached")
+    reached = append_rows(seeds.select("url").distinct().join(known, "url", "left_semi").withColumn("depth", F.lit(0)), path)
     for depth in range(1, max_depth + 1):
         targets = (
-            level.join(links, "url")
+            reached.where(F.col("depth") == depth - 1).join(links, "url")
             .select(F.col("target").alias("url"))
             .distinct()
             .join(reached.select("url"), "url", "left_anti")
             .join(known, "url", "left_semi")
         )
-        level = cut_lineage(targets.withColumn("depth", F.lit(depth)))
-        reached = reached.unionByName(level)
+        reached = append_rows(targets.withColumn("depth", F.lit(depth)), path)
     domained = reached.withColumn("domain", url_domain(F.col("url")))
     if max_pages <= 0:
         return domained
@@ -196,7 +194,7 @@ def sitemap_summary(entries: DataFrame, sitemaps: DataFrame | None = None) -> Da
 
     Counting is partial before the shuffle and only ranked heads are gathered,
     so a sitemap with very many entries costs no more than one with a hundred.
-    The full URL list is ``sitemap_url_lists``.
+    The full URL list is ``sitemap_url_lists``. The wording is a fixed value.
     """
     totals = entries.groupBy("sitemap_url").agg(F.count("*").alias("url_count"))
     if sitemaps is not None:

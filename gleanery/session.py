@@ -43,6 +43,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def append_rows(df: DataFrame, path: str) -> DataFrame:
+    """Add rows to a table in the shared folder; the whole table as it is now.
+
+    For loops that remember what they met: the plan has one scan, however many rounds.
+    """
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer partitions than cores one partition per core.
 

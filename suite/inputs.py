@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gleanery.session import spread
 
-PAGES_PER_SITEMAP = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
