@@ -1,5 +1,7 @@
 """What the operators share: inputs, ASCII folding, Arrow plumbing."""
 
+import contextlib
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -38,7 +40,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def give_back() -> None:
+    """Returns memory that a task has freed to the system, so that an idle worker keeps little."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(task):
+    """A task over batches that gives its memory back when it is done."""
+
+    def run(batches):
+        yield from task(batches)
+        give_back()
+
+    return run
 
 
 def text_steps(batch: pa.RecordBatch, column: str = "text", rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import slices, text_steps, two_columns
+from gleanery.llm.common import slices, text_steps, trimmed, two_columns
 from gleanery.llm.words import ALPHANUMERIC, Words, byte_class, combine
 from gleanery.session import cut_lineage
 
@@ -187,7 +187,7 @@ def contamination(
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     cut = (
-        items.mapInArrow(_windows(window), "id string, window binary")
+        items.mapInArrow(trimmed(_windows(window)), "id string, window binary")
         .groupBy("window")
         .agg(F.sort_array(F.collect_set("id")).alias("items"))
     )
@@ -200,14 +200,14 @@ def contamination(
     for b in range(blocks):
         mine = cut.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect()  # about block_windows rows
         if not mine:
-            found.append(numbered.mapInArrow(_empty, f"row {row_type}, n_words bigint, places array<bigint>, items array<string>"))
+            found.append(numbered.mapInArrow(trimmed(_empty), f"row {row_type}, n_words bigint, places array<bigint>, items array<string>"))
             continue
         block = _Block([bytes(r["window"]) for r in mine], [r["items"] for r in mine], shingle)
         sent = spark.sparkContext.broadcast(block)
-        counts = rows.mapInArrow(_count(sent), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
+        counts = rows.mapInArrow(trimmed(_count(sent)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
         block.choose({r["shingle"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in counts})
         chosen = spark.sparkContext.broadcast(block)
-        found.append(numbered.mapInArrow(_hits(chosen), f"row {row_type}, n_words bigint, places array<bigint>, items array<string>"))
+        found.append(numbered.mapInArrow(trimmed(_hits(chosen)), f"row {row_type}, n_words bigint, places array<bigint>, items array<string>"))
     if len(found) == 1:
         merged = found[0]
     else:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from gleanery.llm.common import slices, two_columns
+from gleanery.llm.common import slices, trimmed, two_columns
 from gleanery.session import cut_lineage
 
 HEAD = 32
@@ -89,7 +89,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sort_schema = StructType([id_field, *(StructField(c, BinaryType()) for c in ("head", "digest", "body"))])
     by_id = F.desc_nulls_last("id") if keep == "largest" else F.asc_nulls_last("id")
     ordered = (
-        rows.mapInArrow(_normalise, sort_schema)
+        rows.mapInArrow(trimmed(_normalise), sort_schema)
         .repartitionByRange("head", "digest", by_id)
         .sortWithinPartitions("head", "digest", "body", by_id)
     )
@@ -98,7 +98,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         StructField("text_sha256", StringType()), StructField("first", BooleanType()),
         StructField("edge", BooleanType()), StructField("part", IntegerType()),
     ])
-    swept = cut_lineage(ordered.mapInArrow(_sweep(to_arrow_schema(out_schema)), out_schema))
+    swept = cut_lineage(ordered.mapInArrow(trimmed(_sweep(to_arrow_schema(out_schema))), out_schema))
     # at most two runs per partition: a bounded side
     ends = swept.filter("edge AND first").groupBy(F.col("text_sha256").alias("sha")).agg(
         F.min_by("keep_id", "part").alias("whole_keep"), F.sum("group_size").alias("whole_size"), F.min("part").alias("whole_part")

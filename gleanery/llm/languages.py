@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import slices, text_steps
+from gleanery.llm.common import slices, text_steps, trimmed
 from gleanery.session import cut_lineage
 
 SIZE = 1 << 12
@@ -124,7 +124,7 @@ def fit_languages(
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.select("text").mapInArrow(_frequencies, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    counts = rows.select("text").mapInArrow(trimmed(_frequencies), "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
     seen = {r["place"]: r["n"] for r in counts}
     total = seen.pop(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + seen.get(p, 0))) + 1 for p in range(SIZE)], np.float32)
@@ -134,7 +134,7 @@ def fit_languages(
     sample = rows.select("lang", "text", spread).join(share, "lang").filter("spread < share")
     fitted = (
         sample.select("lang", "text")
-        .mapInArrow(_sampled(idf), "lang string, vector binary")
+        .mapInArrow(trimmed(_sampled(idf)), "lang string, vector binary")
         .groupBy("lang")
         .applyInPandas(_clustered(centroids), "lang string, centroid binary, floor double")
         .orderBy("lang", "centroid")
@@ -184,4 +184,4 @@ def identify_languages(df: DataFrame, model: Model, text_col: str = "text") -> D
     text = F.col(text_col)
     rows = df.select(F.struct("*").alias("row"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(sent), f"row {kind}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(trimmed(_predict(sent)), f"row {kind}, lang_pred string, score double, rejected boolean")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import slices, text_steps
+from gleanery.llm.common import slices, text_steps, trimmed
 from gleanery.llm.components import components
 from gleanery.llm.words import SPACED, Words, byte_class, combine, mix
 from gleanery.session import cut_lineage
@@ -142,7 +142,7 @@ def near_duplicates(
         raise ValueError("bins is a power of two and a multiple of rows")
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    signed = cut_lineage(docs.mapInArrow(_signatures(width, bins, rows), f"id {kind}, n bigint, print binary, keys array<bigint>"))
+    signed = cut_lineage(docs.mapInArrow(trimmed(_signatures(width, bins, rows)), f"id {kind}, n bigint, print binary, keys array<bigint>"))
     named = signed.filter("n > 0 AND id IS NOT NULL")
     classes = cut_lineage(named.groupBy("print").agg(F.min("id").alias("rep")))
     # a class is met by the row of its representative; ids are unique, or else repeated buckets do no harm
@@ -158,7 +158,7 @@ def near_duplicates(
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
         full = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-        return cut_lineage(full.mapInArrow(_confirm(width, percent), f"a {kind}, b {kind}").distinct())
+        return cut_lineage(full.mapInArrow(trimmed(_confirm(width, percent)), f"a {kind}, b {kind}").distinct())
 
     possible = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     with_centre = members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()

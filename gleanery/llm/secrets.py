@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import slices, two_columns
+from gleanery.llm.common import slices, trimmed, two_columns
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
@@ -214,7 +214,7 @@ def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = two_columns(df, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
     span = "struct<kind:string,start:bigint,end:bigint,layer:string>"
-    return rows.mapInArrow(_scan, f"id {kind}, spans array<{span}>, n_skipped bigint").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(_scan), f"id {kind}, spans array<{span}>, n_skipped bigint").withColumnRenamed("id", id_col)
 
 
 def joined_spans(spans):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gleanery.llm.common import slices, two_columns, worker_state
+from gleanery.llm.common import slices, trimmed, two_columns, worker_state
 from gleanery.session import cut_lineage, scratch_path
 
 MAGIC = b"WVM1"
@@ -327,7 +327,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
 
     ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     ordered.mapInArrow(
-        _shards(tokenizer, bits, shard_ids, to_arrow_type(kind)),
+        trimmed(_shards(tokenizer, bits, shard_ids, to_arrow_type(kind))),
         f"part int, number int, n bigint, ids array<{kind.simpleString()}>, lengths array<bigint>, image binary",
     ).write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -358,7 +358,7 @@ def read_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     starts = cut_lineage(shards.select("part", "number", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start")))
     placed = shards.select("part", "number", "ids", "lengths", "image").join(starts, ["part", "number"])
     return placed.mapInArrow(
-        _read(to_arrow_type(kind)), f"id {kind.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint"
+        trimmed(_read(to_arrow_type(kind))), f"id {kind.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint"
     ).withColumnRenamed("id", id_col)
 
 
