@@ -32,7 +32,7 @@ BLOCK_BITS = 1 << 16
 #: Ids after which a shard is closed; a longer document is a shard of its own.
 SHARD_IDS = 1 << 21
 #: Words remembered by an encoding task, twice at most.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 END = 0
 
 
