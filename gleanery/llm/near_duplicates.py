@@ -11,7 +11,11 @@ the same pairs. Pairs are confirmed on the full sets.
 A star can miss a link between two rows that are both too far from the centre. So,
 while confirmed links leave a bucket in more than one component, its rows of
 different components are paired again: all pairs in buckets of up to SMALL rows, new
-centres in larger ones, until a round adds no link.
+centres in larger ones, until a round adds no link. What then is still in mixed larger
+buckets is joined on prefixes: with the shingles of every set in one order, rarest
+first, two sets of enough similarity share a shingle among the first few of each. The
+pairs of different components that this leaves are all confirmed, so no link between
+two rows of a bucket is missed.
 """
 
 import hashlib
@@ -30,6 +34,8 @@ WIDTH = 5
 BINS, ROWS = 128, 4
 SMALL = 8
 CENTRES = 4
+#: Counters that order shingles by how common they are; collisions cost pairs to confirm, never links.
+COUNTERS = 1 << 18
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, width: int) -> list[np.ndarray]:
@@ -122,6 +128,67 @@ def _confirm(width: int, percent: int):
     return confirm
 
 
+def _tallies(width: int):
+    def tally(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in slices(batches):
+            for s in shingle_sets(batch, "text", width):
+                np.add.at(total, (s % np.uint64(COUNTERS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["place", "n"])
+
+    return tally
+
+
+def _prefixes(width: int, percent: int, tallies):
+    def prefixes(batches):
+        common = tallies.value
+        for batch in slices(batches):
+            owner, size, place, hashes = [], [], [], []
+            for r, s in enumerate(shingle_sets(batch, "text", width)):
+                n = len(s)
+                first = n - -(-percent * n // 100) + 1 if n else 0
+                ordered = s[np.lexsort((s, common[(s % np.uint64(COUNTERS)).astype(np.int64)]))][:first]
+                owner.append(np.full(len(ordered), r))
+                size.append(np.full(len(ordered), n))
+                place.append(np.arange(len(ordered)))
+                hashes.append(ordered)
+            if owner:
+                rows = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").take(rows),
+                        batch.column("c").take(rows),
+                        pa.array(np.concatenate(size), pa.int64()),
+                        pa.array(np.concatenate(place), pa.int64()),
+                        pa.array(np.concatenate(hashes).view(np.int64)),
+                    ],
+                    ["id", "c", "n", "at", "shingle"],
+                )
+
+    return prefixes
+
+
+def _prefix_pairs(rows: DataFrame, kind: str, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components ``c`` that may be similar enough: all that are, and some more.
+
+    A pair that is shares its first common shingle with at least percent / (100 + percent)
+    of both sizes left from there on in either set; the smaller set, which has no more
+    than half of the sum, is cut to a shorter prefix by the same bound.
+    """
+    spark = rows.sparkSession
+    seen = rows.select("text").mapInArrow(trimmed(_tallies(width)), "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    tallies = np.zeros(COUNTERS, np.int64)
+    tallies[seen.column("place").to_numpy()] = seen.column("n").to_numpy()
+    prefix = _prefixes(width, percent, spark.sparkContext.broadcast(tallies))
+    found = cut_lineage(rows.mapInArrow(trimmed(prefix), f"id {kind}, c {kind}, n bigint, at bigint, shingle bigint"))
+    x, y = (found.select("shingle", *(F.col(k).alias(f"{k}_{side}") for k in ("id", "c", "n", "at"))) for side in ("x", "y"))
+    x = x.filter(f"{100 + percent} * (n_x - at_x) >= {2 * percent} * n_x")
+    met = x.join(y, "shingle").filter("c_x <> c_y AND (n_x < n_y OR n_x = n_y AND id_x < id_y)")
+    met = met.filter(f"100 * n_x >= {percent} * n_y AND {100 + percent} * least(n_x - at_x, n_y - at_y) >= {percent} * (n_x + n_y)")
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 75, bins: int = BINS, rows: int = ROWS
 ) -> DataFrame:
@@ -135,8 +202,9 @@ def near_duplicates(
     nothing. Rows with a null id are linked with nothing and kept, with a null
     component. Rows that share an id are one document whose links are those of any of
     them. ``bins`` is a power of two and a multiple of ``rows``. An empty table gives no
-    rows; other columns are ignored. With 32 bands of 4, a pair of similarity 0.75
-    shares no bucket with probability 5e-6.
+    rows; other columns are ignored. A link is missed only between two rows that share
+    no bucket and that no other links connect: with 32 bands of 4, a pair of similarity
+    0.75 shares none with probability 5e-6.
     """
     if bins & (bins - 1) or bins % rows:
         raise ValueError("bins is a power of two and a multiple of rows")
@@ -189,12 +257,14 @@ def near_duplicates(
         every = small.join(other, "key").filter("id < b AND c <> c_b").select(F.col("id").alias("a"), "b", F.col("n").alias("n_a"), "n_b")
         fresh = stars.unionByName(every).filter(possible).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         fresh = cut_lineage(fresh)
-        if fresh.isEmpty():
-            break
         found = confirmed(fresh)
+        tested = cut_lineage(tested.unionByName(fresh))
         if found.isEmpty():
+            large = texts.join(open_rows.filter(F.col("m") > SMALL).select("id", "c").distinct(), "id").select("id", "c", "text")
+            left = _prefix_pairs(large, kind, width, percent).join(tested, ["a", "b"], "left_anti")
+            labels = cut_lineage(components(links.unionByName(confirmed(cut_lineage(left)))))
             break
-        tested, links, turn = cut_lineage(tested.unionByName(fresh)), cut_lineage(links.unionByName(found)), turn + 1
+        links, turn = cut_lineage(links.unionByName(found)), turn + 1
 
     grouped = signed.select("id", "n", "print").join(classes, "print", "left")
     # rows that share an id are one document: the least label of them

@@ -91,3 +91,25 @@ def test_a_hot_group_gives_pairs_in_proportion(spark):
     df = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.array_join(words, " "), F.lit(" tail"), F.col("id")).alias("text"))
     found = near_duplicates(df)
     assert found.filter("component_id = 0").count() == 600 and found.filter("kept").count() == 1
+
+
+def test_no_link_of_a_large_mixed_bucket_is_missed(spark, monkeypatch):
+    """A family near 0.70 to one another, too low to link, shares buckets; pairs planted in it at 0.77 are links."""
+    monkeypatch.setattr("gleanery.llm.near_duplicates.CENTRES", 1)
+    rng = random.Random(11)
+    own = iter(range(10**9))
+
+    def varied(words, edits):
+        words = list(words)
+        for at in rng.sample(range(0, len(words) - 5, 6), edits):
+            words[at] = f"own{next(own)}"
+        return words
+
+    template = [f"t{i}" for i in range(400)]
+    family = [varied(template, 8) for _ in range(150)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(family)]
+    rows += [(1000 + i, " ".join(varied(family[i], 10))) for i in (40, 80, 120)]
+    expected = brute(rows)
+    assert 100 < len({c for _, c in expected.values()}) < len(rows)  # some are linked, most are not
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bins=8, rows=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
