@@ -3,9 +3,10 @@
 A text is a vector of hashed byte trigrams, logarithmic counts times inverse document
 frequency, of length one. Each language has several centroids, found by spherical
 k-means on a bounded sample of labelled rows; document frequencies cover all labelled
-rows. A text goes to the language of the centroid with the largest cosine and is
-rejected when it is farther from it than any sampled text of that language from its
-own nearest centroid, by a margin.
+rows with a trigram. A text goes to the language of the centroid with the largest
+cosine and is rejected when it is farther from it, by a margin, than nearly all sampled
+texts of that language are from their own nearest centroid; a small share of bad
+labelled rows does not move that distance.
 """
 
 from dataclasses import dataclass
@@ -23,8 +24,10 @@ SIZE = 1 << 12
 CENTROIDS = 4
 #: Labelled rows per language that centroids are fitted on, in expectation.
 SAMPLE_ROWS = 2_000
-#: A text is rejected below this share of the least cosine in its language's sample.
+#: A text is rejected below this share of a low quantile of the cosines in its language's sample.
 MARGIN = 0.5
+#: The quantile; of fewer rows than its inverse, the least cosine but one.
+BAD_SHARE = 0.05
 _ROWS = 256
 
 
@@ -71,8 +74,9 @@ def _frequencies(batches):
     total, n = np.zeros(SIZE, np.int64), 0
     for batch in batches:
         for row, end, data, offsets in text_steps(batch, rows=_ROWS):
-            total += (trigram_counts(data, offsets) > 0).sum(axis=0)
-            n += end - row
+            met = trigram_counts(data, offsets) > 0
+            total += met.sum(axis=0)
+            n += int(met.any(axis=1).sum())
     yield pa.RecordBatch.from_arrays([pa.array([*range(SIZE), -1], pa.int32()), pa.array([*total.tolist(), n], pa.int64())], ["place", "n"])
 
 
@@ -81,8 +85,10 @@ def _sampled(idf):
         for batch in batches:
             for row, end, data, offsets in text_steps(batch, rows=_ROWS):
                 found = _vectors(trigram_counts(data, offsets), idf).astype(np.float32)
+                some = np.flatnonzero(found.any(axis=1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang").slice(row, end - row), pa.array([v.tobytes() for v in found], pa.binary())], ["lang", "vector"]
+                    [batch.column("lang").slice(row, end - row).take(pa.array(some)), pa.array([v.tobytes() for v in found[some]], pa.binary())],
+                    ["lang", "vector"],
                 )
 
     return vectors
@@ -107,7 +113,7 @@ def _clustered(k: int, rounds: int = 12):
         cosine = x @ centres.T
         owner = cosine.argmax(axis=1)
         used = [c for c in range(len(centres)) if (owner == c).any()]
-        floors = float(cosine.max(axis=1).min())
+        floors = float(np.quantile(cosine.max(axis=1), BAD_SHARE, method="higher"))
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [centres[c].astype(np.float32).tobytes() for c in used], "floor": floors})
 
     return fit
@@ -117,13 +123,13 @@ def fit_languages(
     df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
     centroids: int = CENTROIDS, sample_rows: int = SAMPLE_ROWS, margin: float = MARGIN,
 ) -> Model:
-    """A model from labelled rows; rows without text or label are ignored.
+    """A model from labelled rows; rows without label, text, letter or trigram are ignored.
 
-    Document frequencies are taken over all of them; centroids are fitted on about
+    Document frequencies are taken over all others; centroids are fitted on about
     ``sample_rows`` of each language, picked by a hash of their id and text.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.select("text").mapInArrow(trimmed(_frequencies), "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
     seen = {r["place"]: r["n"] for r in counts}
     total = seen.pop(-1, 0)

@@ -47,3 +47,16 @@ def test_empty_tables_and_no_languages(spark, model):
     assert identify_languages(df.limit(0), model).collect() == []
     row = identify_languages(df, fit_languages(df.limit(0))).first()
     assert (row.lang_pred, row.score, row.rejected) == ("und", 0.0, True)
+
+
+def test_bad_labelled_rows_do_not_turn_rejection_off(spark):
+    said = {"en": "the weather of the {} day was good and we walked home", "de": "das wetter am {} tag war gut und wir gingen nach hause"}
+    rows = [(i, text.format(i), lang) for lang, text in said.items() for i in range(30)]
+    bad = [(100, "", "en"), (101, "42 17", "de"), (102, "x", "en"), (103, "ok", "de"), (104, "добрый вечер", "en"), (105, "καλησπέρα σας", "de")]
+    kind = "doc_id bigint, text string, lang string"
+    clean, fitted = (fit_languages(spark.createDataFrame(r, kind)) for r in (rows, rows + bad))
+    assert (fitted.floors > 0.5 * clean.floors.min()).all()
+    asked = [(1, "the weather was good and we walked"), (2, "qxz jvkw zzqx wvxj kkqz"), (3, "今日は天気がいい")]
+    found = identify_languages(spark.createDataFrame(asked, "doc_id bigint, text string"), fitted).orderBy("row.doc_id").collect()
+    assert [(r.lang_pred, r.rejected) for r in found][0] == ("en", False)
+    assert [r.rejected for r in found[1:]] == [True, True]
