@@ -8,8 +8,9 @@ comes from, so a secret found at any depth has a span in the original.
 """
 
 import base64
-import binascii
 import bz2
+import codecs
+import itertools
 import re
 import zlib
 
@@ -28,6 +29,12 @@ _PERCENT = re.compile(r"""[^\s"'<>]*%[0-9A-Fa-f]{2}[^\s"'<>]*""")
 _PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++(?=[=\"'<,;)\]}]|[ \t]*+(?:\r?\n|\Z)))++"
+)
+_PACKED = re.compile("H4sI|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])|Qlpo")  # gzip, zlib, bzip2
+_LONE = re.compile("[\ud800-\udfff]")
 #: A compressed layer that would become larger is not unwrapped; such layers are counted.
 LAYER_BYTES = 1 << 24
 
@@ -102,34 +109,56 @@ def _inflated(raw: bytes) -> bytes | None:
     return out if opened.eof else None
 
 
-def _plain(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def _unpacked(body: str):
-    """Text inside base64, and whether compression was around it."""
+def _raw(body: str) -> bytes:
     body = body.rstrip("=").replace("-", "+").replace("_", "/")
     body = body[: len(body) - (len(body) % 4 == 1)]
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _unpacked(raw: bytes):
+    """Bytes inside all compression, and whether there was any."""
     packed, seen = False, set()
-    while (text := _plain(raw)) is None:
-        inner = None if raw in seen else _inflated(raw)
-        if inner is None:
-            return None
+    while raw not in seen and (inner := _inflated(raw)) is not None:
         seen.add(raw)
         raw, packed = inner, True
-    return text, packed
+    return raw, packed
+
+
+def _texts(raw: bytes):
+    """(text, byte offsets of its characters and of its end): as UTF-8, and as UTF-16 of either order and start if NULs hint at it."""
+    text = raw.decode("utf-8", "surrogateescape")
+    sizes = [1 if 0xDC80 <= ord(c) <= 0xDCFF else len(c.encode()) for c in text]
+    yield _LONE.sub("�", text), [0, *itertools.accumulate(sizes)]
+    if b"\0" in raw or raw[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
+        for order, skip in itertools.product(("utf-16-le", "utf-16-be"), (0, 1)):
+            text = raw[skip : skip + (len(raw) - skip) // 2 * 2].decode(order, "surrogatepass")
+            sizes = [4 if ord(c) > 0xFFFF else 2 for c in text]
+            yield _LONE.sub("�", text), [skip, *itertools.accumulate(sizes, initial=skip)][1:]
+
+
+def _base64_runs(text: str):
+    """Places of the characters of every base64 run: one line, or lines in sequence from each start that can matter.
+
+    Lines of a sequence whose places agree modulo 4 decode alike, so one start of each
+    is enough for text; compressed bytes are read from their own first line.
+    """
+    for m in _BASE64.finditer(text):
+        yield range(m.start(), m.end())
+    for m in _WRAPPED.finditer(text):
+        places, starts = [], []
+        for part in _RUN.finditer(text, m.start(), m.end()):
+            starts.append(len(places))
+            places += range(part.start(), part.end())
+        met = set()
+        for at in starts:
+            if at % 4 not in met or _PACKED.match(text, places[at]):
+                met.add(at % 4)
+                if len(places) - at >= 16:
+                    yield places[at:]
 
 
 def _inner(text: str):
-    """(how, text, starts, ends) of every encoded segment of a layer."""
+    """(how, text, starts, ends) of every encoded segment of a layer; a segment too large to unwrap has no text."""
     if "%" in text:
         for m in _PERCENT.finditer(text):
             yield "url", *_substituted(text, m.start(), m.end(), _PERCENT_RUN.finditer(text, m.start(), m.end()), _percent)
@@ -137,21 +166,19 @@ def _inner(text: str):
         first = _ESCAPED.search(text)
         if first:
             yield "unicode", *_substituted(text, 0, len(text), _ESCAPED.finditer(text), _escape)
-    for m in _BASE64.finditer(text):
-        found = _unpacked(m.group())
-        if found is None:
+    for places in _base64_runs(text):
+        try:
+            raw, packed = _unpacked(_raw("".join([text[i] for i in places])))
+        except OverflowError:
+            yield "compressed", None, None, None
             continue
-        inner, packed = found
-        if packed:
-            yield "compressed", inner, [m.start()] * len(inner), [m.end()] * len(inner)
-        else:
-            starts, ends, at = [], [], 0
-            for char in inner:
-                n = len(char.encode())
-                starts.append(m.start() + at * 8 // 6)
-                ends.append(min(m.start() + -(-(at + n) * 8 // 6), m.end()))
-                at += n
-            yield "base64", inner, starts, ends
+        for inner, at in _texts(raw):
+            if packed:
+                yield "compressed", inner, [places[0]] * len(inner), [places[-1] + 1] * len(inner)
+            else:
+                last = len(places) - 1
+                starts = [places[min(k * 8 // 6, last)] for k in at[:-1]]
+                yield "base64", inner, starts, [places[min(-(-k * 8 // 6) - 1, last)] + 1 for k in at[1:]]
 
 
 def layers(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
@@ -161,15 +188,10 @@ def layers(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
     work, seen, skipped = [(text, None, None, "")], {(text, 0, len(text))}, 0
     while work:
         layer, starts, ends, path = work.pop()
-        segments = _inner(layer)
-        while True:
-            try:
-                how, inner, s, e = next(segments)
-            except StopIteration:
-                break
-            except OverflowError:
+        for how, inner, s, e in _inner(layer):
+            if inner is None:
                 skipped += 1
-                break
+                continue
             if not inner or inner == layer:
                 continue
             if starts is not None:

@@ -7,6 +7,7 @@ from urllib.parse import quote
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.llm import secrets as secrets_module
 from gleanery.llm.secrets import joined_spans, layers, secrets
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -89,3 +90,32 @@ def test_base_columns_against_brute_force(spark):
         text = ",".join(f"{KEYS[k]}:{s}:{e}" for k, s, e in spans)
         assert row.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert set(filter(None, text.split(","))) <= set(row.spans.split(","))
+
+
+def test_a_layer_over_the_bound_does_not_end_the_scan_of_its_text():
+    bomb = b64(gzip.compress(bytes(secrets_module.LAYER_BYTES + 1)))
+    found, skipped = layers(f"{bomb} {b64(b'password=abcdefgh12345678')}")
+    assert skipped == 1 and [(kind, how) for kind, _, _, how in found] == [(0, "base64")]
+
+
+@pytest.mark.parametrize("sign", ["\u00a0", "\ufeff", "\u200b", "\u3000", "\f", "\x1b", "\0"])
+def test_layers_with_any_character_are_scanned(sign):
+    inner = f"{sign} name\npassword=abcdefgh12345678\n"
+    for raw in (inner.encode(), b"\xff" + inner.encode(), inner.encode("utf-16"), inner.encode("utf-16-be")):
+        assert any(kind == 0 for kind, *_ in layers(f"x {b64(raw)} y")[0])
+        assert any(kind == 0 and how == "compressed" for kind, _, _, how in layers(f"x {b64(gzip.compress(raw))} y")[0])
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    "])
+def test_base64_runs_continue_over_line_ends(end):
+    import base64
+
+    inner = "é" * 25 + " password=abcdefgh12345678" + "é" * 60
+    wrapped = end.join(base64.encodebytes(inner.encode()).decode().split("\n")[:-1])
+    text = f"begin:{end}{wrapped}{end}: end"
+    first = inner.encode().index(b"password")
+    places = [i for i in range(text.index(wrapped), len(text)) if text[i] not in " \r\n"]
+    span = (0, places[first * 8 // 6], places[-(-(first + 25) * 8 // 6) - 1] + 1)
+    assert span in [found[:3] for found in layers(text)[0]]
+    packed = base64.encodebytes(gzip.compress(inner.encode() + bytes(range(256)))).decode()
+    assert any(kind == 0 and how == "compressed" for kind, _, _, how in layers(f"begin:\n{packed}")[0])
