@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import licenses as L
 from gleanery.llm.chats import chat_packs
+from gleanery.llm.collocations import collocations
 from gleanery.llm.common import LOWER, UPPER, table
 from gleanery.llm.contamination import contamination
 from gleanery.llm.exact_duplicates import exact_duplicates
+from gleanery.llm.hard_negatives import hard_negatives
+from gleanery.llm.kmeans_tree import tree_neighbours
 from gleanery.llm.languages import fit_languages, identify_languages
 from gleanery.llm.near_duplicates import near_duplicates
 from gleanery.llm.pieces import encode_pieces, load_pieces
@@ -216,3 +219,62 @@ SELECT doc_id, coalesce(n, 0) AS n_matches, licenses, best_license, best_dice
 FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) LEFT JOIN found USING (r)""")
 def op10_licenses(spark, sf):
     return L.licenses(table(spark, sf, "documents"))
+
+
+@query("op11_neighbours")
+def op11_neighbours(spark, sf):
+    return tree_neighbours(table(spark, sf, "embeddings"), "id % 20 = 0")
+
+
+@query("op12_collocations", f"""
+WITH piece AS (
+  SELECT row_number() OVER () AS p, lang, regexp_extract_all(c, '[^\\x20\\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({folded('text')}, '[.,;:!?\\x0A-\\x0D]')) AS c FROM documents)
+), f AS (
+  SELECT lang, phrase, m, count(*) AS f FROM (
+    SELECT lang, m, w[i : i + m - 1] AS phrase FROM piece, unnest([1, 2, 3, 4, 5]) AS s(m), unnest(range(1, len(w) - m + 2)) AS u(i) WHERE len(w) >= m
+  ) GROUP BY ALL HAVING count(*) >= 100
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY lang),
+held AS (
+  SELECT DISTINCT lang, phrase[i : i + k - 1] AS phrase, f FROM f, unnest([2, 3, 4]) AS s(k), unnest(range(1, m - k + 2)) AS u(i) WHERE m > k
+), longest AS (SELECT lang, phrase, max(f) AS f FROM held GROUP BY ALL),
+cut AS (
+  SELECT c.lang, c.phrase, k, c.f AS a, x.f AS l, y.f AS r, n,
+    (1000 * CAST(c.f AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM f AS c JOIN total USING (lang), unnest(range(1, c.m)) AS u(k)
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = c.phrase[1 : k] JOIN f AS y ON y.lang = c.lang AND y.phrase = c.phrase[k + 1 :]
+  WHERE c.m >= 2
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS j FROM cut
+), ranked AS (
+  SELECT b.lang, array_to_string(b.phrase, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+  FROM best AS b LEFT JOIN longest AS g ON g.lang = b.lang AND g.phrase = b.phrase WHERE j = 1 AND (g.f IS NULL OR g.f < a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked) WHERE rank <= 2000""")
+def op12_collocations(spark, sf):
+    return collocations(table(spark, sf, "documents"))
+
+
+@query("op13_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label,
+    CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE label = own) WHERE k <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS r
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND s.label <> s.own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 10""")
+def op13_hard_negatives(spark, sf):
+    label = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+    return hard_negatives(table(spark, sf, "embeddings"), "id % 100 = 0", label=label)
