@@ -246,10 +246,10 @@ def near_duplicates(
         if mixed.isEmpty():
             break
         open_rows = cut_lineage(rest.join(mixed.select("key"), "key", "left_semi"))
-        stars = open_rows.filter(F.col("m") > SMALL).join(mixed, "key").select(
-            "id", "n", "c", F.explode(F.array(*(f"s{i}" for i in range(CENTRES)))).alias("s")
-        )
-        stars = stars.filter("s.c <> c").select(
+        # only centres of other components are exploded, each once
+        centres = F.array_distinct(F.filter(F.array(*(F.struct(f"s{i}.id", f"s{i}.n", f"s{i}.c") for i in range(CENTRES))), lambda s: s["c"] != F.col("c")))
+        stars = open_rows.filter(F.col("m") > SMALL).join(mixed, "key").select("id", "n", centres.alias("s")).distinct()
+        stars = stars.select("id", "n", F.explode("s").alias("s")).select(
             F.least("id", "s.id").alias("a"), F.greatest("id", "s.id").alias("b"), F.col("n").alias("n_a"), F.col("s.n").alias("n_b")
         )
         small = open_rows.filter(F.col("m") <= SMALL)
