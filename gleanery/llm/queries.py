@@ -1,7 +1,6 @@
 """The registered queries of the operators, with their SQL where SQL can say it."""
 
-import os
-
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from gleanery.llm import licenses as L
@@ -19,10 +18,9 @@ from gleanery.llm.secrets import joined_spans, secrets
 from gleanery.llm.token_shards import token_shards
 from gleanery.llm.url_rules import url_rules
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: Files of public tokenizers.
+BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
+PIECE_MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
 
 QUERIES, ORACLES = {}, {}
 

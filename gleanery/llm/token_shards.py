@@ -189,7 +189,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Control strings, each one id wherever it stands; a text that holds one is encoded as a whole.
+        self.control = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
         self.kind = np.uint32 if self.tokenizer.get_vocab_size() > 1 << 16 else np.uint16
         found = self.tokenizer.encode("a\n b", add_special_tokens=False).ids
         self.line_feed = found[1] if len(found) == 3 else None
@@ -263,7 +264,17 @@ class Encoder:
         for key, found in zip(single, self.tokenizer.encode_batch_fast([self._chunk(k) for k in single], add_special_tokens=False)):
             self.recent[key] = np.array(found.ids, self.kind).tobytes()
 
+    def _whole(self, text: str) -> bool:
+        return any(control in text for control in self.control)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, text in enumerate(texts) if text and self._whole(text)]
+        if whole:
+            rest = set(range(len(texts))).difference(whole)
+            out = dict(zip(sorted(rest), self.encode([texts[i] for i in sorted(rest)]))) if rest else {}
+            for i in whole:
+                out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.kind)
+            return [out[i] for i in range(len(texts))]
         keys = [self._keys(text) if text else [] for text in texts]
         known = self.recent
         missing = []
