@@ -300,7 +300,7 @@ def nearest(
     ``plan="scan"`` sends the queries to every task and refuses a set too large for
     that; ``plan="blocks"`` shuffles both sides in blocks and takes any number. Both
     give the same rows. Vectors of another length than ``dimension`` (by default that
-    of most queries), with a null or non-finite entry, or null are not compared, on
+    of most stored vectors, found in a scan of its own), with a null or non-finite entry, or null are not compared, on
     either side: ``vector_rejects`` counts them.
     """
     if not MIN_K <= k <= MAX_K:
@@ -313,7 +313,7 @@ def nearest(
     with_cells = "cells" in queries.columns
     output = output if output is not None else [c for c in corpus.columns if c not in (vector, "_cell")]
     asked = queries.select("query_id", F.col("vector"), (F.col("cells") if with_cells else F.array(F.lit(0))).alias("cells"))
-    dimension = dimension if dimension is not None else query_dimension(asked)
+    dimension = dimension if dimension is not None else stored_dimension(corpus, vector)
     asked = asked.where(is_sound(F.col("vector"), dimension))
     rows = corpus.where(has_dimension(F.col(vector), dimension)).select(
         chunk_id, vector, (F.col("_cell") if with_cells else F.lit(0)).cast("int").alias("_cell")
@@ -333,8 +333,12 @@ def nearest(
         scored = _scan_topk(block, rows, out, k, metric, (vector, chunk_id, kept), types)
     order = F.min if metric == "L2" else F.max
     once = scored.groupBy("query_id", chunk_id).agg(order("score").alias("score"), *([F.first(vector).alias(vector)] if kept else []))
-    best = topk_per_query(once, k, metric, chunk_id)
-    more = [c for c in output if c not in (chunk_id, vector)]
+    return with_columns_of(topk_per_query(once, k, metric, chunk_id), corpus, output, chunk_id)
+
+
+def with_columns_of(best: DataFrame, corpus: DataFrame, output: list[str], chunk_id: str = "chunk_id") -> DataFrame:
+    """Hits with the columns of ``output``; those they do not bring are read from the corpus."""
+    more = [c for c in dict.fromkeys(output) if c not in best.columns]
     if more:
         # a table of known size, so that Spark can choose the join; vectors are not read again
         best = cut_lineage(best)
@@ -343,16 +347,23 @@ def nearest(
     return best.select("query_id", "rank", *dict.fromkeys([chunk_id, *output]), "score")
 
 
-def query_dimension(queries: DataFrame, vector: str = "vector") -> int:
-    """The length most vectors have, the larger of equally frequent ones; 0 without vectors."""
-    sizes = queries.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("d")).count()
+def merge_hits(parts: list[DataFrame], k: int, metric: str = "L2", chunk_id: str = "chunk_id") -> DataFrame:
+    """The best k of several searches for the same queries; a chunk found twice counts once."""
+    hits = reduce(DataFrame.unionByName, (p.select("query_id", chunk_id, "score") for p in parts))
+    order = F.min if metric.upper() == "L2" else F.max
+    return topk_per_query(hits.groupBy("query_id", chunk_id).agg(order("score").alias("score")), k, metric, chunk_id)
+
+
+def stored_dimension(corpus: DataFrame, vector: str = "vector") -> int:
+    """The length most stored vectors have, the larger of equally frequent ones; 0 without vectors."""
+    sizes = corpus.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("d")).count()
     first = sizes.orderBy(F.desc("count"), F.desc("d")).first()
     return first["d"] if first else 0
 
 
 def vector_rejects(queries: DataFrame, corpus: DataFrame, dimension: int | None = None, vector: str = "vector") -> DataFrame:
     """(side, reason, n): the vectors that a search does not compare, by reason."""
-    dimension = dimension if dimension is not None else query_dimension(queries)
+    dimension = dimension if dimension is not None else stored_dimension(corpus, vector)
     sides = (("query", queries.select(F.col("vector").alias("v"))), ("stored", corpus.select(F.col(vector).alias("v"))))
     counted = [
         df.select(F.lit(side).alias("side"), reject_reason(F.col("v"), dimension).alias("reason")).where("reason IS NOT NULL") for side, df in sides
@@ -394,7 +405,7 @@ def candidate_summary(
     if plan not in PLANS:
         raise ValueError(f"plan is one of {', '.join(PLANS)}")
     asked = queries.select("query_id", "vector", F.array(F.lit(0)).alias("cells"))
-    dimension = dimension if dimension is not None else query_dimension(asked)
+    dimension = dimension if dimension is not None else stored_dimension(corpus, vector)
     asked = asked.where(is_sound(F.col("vector"), dimension))
     id_type, id_name = _id_type(asked, "query_id"), asked.schema["query_id"].dataType.simpleString()
     rows = corpus.where(has_dimension(F.col(vector), dimension)).select(chunk_id, vector, F.lit(0).alias("_cell"))
@@ -458,11 +469,15 @@ def vector_search(
     dimension: int | None = None,
 ) -> DataFrame:
     """Exact filtered search; filters apply before ranking. Plans as in ``nearest``."""
-    output = ["doc_id", "content"] + (["metadata"] if include_metadata else []) + (["vector"] if include_vectors else [])
+    output = response_columns(include_metadata, include_vectors)
     hits = nearest(queries, collection.where(combine_filters(filters)), k, metric, output, plan=plan, dimension=dimension)
     return project_hits(hits, include_metadata, include_vectors)
 
 
+def response_columns(include_metadata: bool, include_vectors: bool) -> list[str]:
+    return ["doc_id", "content"] + (["metadata"] if include_metadata else []) + (["vector"] if include_vectors else [])
+
+
 def text_search(queries: DataFrame, collection: DataFrame, loader: Loader, **options) -> DataFrame:
     """Embed text queries (query_id, text), then search. The model sees each query once."""
     return vector_search(cut_lineage(embed_query(queries, loader)), collection, **options)

@@ -1,25 +1,35 @@
-"""The chunk collection: Parquet partitioned by append batch and content type.
+"""The chunk collection: Parquet parts, partitioned by content type, named by numbered versions.
 
-Rows are only ever added; deleting a document adds its id and the time to a
-small table of deletions, and reading anti-joins it. A delete therefore costs
-one filtered scan instead of a rewrite of the collection, and a batch that is
-written twice (a retried job, a replayed stream batch) replaces itself.
+Every write is a part of its own, made visible by publishing the next version (see
+``versions``); a batch that is written twice (a retried job, a replayed stream batch) takes
+the place of its first part and keeps its time. Deleting a document adds its id and the
+time to a small table of deletions, and reading anti-joins it, so a delete costs one
+filtered scan instead of a rewrite of the collection.
+
+``build_cells`` stores all rows once more by their nearest centres. It covers the parts of
+its version: rows that come later are searched exactly beside it, deleted documents
+and replaced batches drop out of it, and building again is the caller's decision.
 """
 
 import logging
 import time
 import uuid
+from urllib.parse import quote
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions.urls import document_id
 from gleanery.operators.embedding import Loader, reject_reason
-from gleanery.operators.search import combine_filters, text_search, vector_search
+from gleanery.operators import ivf
+from gleanery.operators.search import combine_filters, merge_hits, nearest, project_hits, response_columns, text_search, vector_search, with_columns_of
 from gleanery.operators.summaries import collection_stats, reassemble_documents
-from gleanery.schema import BYTE_LIMITS, CHUNK_METADATA, COLLECTION, DEFAULT_DIMENSION, DEFAULT_MODEL_NAME
+from gleanery.schema import BYTE_LIMITS, CHUNK_METADATA, COLLECTION, DEFAULT_DIMENSION, DEFAULT_K, DEFAULT_MODEL_NAME, DEFAULT_NLIST, DEFAULT_NPROBE
+from gleanery.sources.versions import VersionLog
 
+_CENTERS = "cell int, center array<double>, radius double, n bigint"
 _DELETIONS = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("deleted_at", T.LongType())])
 
 
@@ -51,23 +61,42 @@ def collection_rows(chunks: DataFrame, embedding_model: str = DEFAULT_MODEL_NAME
     )
 
 
+def _new_part() -> str:
+    return f"p{uuid.uuid4().hex}"
+
+
 class Collection:
-    def __init__(self, spark: SparkSession, path: str, dimension: int = DEFAULT_DIMENSION) -> None:
-        self.spark, self.dimension = spark, dimension
-        self._rows, self._deletions = f"{path}/rows", f"{path}/deletions"
+    def __init__(self, spark: SparkSession, path: str, dimension: int = DEFAULT_DIMENSION, version: int | None = None) -> None:
+        """The newest version at every call, or always the given one, which then is only read."""
+        self.spark, self.dimension, self.path, self.version = spark, dimension, path, version
+        self.versions = VersionLog(spark, f"{path}/versions")
+        self._rows, self._deletions, self._cells = f"{path}/rows", f"{path}/deletions", f"{path}/cells"
 
     def create(self, drop_old: bool = False) -> "Collection":
         """Create the empty collection; an existing one is kept unless ``drop_old``."""
-        mode = "overwrite" if drop_old else "ignore"
-        empty = self.spark.createDataFrame([], COLLECTION)
-        empty.write.mode(mode).partitionBy("batch", "content_type").parquet(self._rows)
-        self.spark.createDataFrame([], _DELETIONS).write.mode(mode).parquet(self._deletions)
+        if drop_old or not self.versions.numbers():
+            self._change(lambda state: {})
         return self
 
     def clear(self) -> None:
-        """Empty the collection, keep its schema."""
+        """Empty the collection, keep its schema. Readers of earlier versions keep their rows."""
         self.create(drop_old=True)
 
+    def at(self, version: int | None = None) -> "Collection":
+        """The collection pinned to a version, by default the newest."""
+        return Collection(self.spark, self.path, self.dimension, version or self.versions.state()[0])
+
+    def _state(self) -> dict:
+        number, state = self.versions.state(self.version)
+        if not number:
+            raise ValueError(f"no collection at {self.path}; create it first")
+        return {"rows": [], "deletions": [], "cells": None, **state}
+
+    def _change(self, make) -> dict:
+        if self.version is not None:
+            raise ValueError("a collection pinned to a version is only read")
+        return self.versions.change(lambda state: make({"rows": [], "deletions": [], "cells": None, **state}))[1]
+
     def append(
         self,
         chunks: DataFrame,
@@ -79,10 +108,13 @@ class Collection:
 
         What is refused is counted by reason in the same pass and warned about;
         ``rejects`` gives the rows. A batch that is written again is replaced as a
-        whole and keeps its first time, so that a document deleted meanwhile stays deleted.
+        whole and keeps its first time, so that a document deleted meanwhile stays
+        deleted; until the new rows are complete the old ones stay.
         """
         batch = batch or f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        added_at = self.read_all().where(F.col("batch") == batch).agg(F.min("added_at")).first()[0] or time.time_ns()
+        before = [e["added_at"] for e in self._state()["rows"] if e["batch"] == batch]
+        added_at = min(before, default=time.time_ns())
+        entry = {"batch": batch, "part": _new_part(), "added_at": added_at}
         judged = self._judged(chunks, embedding_model)
         counted = Observation()
         kinds = ("vector", *BYTE_LIMITS)
@@ -92,11 +124,12 @@ class Collection:
             accepted = accepted.where(F.col("content_type").isin(list(content_types)))
         stamped = accepted.withColumn("added_at", F.lit(added_at))
         stored = [c for c in COLLECTION.fieldNames() if c != "batch"]
-        stamped.select(stored).write.mode("overwrite").partitionBy("content_type").parquet(f"{self._rows}/batch={batch}")
+        stamped.select(stored).write.partitionBy("content_type").parquet(self._part_path(entry))
+        self._change(lambda state: {**state, "rows": [e for e in state["rows"] if e["batch"] != batch] + [entry]})
         refused = {kind: n for kind, n in counted.get.items() if n}
         if refused:
             logging.getLogger(__name__).warning("batch %s: chunks refused: %s", batch, refused)
-        return self.read().where(F.col("batch") == batch).select("chunk_id")
+        return self._kept(self._read_parts([entry]), self._state()).select("chunk_id")
 
     def _judged(self, chunks: DataFrame, embedding_model: str) -> DataFrame:
         rows = collection_rows(chunks, embedding_model)
@@ -122,16 +155,34 @@ class Collection:
         self.append(flat, **options)
         return documents.select("doc_id").distinct()
 
+    def _part_path(self, entry: dict) -> str:
+        return f"{self._rows}/batch={quote(entry['batch'], safe=' ')}/part={entry['part']}"
+
+    def _read_parts(self, entries: list[dict], *more: str) -> DataFrame:
+        columns = [*COLLECTION.fieldNames(), *more]
+        if not entries:
+            return self.spark.createDataFrame([], T.StructType([*COLLECTION.fields, *(T.StructField(c, T.StringType()) for c in more)]))
+        rows = self.spark.read.schema(COLLECTION).option("basePath", self._rows).parquet(*map(self._part_path, entries))
+        if "part" not in rows.columns:  # parts without any row
+            rows = rows.withColumn("part", F.lit(None).cast("string"))
+        return rows.select(*columns)
+
+    def _kept(self, rows: DataFrame, state: dict) -> DataFrame:
+        """Without deleted documents. The deletions are broadcast by Spark while they are small."""
+        if not state["deletions"]:
+            return rows
+        gone = self.spark.read.schema(_DELETIONS).parquet(*(f"{self._deletions}/{part}" for part in state["deletions"]))
+        deleted = (rows["doc_id"] == gone["doc_id"]) & (rows["added_at"] <= gone["deleted_at"])
+        return rows.join(gone, deleted, "left_anti")
+
     def read_all(self) -> DataFrame:
         """All rows, deleted documents included."""
-        return self.spark.read.schema(COLLECTION).parquet(self._rows)
+        return self._read_parts(self._state()["rows"])
 
     def read(self) -> DataFrame:
-        """Current rows. The deletions are broadcast by Spark while they are small."""
-        rows = self.read_all()
-        gone = self.spark.read.schema(_DELETIONS).parquet(self._deletions)
-        deleted = (rows["doc_id"] == gone["doc_id"]) & (rows["added_at"] <= gone["deleted_at"])
-        return rows.join(gone, deleted, "left_anti")
+        """Current rows."""
+        state = self._state()
+        return self._kept(self._read_parts(state["rows"]), state)
 
     def scan(self, condition: Column | str | None = None, columns: list[str] | None = None, filters: dict | None = None) -> DataFrame:
         """Rows that satisfy an expression and a filter dictionary, with chosen fields."""
@@ -156,11 +207,11 @@ class Collection:
 
     def _mark_deleted(self, rows: DataFrame) -> DataFrame:
         """Record the documents of ``rows`` as deleted now; their ids."""
-        now = time.time_ns()
+        now, part = time.time_ns(), _new_part()
         marks = rows.select("doc_id").distinct().withColumn("deleted_at", F.lit(now))
-        marks.write.mode("append").parquet(self._deletions)
-        log = self.spark.read.schema(_DELETIONS).parquet(self._deletions)
-        return log.where(F.col("deleted_at") == now).select("doc_id").distinct()
+        marks.write.parquet(f"{self._deletions}/{part}")
+        self._change(lambda state: {**state, "deletions": [*state["deletions"], part]})
+        return self.spark.read.schema(_DELETIONS).parquet(f"{self._deletions}/{part}").select("doc_id")
 
     def compact_to(self, path: str) -> "Collection":
         """Copy what is left after deletions to a new collection, for the caller to switch to.
@@ -170,17 +221,93 @@ class Collection:
         deletions too many to be broadcast on every read.
         """
         target = Collection(self.spark, path, self.dimension).create()
+        entry = {"batch": f"compact-{time.time_ns()}", "part": _new_part(), "added_at": time.time_ns()}
         rows = self.read().drop("batch").hint("rebalance", "content_type")
-        rows.write.mode("overwrite").partitionBy("content_type").parquet(f"{target._rows}/batch=compact-{time.time_ns()}")
+        rows.write.partitionBy("content_type").parquet(target._part_path(entry))
+        target._change(lambda state: {**state, "rows": [entry]})
         return target
 
-    def search(self, queries: DataFrame, **options) -> DataFrame:
-        """Filtered top-k search for (query_id, vector); see ``operators.search.vector_search``."""
-        return vector_search(queries, self.read(), **options)
+    # --- cells ---------------------------------------------------------------
+
+    def build_cells(self, nlist: int = DEFAULT_NLIST, centers: np.ndarray | None = None, **training) -> "Collection":
+        """Store the rows of the newest version by their nearest centres, trained on them unless given.
+
+        Content stays in the rows; the cells hold what filters and scores need.
+        """
+        state = self._state()
+        rows = self._kept(self._read_parts(state["rows"], "part"), state)
+        if centers is None:
+            centers = ivf.train_cells(rows, nlist, dimension=self.dimension, **training)
+        part = _new_part()
+        assigned = ivf.ivf_assign(rows.drop("content"), centers)
+        stored = ivf.write_cells(assigned, f"{self._cells}/{part}/rows")
+        sizes = ivf.cell_sizes(stored, centers)
+        table = [(i, [float(x) for x in c], r, n) for i, (c, (r, n)) in enumerate(zip(centers, sizes))]
+        self.spark.createDataFrame(table, _CENTERS).coalesce(1).write.parquet(f"{self._cells}/{part}/centers")
+        covered = [e["part"] for e in state["rows"]]
+        self._change(lambda now: {**now, "cells": {"part": part, "covers": covered}})
+        return self
+
+    def cells(self) -> tuple[DataFrame, np.ndarray, np.ndarray, DataFrame]:
+        """(current rows in cells, centres, radii, current rows beside them)."""
+        state = self._state()
+        if state["cells"] is None:
+            raise ValueError("the collection has no cells; build_cells makes them")
+        folder, covers = f"{self._cells}/{state['cells']['part']}", set(state["cells"]["covers"])
+        table = self.spark.read.parquet(f"{folder}/centers").orderBy("cell").collect()  # one row per cell
+        schema = T.StructType([f for f in COLLECTION.fields if f.name != "content"] + [T.StructField("part", T.StringType()), T.StructField("_cell", T.IntegerType())])
+        rows = self.spark.read.schema(schema).parquet(f"{folder}/rows")
+        gone = covers.difference(e["part"] for e in state["rows"])  # replaced batches
+        if gone:
+            rows = rows.where(~F.col("part").isin(sorted(gone)))
+        beside = self._read_parts([e for e in state["rows"] if e["part"] not in covers])
+        centers = np.array([r["center"] for r in table], np.float32).reshape(len(table), self.dimension)
+        return self._kept(rows, state), centers, np.array([r["radius"] for r in table]), self._kept(beside, state)
+
+    def _cell_search(
+        self, queries: DataFrame, k: int = DEFAULT_K, filters: dict | None = None, metric: str = "L2", include_metadata: bool = True,
+        include_vectors: bool = False, nprobe: int | None = None, **options,
+    ) -> DataFrame:
+        rows, centers, radii, beside = self.cells()
+        wanted = combine_filters(filters)
+        rows, beside = rows.where(wanted), beside.where(wanted)
+        if nprobe is None:
+            found = ivf.bounded_search(queries, rows, centers, radii, k, metric, output=[], **options)
+        else:
+            found = ivf.ivf_search(queries, rows, centers, k, nprobe, metric, output=[], **options)
+        fresh = nearest(queries, beside, k, metric, output=[], dimension=self.dimension, **options)
+        best = merge_hits([found, fresh], k, metric)
+        output = response_columns(include_metadata, include_vectors)
+        return project_hits(with_columns_of(best, self.read(), output), include_metadata, include_vectors)
+
+    def search(self, queries: DataFrame, using: str = "rows", nprobe: int = DEFAULT_NPROBE, **options) -> DataFrame:
+        """Filtered top-k search for (query_id, vector); see ``operators.search.vector_search``.
+
+        ``using`` names the way: "rows" scores every row; "bounds" gives the same hits from
+        the stored cells, passing over those that cannot hold one; "cells" is
+        approximate and probes the ``nprobe`` nearest. Queries of another
+        length than the collection's are not compared.
+        """
+        if using == "rows":
+            return vector_search(queries, self.read(), dimension=self.dimension, **options)
+        if using not in ("bounds", "cells"):
+            raise ValueError("using is one of rows, bounds, cells")
+        return self._cell_search(queries, nprobe=nprobe if using == "cells" else None, **options)
 
     def text_search(self, queries: DataFrame, loader: Loader, **options) -> DataFrame:
         """The same for text queries (query_id, text)."""
-        return text_search(queries, self.read(), loader, **options)
+        return text_search(queries, self.read(), loader, dimension=self.dimension, **options)
 
     def stats(self, **options) -> DataFrame:
         return collection_stats(self.read(), self.dimension, **options)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Remove the parts that none of the newest ``keep`` versions names, and the older versions; the number of parts removed.
+
+        For a time at which no writer is at work and no reader holds an older version.
+        """
+        return self.versions.remove_before(keep, self.path, lambda state: [
+            *(f"rows/batch={quote(e['batch'], safe=' ')}/part={e['part']}" for e in state.get("rows", [])),
+            *(f"deletions/{part}" for part in state.get("deletions", [])),
+            *([f"cells/{state['cells']['part']}"] if state.get("cells") else []),
+        ])

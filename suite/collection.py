@@ -8,6 +8,7 @@ from gleanery.session import scratch_path
 from gleanery.sources.collection import Collection, collection_rows
 from suite import inputs as I
 from suite import query
+from suite.search import FILTERS, FILTERS_SQL, _shown as shown_hits, _topk_sql
 
 
 def stored(spark, sf, **options) -> Collection:
@@ -98,6 +99,50 @@ def clear_collection(spark, sf):
     return collection.read().agg(F.count("*").alias("after")).select(F.lit(before).cast("bigint").alias("before"), "after")
 
 
+def _with_cells(spark, sf) -> Collection:
+    """Cells over most rows; then more rows, a deleted document, and a batch written again with fewer rows."""
+    chunks = I.vector_chunks(spark, sf)
+    collection = Collection(spark, scratch_path(spark, "collection"), I.DIMENSION).create()
+    collection.append(chunks.where("vec_id % 10 < 5"), batch="first")
+    collection.append(chunks.where("vec_id % 10 IN (5, 6)"), batch="second")
+    collection.build_cells(8)
+    collection.append(chunks.where("vec_id % 10 IN (7, 8)"), batch="third")
+    collection.delete_document("doc7")
+    collection.append(chunks.where("vec_id % 10 = 5"), batch="second")
+    return collection
+
+
+CELLS_WHERE = "vec_id % 10 NOT IN (6, 9) AND doc_id <> 'doc7'"
+
+
+@query("collection_cells", f"SELECT 'bounds' AS way, * FROM ({_topk_sql(5, where=CELLS_WHERE)}) UNION ALL "
+       f"SELECT 'cells', * FROM ({_topk_sql(7, where=f'{CELLS_WHERE} AND {FILTERS_SQL}')})")
+def collection_cells(spark, sf):
+    """The stored cells with what changed after they were built: all cells probed, and exact search by their bounds."""
+    collection, queries = _with_cells(spark, sf), I.centroid_queries(spark, sf)
+    bounds = collection.search(queries, using="bounds", k=5, include_metadata=False)
+    cells = collection.search(queries, using="cells", nprobe=8, k=7, filters=FILTERS, include_metadata=False)
+    return shown_hits(bounds).select(F.lit("bounds").alias("way"), "*").unionByName(shown_hits(cells).select(F.lit("cells").alias("way"), "*"))
+
+
+@query("collection_versions", f"""
+WITH {I.CHUNK_CTE}, v AS (
+  SELECT 1 AS version, vec_id, doc_id, chunk_id FROM c WHERE false
+  UNION ALL SELECT 2, vec_id, doc_id, chunk_id FROM c WHERE vec_id % 3 <> 0
+  UNION ALL SELECT 3, vec_id, doc_id, chunk_id FROM c WHERE vec_id % 3 <> 0 AND doc_id <> 'doc7'
+  UNION ALL SELECT 4, vec_id, doc_id, chunk_id FROM c WHERE vec_id % 3 = 1 AND doc_id <> 'doc7'
+) SELECT CAST(version AS BIGINT) AS version, doc_id, chunk_id FROM v""")
+def collection_versions(spark, sf):
+    """Every version as a reader that is pinned to it sees it: created, filled, a document deleted, the batch written again."""
+    chunks = I.vector_chunks(spark, sf)
+    collection = Collection(spark, scratch_path(spark, "collection"), I.DIMENSION).create()
+    collection.append(chunks.where("vec_id % 3 <> 0"), batch="a/b: 1")
+    collection.delete_document("doc7")
+    collection.append(chunks.where("vec_id % 3 = 1"), batch="a/b: 1")
+    seen = [collection.at(v).read().select(F.lit(v).cast("bigint").alias("version"), "doc_id", "chunk_id") for v in collection.versions.numbers()]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2]).unionByName(seen[3])
+
+
 @query("collection_stats", f"""
 WITH {I.CHUNK_CTE} SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, CAST(64 AS BIGINT) AS dimension,
  'IVF_FLAT' AS index_type, 'L2' AS metric_type FROM c""")

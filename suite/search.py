@@ -56,12 +56,16 @@ SOUND = "vec_id % 11 <> 0 AND vec_id % 13 <> 0 AND vec_id % 17 <> 0 AND vec_id %
 
 
 def _dirty(spark, sf):
-    """Stored vectors and queries of which many have a NaN, a null or infinite entry, 63 values, or are null."""
+    """Stored vectors and queries of which many have a NaN, a null or infinite entry, 63 values, or are null.
+
+    Most queries have a length that no stored vector has.
+    """
     stored = _stored(spark, sf).withColumn("vec_id", F.expr("CAST(substr(chunk_id, 4) AS BIGINT)"))
     queries = I.centroid_queries(spark, sf)
     wrong = queries.select((F.col("query_id") + 100_001).alias("query_id"), "vector").withColumn("n", F.row_number().over(Window.orderBy("query_id")))
     wrong = wrong.select("query_id", F.expr(BROKEN.format(id="array(11, 13, 17, 19, 23)[n % 5]", v="vector")).alias("vector"))
-    return queries.unionByName(wrong), stored.withColumn("vector", F.expr(BROKEN.format(id="vec_id", v="vector")))
+    other = queries.select(F.explode(F.array(*(F.lit(n) + F.col("query_id") for n in (200_001, 300_001)))).alias("query_id"), F.slice("vector", 1, 5).alias("vector"))
+    return queries.unionByName(wrong).unionByName(other), stored.withColumn("vector", F.expr(BROKEN.format(id="vec_id", v="vector")))
 
 
 @query("vector_topk_dirty", " UNION ALL ".join(
@@ -84,10 +88,11 @@ r AS (
   SELECT 'query' AS side, CASE r WHEN 2 THEN 'expected 64 values, got 0' WHEN 3 THEN 'expected 64 values, got 63' ELSE 'null or non-finite value' END AS reason FROM m
   UNION ALL SELECT 'stored', CASE WHEN vec_id % 11 = 0 OR vec_id % 13 = 0 THEN 'null or non-finite value' WHEN vec_id % 17 = 0 THEN 'expected 64 values, got 0'
     WHEN vec_id % 19 = 0 THEN 'expected 64 values, got 63' ELSE 'null or non-finite value' END FROM embeddings WHERE NOT ({SOUND})
+  UNION ALL SELECT 'query', 'expected 64 values, got 5' FROM q, (VALUES (1), (2)) AS twice
 )
 SELECT side, reason, count(*) AS n FROM r GROUP BY side, reason""")
 def vector_rejects(spark, sf):
-    return S.vector_rejects(*_dirty(spark, sf), dimension=I.DIMENSION)
+    return S.vector_rejects(*_dirty(spark, sf))
 
 
 @query("vector_metrics", " UNION ALL ".join(
@@ -241,6 +246,31 @@ def ivf_search_all_cells(spark, sf):
     return _shown(S.project_hits(hits, include_metadata=False))
 
 
+@query("ivf_search_dirty", _topk_sql(5, where=SOUND))
+def ivf_search_dirty(spark, sf):
+    """Cells trained and filled from a table with unsound vectors; all of them probed by a query set that is mostly unsound."""
+    queries, stored = _dirty(spark, sf)
+    stored = cut_lineage(stored)
+    centers = ivf.train_cells(stored, NLIST)
+    cells = ivf.write_cells(ivf.ivf_assign(stored, centers), scratch_path(spark, "cells"))
+    hits = ivf.ivf_search(cut_lineage(queries), cells, centers, 5, NLIST, output=["doc_id", "content"])
+    return _shown(S.project_hits(hits, include_metadata=False))
+
+
+@query("vector_topk_bounded", " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, * FROM ({_topk_sql(10, s, d)})" for m, s, d in (("L2", SQUARED, "ASC"), ("IP", DOT, "DESC"))
+))
+def vector_topk_bounded(spark, sf):
+    """Exact search that passes over the cells whose centre and radius rule out a better hit."""
+    cells, centers = _cells(spark, sf)
+    radii = np.array([r for r, _ in ivf.cell_sizes(cells, centers)])
+    queries, found = cut_lineage(I.centroid_queries(spark, sf)), []
+    for metric in ("L2", "IP"):
+        hits = ivf.bounded_search(queries, cells, centers, radii, 10, metric, output=["doc_id", "content"])
+        found.append(_shown(S.project_hits(hits, include_metadata=False)).select(F.lit(metric).alias("metric"), "*"))
+    return found[0].unionByName(found[1])
+
+
 LABEL_CELLS_CTE = f"""
 {I.CENTROID_CTE}, {I.CHUNK_CTE},
 near AS (SELECT chunk_id, query_id AS cell, row_number() OVER (PARTITION BY chunk_id ORDER BY {SQUARED}, query_id) AS n FROM c, q),

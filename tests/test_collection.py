@@ -232,3 +232,99 @@ def test_all_metadata_is_stored(spark, collection):
     collection.append(rows)
     kept = collection.read().first().metadata
     assert (kept.sitemap_priority, kept.header_level, kept.header_text, kept.description, kept.last_modified) == (0.5, 2, "Head", "about", "2024-01-02")
+
+
+def ids(rows):
+    return sorted(r.chunk_id for r in rows.select("chunk_id").collect())
+
+
+def test_a_write_that_dies_leaves_rows_and_time(spark, collection, monkeypatch):
+    """A replay that dies after its data, before its version, changes nothing; the next one keeps the first time."""
+    collection.append(chunks(spark, ("d1", "a", "text", 0, [1.0, 2.0]), ("d2", "b", "text", 0, [1.0, 2.0])), batch="b")
+    collection.delete_document("d1")
+    time = collection.read_all().first().added_at
+    with monkeypatch.context() as m:
+        m.setattr(collection, "_change", lambda make: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            collection.append(chunks(spark, ("d3", "c", "text", 0, [1.0, 2.0])), batch="b")
+    assert ids(collection.read()) == ["b"] and ids(collection.read_all()) == ["a", "b"]
+    collection.append(chunks(spark, ("d1", "a", "text", 0, [1.0, 2.0]), ("d3", "c", "text", 0, [1.0, 2.0])), batch="b")
+    assert ids(collection.read()) == ["c"]  # d1 stays deleted
+    assert {r.added_at for r in collection.read_all().collect()} == {time}
+
+
+def test_readers_keep_their_version(spark, collection):
+    collection.append(chunks(spark, ("d1", "a", "text", 0, [1.0, 2.0])), batch="b")
+    rows, pinned = collection.read(), collection.at()
+    collection.append(chunks(spark, ("d2", "b", "text", 0, [1.0, 2.0])), batch="b")
+    collection.clear()
+    assert ids(rows) == ids(pinned.read()) == ["a"] and ids(collection.read()) == []
+    with pytest.raises(ValueError):
+        pinned.clear()
+    with pytest.raises(ValueError):
+        Collection(spark, scratch_path(spark, "nowhere"), 2).read()
+
+
+def test_a_taken_version_is_not_overwritten(spark, collection, monkeypatch):
+    """Another writer publishes between reading and writing: both changes are kept."""
+    log, real, once = collection.versions, collection.versions.state, []
+
+    def late(number=None):
+        found = real(number)
+        if not once:
+            once.append(1)
+            Collection(spark, collection.path, 2).append(chunks(spark, ("d1", "a", "text", 0, [1.0, 2.0])), batch="other")
+        return found
+
+    part = chunks(spark, ("d2", "b", "text", 0, [1.0, 2.0]))
+    monkeypatch.setattr(log, "state", late)
+    collection.append(part, batch="mine")
+    once.clear()
+    log.change(lambda state: {**state, "note": 1})
+    assert ids(collection.read()) == ["a", "b"] and real()[1]["note"] == 1
+
+
+def test_vacuum_removes_what_no_kept_version_names(spark, collection):
+    for name in "abc":
+        collection.append(chunks(spark, ("d1", name, "text", 0, [1.0, 2.0])), batch="b")
+    collection.delete_document("nobody")
+    assert collection.vacuum(keep=2) == 2 and ids(collection.read()) == ["c"]
+    assert len(collection.versions.numbers()) == 2 and collection.vacuum(keep=2) == 0
+
+
+def test_append_reads_no_rows(spark, collection, monkeypatch):
+    """One batch more never lists or reads the others."""
+    collection.append(chunks(spark, ("d1", "a", "text", 0, [1.0, 2.0])), batch="a")
+    read = []
+    monkeypatch.setattr(collection, "_read_parts", lambda entries, *more: read.extend(entries) or Collection._read_parts(collection, entries, *more))
+    collection.append(chunks(spark, ("d2", "b", "text", 0, [1.0, 2.0])), batch="b").collect()
+    assert [e["batch"] for e in read] == ["b"]
+
+
+def test_cells_follow_the_collection(spark, collection):
+    rows = [(f"d{i}", f"c{i:02d}", "text" if i % 2 else "python", i, [float(i % 7), float(i // 7)]) for i in range(40)]
+    queries = spark.createDataFrame([(1, [3.0, 2.0]), (2, [6.0, 5.0]), (3, [1.0])], "query_id int, vector array<float>")
+    with pytest.raises(ValueError):
+        collection.search(queries, using="cells")
+    collection.append(chunks(spark, *rows[:20]), batch="a")
+    collection.append(chunks(spark, *rows[20:25]), batch="b")
+    collection.build_cells(4)
+    collection.append(chunks(spark, *rows[25:]), batch="c")
+    collection.delete_document("d17")
+    collection.append(chunks(spark, *rows[20:22]), batch="b")
+    for options in ({}, {"filters": {"content_type": "text"}}, {"filters": {"doc_id": "d5"}}, {"include_vectors": True, "metric": "IP"}):
+        want = sorted(map(str, collection.search(queries, k=6, **options).collect()))
+        assert want and sorted(map(str, collection.search(queries, using="bounds", k=6, **options).collect())) == want
+        assert sorted(map(str, collection.search(queries, using="cells", nprobe=4, k=6, **options).collect())) == want
+    old = collection.at()
+    collection.build_cells(centers=collection.cells()[1])
+    assert collection.cells()[3].count() == 0 and old.cells()[3].count() == 17
+    collection.clear()
+    collection.build_cells()
+    assert collection.search(queries, using="bounds").count() == collection.search(queries, using="cells").count() == 0
+
+
+def test_search_of_a_collection_takes_its_own_dimension(spark, collection):
+    collection.append(chunks(spark, *ROWS))
+    queries = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [9.0])], "query_id int, vector array<float>")
+    assert {r.query_id for r in collection.search(queries, k=2).collect()} == {1}

@@ -158,3 +158,52 @@ def test_the_model_runs_once_per_chunk(spark):
     centers = np.array([[0.0, 0, 0, 0], [1, 1, 1, 1]], dtype=np.float32)
     cells = ivf.ivf_assign(accepted, centers).where("_cell = 1")
     assert cells._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+
+
+def test_bounded_search_is_exact_and_compares_fewer(spark):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(20, 8)) * 10
+    vectors = (middle[rng.integers(20, size=1_500)] + 0.3 * rng.normal(size=(1_500, 8))).astype(np.float32)
+    corpus = spark.createDataFrame([(f"c{i:04d}", v.tolist(), "x") for i, v in enumerate(vectors)], "chunk_id string, vector array<float>, doc_id string")
+    queries = spark.createDataFrame([(i, vectors[i * 7].tolist()) for i in range(30)], "query_id int, vector array<float>")
+    centers = ivf.train_cells(corpus, 20)
+    cells = ivf.ivf_assign(corpus, centers)
+    sizes = ivf.cell_sizes(cells, centers)
+    radii = np.array([r for r, _ in sizes])
+    assert sum(n for _, n in sizes) == 1_500
+    for metric in ("L2", "IP"):
+        want = sorted(map(tuple, S.nearest(queries, corpus, 5, metric, output=["doc_id"]).collect()))
+        assert sorted(map(tuple, ivf.bounded_search(queries, cells, centers, radii, 5, metric, output=["doc_id"]).collect())) == want
+    asked = queries.withColumn("cells", ivf._nearest_cells(F.col("vector"), centers, 2))
+    first = S.nearest(asked, cells, 5, output=[], dimension=8)
+    left = ivf.open_cells(asked, first, centers, radii, 5)
+    rows = {i: n for i, (_, n) in enumerate(sizes)}
+    compared = sum(rows[c] for df in (asked, left) for r in df.collect() for c in r["cells"])
+    assert compared < 0.5 * 30 * 1_500
+    with pytest.raises(ValueError):
+        ivf.bounded_search(queries, cells, centers, radii, 5, "COSINE")
+
+
+def test_bounded_search_with_fewer_rows_than_asked(spark, queries):
+    corpus = spark.createDataFrame([("a", VECTORS[1].tolist()), ("b", VECTORS[2].tolist())], "chunk_id string, vector array<float>")
+    centers = VECTORS[1:4]
+    cells = ivf.ivf_assign(corpus, centers)
+    radii = np.array([r for r, _ in ivf.cell_sizes(cells, centers)])
+    assert ivf.bounded_search(queries, cells, centers, radii, 5, output=[]).count() == 6
+    empty = ivf.bounded_search(queries, cells.limit(0), centers, np.zeros(3), 5, output=[])
+    assert empty.count() == 0
+
+
+def test_training_takes_sound_vectors_only(spark, corpus):
+    odd = [("n", [float("nan")] * 8), ("i", [float("inf")] * 8), ("x", [None] + [1.0] * 7), ("s", [1.0] * 3), ("0", None)]
+    dirty = corpus.select("chunk_id", "vector").unionByName(spark.createDataFrame(odd, "chunk_id string, vector array<float>"))
+    assert np.isfinite(ivf.train_cells(dirty, 4)).all() and ivf.train_cells(dirty, 4).shape == (4, 8)
+    assert ivf.train_cells(dirty.limit(0), 4, dimension=8).tolist() == [[0.0] * 8]
+
+
+def test_queries_of_another_length_hide_nothing(spark):
+    corpus = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [1.0, 0.0])], "chunk_id string, vector array<float>")
+    queries = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0]), (3, [2.0])], "query_id int, vector array<float>")
+    for plan in S.PLANS:
+        assert [(h.query_id, h.chunk_id) for h in S.nearest(queries, corpus, 1, output=[], plan=plan).collect()] == [(1, "a")]
+    assert {tuple(r) for r in S.vector_rejects(queries, corpus).collect()} == {("query", "expected 2 values, got 1", 2)}
