@@ -1,45 +1,17 @@
 """HTML pages: metadata, links, element stripping and conversion to text.
 
-Pages are whole-text rows; every function is a chain of linear regular
-expressions and stays in one JVM projection.
+Pages are whole-text rows. Elements are removed by a scanner that is linear on any
+page (``tags``); the rest is a chain of regular expressions in the JVM, each applied only up to
+the last place where it can match, so that what is left open costs nothing.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What belongs to each kind of element, as it follows the opening "<" (fixed
-# values). Pairs come before stand-alone tags, so a body goes with its element.
-ELEMENT_PATTERNS = {
-    "comments": [r"!--.*?-->"],
-    "structured_data": [r"script\b[^>]*application/ld\+json[^>]*>.*?</script\s*>"],
-    "scripts": [
-        r"script\b(?![^>]*application/ld\+json)[^>]*>.*?</script\s*>",
-        r"noscript\b[^>]*>.*?</noscript\s*>",
-    ],
-    "styles": [r"style\b[^>]*>.*?</style\s*>", r"link\b[^>]*stylesheet[^>]*>"],
-    "meta": [r"meta\b[^>]*>"],
-    "iframes": [r"iframe\b[^>]*>.*?</iframe\s*>"],
-    "embeds": [r"object\b[^>]*>.*?</object\s*>", r"/?embed\b[^>]*>"],
-    "media": [
-        r"video\b[^>]*>.*?</video\s*>",
-        r"audio\b[^>]*>.*?</audio\s*>",
-        r"(?:source|track)\b[^>]*>",
-    ],
-    "images": [
-        r"picture\b[^>]*>.*?</picture\s*>",
-        r"svg\b[^>]*>.*?</svg\s*>",
-        r"img\b[^>]*>",
-    ],
-    "tables": [r"table\b[^>]*>.*?</table\s*>"],
-    "forms": [r"/?form\b[^>]*>"],
-    "buttons": [r"button\b[^>]*>.*?</button\s*>"],
-    "inputs": [
-        r"textarea\b[^>]*>.*?</textarea\s*>",
-        r"select\b[^>]*>.*?</select\s*>",
-        r"input\b[^>]*>",
-    ],
-    "links": [r"/?a\b[^>]*>"],
-}
+from gleanery.functions.tags import ELEMENTS, remove_elements
+
+#: The kinds of elements a caller may keep or remove; the head is removed for text only.
+ELEMENT_KINDS = tuple(kind for kind in ELEMENTS if kind != "head")
 # What a page keeps unless the caller says otherwise (fixed values)
 KEPT_BY_DEFAULT = {"links", "tables", "meta", "structured_data"}
 
@@ -93,18 +65,18 @@ def page_links(html: Column) -> Column:
 
 def strip_html_elements(html: Column, keep: set[str] = frozenset(KEPT_BY_DEFAULT)) -> Column:
     """Remove every element kind whose name is not in ``keep``, in one pass over the page."""
-    unknown = set(keep) - set(ELEMENT_PATTERNS)
+    unknown = set(keep) - set(ELEMENT_KINDS)
     if unknown:
         raise ValueError(f"unknown element kinds: {sorted(unknown)}")
-    removed = [p for kind, patterns in ELEMENT_PATTERNS.items() if kind not in keep for p in patterns]
-    return F.regexp_replace(html, f"(?is)<(?:{'|'.join(removed)})", "") if removed else html
+    return remove_elements(html, set(ELEMENT_KINDS) - set(keep))
 
 
+_LINK_RULE = (r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", "[$2]($1)")
 _MARKDOWN_RULES = (
     [(rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)]
     + [
         (r"(?i)</h[1-6]\s*>", "\n\n"),
-        (r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", "[$2]($1)"),
+        _LINK_RULE,
         (r"(?i)</?(?:b|strong)\s*>", "**"),
         (r"(?i)</?(?:i|em)\s*>", "*"),
         (r"(?i)</?code\s*>", "`"),
@@ -116,37 +88,47 @@ _TEXT_RULES = [
     (r"(?i)</?(?:p|div|h[1-6]|article|section|ul|ol|table|nav|footer|header)\b[^>]*>", "\n\n"),
     (r"(?i)<(?:br|li|tr)\b[^>]*>", "\n"),
 ]
-_CLEANUP_RULES = [
-    (r"(?s)<[^>]*>", ""),
+_TAG_RULES = [(r"(?s)<[^>]*>", "")]
+_SPACE_RULES = [
     (r"[ \t]+", " "),
     (r" ?\n ?", "\n"),
     (r"\n{3,}", "\n\n"),
 ]
+_SPACE = " \t\n\x0b\f\r"
 
 
 def _visible(html: Column) -> Column:
     """Drop what no reader sees, including the head."""
-    body = strip_html_elements(html, keep=set(ELEMENT_PATTERNS) - {"comments", "structured_data", "scripts", "styles"})
-    return F.regexp_replace(body, r"(?is)<head\b.*?</head\s*>", "")
+    return remove_elements(html, {"comments", "structured_data", "scripts", "styles", "head"})
+
+
+def _up_to(text: Column, last: str, change) -> Column:
+    """``change`` applied up to the last match of ``last``; what follows stays."""
+    first = F.regexp_extract(text, f"(?is)^.*{last}", 0)
+    return F.concat(change(first), F.substr(text, F.length(first) + 1))
 
 
 def _apply(text: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
+        if (pattern, replacement) == _LINK_RULE:
+            text = _up_to(text, r"</a\s*>", lambda t: F.regexp_replace(t, *_LINK_RULE))
+        else:
+            text = F.regexp_replace(text, pattern, replacement)
     return text
 
 
-def _finish(text: Column) -> Column:
-    text = decode_entities(_apply(text, _CLEANUP_RULES))
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+def _as_text(html: Column, rules: list[tuple[str, str]]) -> Column:
+    """Rules for tags up to the last ">", then spaces and entities of the whole."""
+    text = _up_to(_visible(html), ">", lambda t: _apply(t, rules + _TAG_RULES))
+    return F.btrim(decode_entities(_apply(text, _SPACE_RULES)), F.lit(_SPACE))
 
 
 def html_to_markdown(html: Column) -> Column:
-    return _finish(_apply(_visible(html), _MARKDOWN_RULES + _TEXT_RULES))
+    return _as_text(html, _MARKDOWN_RULES + _TEXT_RULES)
 
 
 def html_to_plain_text(html: Column) -> Column:
-    return _finish(_apply(_visible(html), _TEXT_RULES))
+    return _as_text(html, _TEXT_RULES)
 
 
 def prefer(*candidates: Column) -> Column:

@@ -1,3 +1,5 @@
+import random
+import time
 import uuid
 from urllib.parse import urljoin
 
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import content_types as ct
 from gleanery.functions import html as H
 from gleanery.functions import metadata as M
+from gleanery.functions import tags
 from gleanery.functions import urls as U
 
 
@@ -152,3 +155,70 @@ def test_metadata_projection_and_merge(spark):
     assert explicit == "python"
     merged = df.select(M.attach_metadata(F.col("m"), F.create_map(F.lit("source"), F.lit("mine")))).first()[0]
     assert merged["source"] == "mine" and merged["junk"] == "1"
+
+
+@pytest.mark.parametrize("page, left", [
+    ("a<table><tr><td><table><tr><td>x</td></tr></table>tail</td></tr></table>b", "ab"),
+    ("a<TABLE><table></table>in</Table\n>b</table>", "ab</table>"),
+    ("a<table>x<script>'</table>'</script>y</table>b", "ab"),
+    ("a<table>open <!-- gone --> and <svg><svg></svg>s</svg>kept", "a<table>open  and kept"),
+    ("a<video><audio></video></audio>b", "a</audio>b"),
+    ("<script>if (a < b) '<img src=x>'</script><img src=y>z", "z"),
+    ("<script>never closed <img src=x>", "<script>never closed "),
+    ("x < y <img> > z <", "x < y  > z <"),
+    ("<!-- a --><!-- open <img>", "<!-- open "),
+    ("<div <img>>", "<div >"),
+    ("<image><tabled></tabled>", "<image><tabled></tabled>"),
+    ("", ""),
+])
+def test_elements_go_whole(spark, page, left):
+    assert apply(spark, lambda c: H.strip_html_elements(c, {"links"}), page) == [left]
+
+
+def test_kept_scripts_are_not_markup(spark):
+    page = '<script type="application/ld+json">{"t": "<table></table>"}</script><table>x</table>'
+    assert apply(spark, lambda c: H.strip_html_elements(c, {"structured_data"}), page, None) == [page[:-16], None]
+
+
+HOSTILE = ["<!--", "<link ", "<script ", "<script>", "<table>", "<a href='x'>", "<a ", "<", "</table", "<style><script>", "<head>", "<!-- --", "\r", "<table></script>"]
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_what_is_left_open_costs_linear_time(unit):
+    """A megabyte of anything unclosed is scanned in a moment."""
+    page, kinds = unit * (1_000_000 // len(unit)), frozenset(tags.ELEMENTS)
+    started = time.perf_counter()
+    tags.without_elements(page, kinds)
+    assert time.perf_counter() - started < 3
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_text_of_hostile_pages_takes_linear_time(spark, unit):
+    def seconds(size):
+        page = spark.createDataFrame([(unit * (size // len(unit)) + "end",)], "html string")
+        started = time.perf_counter()
+        assert page.select(H.html_to_text(F.col("html")).alias("t")).first().t.endswith("end")
+        return time.perf_counter() - started
+
+    seconds(1_000)
+    assert seconds(400_000) < 3 * seconds(200_000) + 1
+
+
+def test_scanner_against_nested_pages():
+    """Random nesting: what is left is what lies outside every removed element."""
+    rng = random.Random(9)
+
+    def page(depth, shown):
+        out, left = "", ""
+        for _ in range(rng.randrange(4)):
+            name = rng.choice(["table", "video", "div", "svg", "p"])
+            word = f"w{rng.randrange(99)} "
+            inner, kept = page(depth - 1, shown) if depth else ("", "")
+            gone = name in ("table", "video", "svg")
+            out += f"{word}<{name} x='1'>{inner}</{name}>"
+            left += word + ("" if gone else f"<{name} x='1'>{kept}</{name}>")
+        return out, left
+
+    for _ in range(200):
+        html, left = page(4, True)
+        assert tags.without_elements(html, frozenset({"tables", "media", "images"})) == left
