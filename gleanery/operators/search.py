@@ -54,12 +54,39 @@ def filter_doc_id(value: str) -> Column:
 _FILTERS = {"content_type": filter_content_type, "source": filter_source, "doc_id": filter_doc_id}
 
 
-def combine_filters(filters: dict | None) -> Column:
-    """AND of all supported filters; an unknown key is warned about and ignored."""
+def filter_dynamic(key: str, value, column: str = "dynamic") -> Column:
+    """Equality or IN on a key of a variant column, by type: numbers match numbers, strings strings, booleans booleans.
+
+    A missing key and a null match nothing; an integer equals the double of the same value.
+    """
+    values = list(value) if isinstance(value, (list, tuple, set)) else [value]
+    if '"' in key and "'" in key:
+        raise ValueError(f"a key may not hold both kinds of quotes: {key}")
+    path = f"$['{key}']" if "'" not in key else f'$["{key}"]'
+    kind = F.schema_of_variant(F.try_variant_get(column, path, "variant"))
+    kinds = {bool: ("boolean", kind == "BOOLEAN"), str: ("string", kind == "STRING")}
+    number = ("double", kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"))
+    found = F.lit(False)
+    for v in values:
+        if not isinstance(v, (bool, str, int, float)):
+            raise TypeError(f"{key}: {type(v).__name__} values cannot be filtered by")
+        sql_type, right = kinds.get(type(v), number)
+        wanted = F.lit(float(v) if sql_type == "double" else v)
+        found = found | F.coalesce(right & (F.try_variant_get(column, path, sql_type) == wanted), F.lit(False))
+    return found
+
+
+def combine_filters(filters: dict | None, dynamic: bool = False) -> Column:
+    """AND of all supported filters.
+
+    Another key is looked up in the dynamic field if there is one; else it is warned about and ignored.
+    """
     conditions = []
     for key, value in (filters or {}).items():
         if key in _FILTERS:
             conditions.append(_FILTERS[key](value))
+        elif dynamic:
+            conditions.append(filter_dynamic(key, value))
         else:
             logging.getLogger(__name__).warning("unsupported filter field: %s", key)
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

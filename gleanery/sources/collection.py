@@ -45,7 +45,19 @@ def _metadata(chunks: DataFrame) -> Column:
     ])
 
 
-def collection_rows(chunks: DataFrame, embedding_model: str = DEFAULT_MODEL_NAME) -> DataFrame:
+def _dynamic(chunks: DataFrame) -> Column:
+    """The dynamic field of chunks, column ``dynamic``: a variant, a JSON string, or a map or struct whose types are kept."""
+    if "dynamic" not in chunks.columns:
+        return F.lit(None).cast("variant")
+    kind = chunks.schema["dynamic"].dataType
+    if isinstance(kind, T.VariantType):
+        return F.col("dynamic")
+    if isinstance(kind, T.StringType):
+        return F.try_parse_json("dynamic")  # what is no JSON is null
+    return F.to_variant_object("dynamic")
+
+
+def collection_rows(chunks: DataFrame, embedding_model: str = DEFAULT_MODEL_NAME, dynamic: bool = False) -> DataFrame:
     """Chunks in stored form: a null document id becomes '', a missing chunk id is derived."""
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     index = F.col("chunk_index" if "chunk_index" in chunks.columns else "metadata.chunk_index")
@@ -58,6 +70,7 @@ def collection_rows(chunks: DataFrame, embedding_model: str = DEFAULT_MODEL_NAME
         F.col("vector").cast("array<float>").alias("vector"),
         _metadata(chunks).alias("metadata"),
         "content_type",
+        *([_dynamic(chunks).alias("dynamic")] if dynamic else []),
     )
 
 
@@ -66,9 +79,15 @@ def _new_part() -> str:
 
 
 class Collection:
-    def __init__(self, spark: SparkSession, path: str, dimension: int = DEFAULT_DIMENSION, version: int | None = None) -> None:
-        """The newest version at every call, or always the given one, which then is only read."""
-        self.spark, self.dimension, self.path, self.version = spark, dimension, path, version
+    def __init__(
+        self, spark: SparkSession, path: str, dimension: int = DEFAULT_DIMENSION, version: int | None = None, dynamic: bool = False
+    ) -> None:
+        """The newest version at every call, or always the given one, which then is only read.
+
+        With ``dynamic`` the rows have one more column for fields that no schema names, and filters look them up there.
+        """
+        self.spark, self.dimension, self.path, self.version, self.dynamic = spark, dimension, path, version, dynamic
+        self.schema = T.StructType([*COLLECTION.fields, *([T.StructField("dynamic", T.VariantType())] if dynamic else [])])
         self.versions = VersionLog(spark, f"{path}/versions")
         self._rows, self._deletions, self._cells = f"{path}/rows", f"{path}/deletions", f"{path}/cells"
 
@@ -84,7 +103,7 @@ class Collection:
 
     def at(self, version: int | None = None) -> "Collection":
         """The collection pinned to a version, by default the newest."""
-        return Collection(self.spark, self.path, self.dimension, version or self.versions.state()[0])
+        return Collection(self.spark, self.path, self.dimension, version or self.versions.state()[0], self.dynamic)
 
     def _state(self) -> dict:
         number, state = self.versions.state(self.version)
@@ -123,8 +142,8 @@ class Collection:
         if content_types is not None:
             accepted = accepted.where(F.col("content_type").isin(list(content_types)))
         stamped = accepted.withColumn("added_at", F.lit(added_at))
-        stored = [c for c in COLLECTION.fieldNames() if c != "batch"]
-        stamped.select(stored).write.partitionBy("content_type").parquet(self._part_path(entry))
+        stored = [c for c in self.schema.fieldNames() if c != "batch"]
+        self._write(stamped.select(stored), self._part_path(entry))
         self._change(lambda state: {**state, "rows": [e for e in state["rows"] if e["batch"] != batch] + [entry]})
         refused = {kind: n for kind, n in counted.get.items() if n}
         if refused:
@@ -132,7 +151,7 @@ class Collection:
         return self._kept(self._read_parts([entry]), self._state()).select("chunk_id")
 
     def _judged(self, chunks: DataFrame, embedding_model: str) -> DataFrame:
-        rows = collection_rows(chunks, embedding_model)
+        rows = collection_rows(chunks, embedding_model, self.dynamic)
         vector = F.concat(F.lit("vector: "), reject_reason(F.col("vector"), self.dimension))
         long = [
             F.when(F.octet_length(name) > limit, f"{name}: more than {limit} bytes") for name, limit in BYTE_LIMITS.items() if name in rows.columns
@@ -155,14 +174,22 @@ class Collection:
         self.append(flat, **options)
         return documents.select("doc_id").distinct()
 
+    @staticmethod
+    def _write(rows: DataFrame, path: str) -> None:
+        """Rows of a document side by side, and filters by document and source beside them: a lookup skips most row groups."""
+        writer = rows.sortWithinPartitions("content_type", "doc_id").write.partitionBy("content_type")
+        for name in ("doc_id", "metadata.source"):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+        writer.parquet(path)
+
     def _part_path(self, entry: dict) -> str:
         return f"{self._rows}/batch={quote(entry['batch'], safe=' ')}/part={entry['part']}"
 
     def _read_parts(self, entries: list[dict], *more: str) -> DataFrame:
-        columns = [*COLLECTION.fieldNames(), *more]
+        columns = [*self.schema.fieldNames(), *more]
         if not entries:
-            return self.spark.createDataFrame([], T.StructType([*COLLECTION.fields, *(T.StructField(c, T.StringType()) for c in more)]))
-        rows = self.spark.read.schema(COLLECTION).option("basePath", self._rows).parquet(*map(self._part_path, entries))
+            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, *(T.StructField(c, T.StringType()) for c in more)]))
+        rows = self.spark.read.schema(self.schema).option("basePath", self._rows).parquet(*map(self._part_path, entries))
         if "part" not in rows.columns:  # parts without any row
             rows = rows.withColumn("part", F.lit(None).cast("string"))
         return rows.select(*columns)
@@ -186,7 +213,7 @@ class Collection:
 
     def scan(self, condition: Column | str | None = None, columns: list[str] | None = None, filters: dict | None = None) -> DataFrame:
         """Rows that satisfy an expression and a filter dictionary, with chosen fields."""
-        rows = self.read().where(combine_filters(filters))
+        rows = self.read().where(combine_filters(filters, self.dynamic))
         if condition is not None:
             rows = rows.where(condition)
         return rows.select(*columns) if columns else rows
@@ -220,10 +247,10 @@ class Collection:
         type that holds very many rows. Worth it once batches are many and small, or
         deletions too many to be broadcast on every read.
         """
-        target = Collection(self.spark, path, self.dimension).create()
+        target = Collection(self.spark, path, self.dimension, dynamic=self.dynamic).create()
         entry = {"batch": f"compact-{time.time_ns()}", "part": _new_part(), "added_at": time.time_ns()}
         rows = self.read().drop("batch").hint("rebalance", "content_type")
-        rows.write.partitionBy("content_type").parquet(target._part_path(entry))
+        self._write(rows, target._part_path(entry))
         target._change(lambda state: {**state, "rows": [entry]})
         return target
 
@@ -255,7 +282,7 @@ class Collection:
             raise ValueError("the collection has no cells; build_cells makes them")
         folder, covers = f"{self._cells}/{state['cells']['part']}", set(state["cells"]["covers"])
         table = self.spark.read.parquet(f"{folder}/centers").orderBy("cell").collect()  # one row per cell
-        schema = T.StructType([f for f in COLLECTION.fields if f.name != "content"] + [T.StructField("part", T.StringType()), T.StructField("_cell", T.IntegerType())])
+        schema = T.StructType([f for f in self.schema.fields if f.name != "content"] + [T.StructField("part", T.StringType()), T.StructField("_cell", T.IntegerType())])
         rows = self.spark.read.schema(schema).parquet(f"{folder}/rows")
         gone = covers.difference(e["part"] for e in state["rows"])  # replaced batches
         if gone:
@@ -269,7 +296,7 @@ class Collection:
         include_vectors: bool = False, nprobe: int | None = None, **options,
     ) -> DataFrame:
         rows, centers, radii, beside = self.cells()
-        wanted = combine_filters(filters)
+        wanted = combine_filters(filters, self.dynamic)
         rows, beside = rows.where(wanted), beside.where(wanted)
         if nprobe is None:
             found = ivf.bounded_search(queries, rows, centers, radii, k, metric, output=[], **options)
@@ -280,7 +307,9 @@ class Collection:
         output = response_columns(include_metadata, include_vectors)
         return project_hits(with_columns_of(best, self.read(), output), include_metadata, include_vectors)
 
-    def search(self, queries: DataFrame, using: str = "rows", nprobe: int = DEFAULT_NPROBE, **options) -> DataFrame:
+    def search(
+        self, queries: DataFrame, using: str = "rows", nprobe: int = DEFAULT_NPROBE, filters: dict | None = None, **options
+    ) -> DataFrame:
         """Filtered top-k search for (query_id, vector); see ``operators.search.vector_search``.
 
         ``using`` names the way: "rows" scores every row; "bounds" gives the same hits from
@@ -289,14 +318,14 @@ class Collection:
         length than the collection's are not compared.
         """
         if using == "rows":
-            return vector_search(queries, self.read(), dimension=self.dimension, **options)
+            return vector_search(queries, self.scan(filters=filters), dimension=self.dimension, **options)
         if using not in ("bounds", "cells"):
             raise ValueError("using is one of rows, bounds, cells")
-        return self._cell_search(queries, nprobe=nprobe if using == "cells" else None, **options)
+        return self._cell_search(queries, nprobe=nprobe if using == "cells" else None, filters=filters, **options)
 
-    def text_search(self, queries: DataFrame, loader: Loader, **options) -> DataFrame:
-        """The same for text queries (query_id, text)."""
-        return text_search(queries, self.read(), loader, dimension=self.dimension, **options)
+    def text_search(self, queries: DataFrame, loader: Loader, filters: dict | None = None, **options) -> DataFrame:
+        """The same over all rows for text queries (query_id, text)."""
+        return text_search(queries, self.scan(filters=filters), loader, dimension=self.dimension, **options)
 
     def stats(self, **options) -> DataFrame:
         return collection_stats(self.read(), self.dimension, **options)

@@ -99,6 +99,26 @@ def clear_collection(spark, sf):
     return collection.read().agg(F.count("*").alias("after")).select(F.lit(before).cast("bigint").alias("before"), "after")
 
 
+DYNAMIC_WHERE = "label IN (3, 4) AND vec_id % 2 = 0 AND vec_id * 0.5 <> 6 AND doc_id <> 'doc7'"
+
+
+@query("filter_dynamic", f"SELECT 'scan' AS way, chunk_id, NULL::BIGINT AS rank FROM (WITH {I.CHUNK_CTE} SELECT chunk_id FROM c WHERE {DYNAMIC_WHERE}) "
+       f"UNION ALL SELECT 'search', id, rank FROM ({_topk_sql(4, where=DYNAMIC_WHERE)})")
+def filter_dynamic(spark, sf):
+    """Filters on keys that no schema names, of numbers, strings and booleans, in a scan and before a search."""
+    fields = F.expr("named_struct('label', label, 'parity', IF(vec_id % 2 = 0, 'even', 'odd'), 'it\\'s seven', doc_id = 'doc7', 'half', vec_id * 0.5D)")
+    collection = Collection(spark, scratch_path(spark, "collection"), I.DIMENSION, dynamic=True).create()
+    collection.append(I.vector_chunks(spark, sf).withColumn("dynamic", fields))
+    wanted = {"label": [3, 4.0, "4"], "parity": "even", "it's seven": False}
+    other = F.expr("try_variant_get(dynamic, '$.half', 'double') <> 6")
+    rows = collection.scan(other, ["chunk_id"], wanted).select(F.lit("scan").alias("way"), "chunk_id", F.lit(None).cast("bigint").alias("rank"))
+    queries = I.centroid_queries(spark, sf)
+    found = Collection(spark, scratch_path(spark, "collection"), I.DIMENSION, dynamic=True).create()
+    found.append(collection.scan(other))
+    hits = found.search(queries, k=4, filters=wanted, include_metadata=False)
+    return rows.unionByName(hits.select(F.lit("search").alias("way"), F.col("id").alias("chunk_id"), I.big("rank").alias("rank")))
+
+
 def _with_cells(spark, sf) -> Collection:
     """Cells over most rows; then more rows, a deleted document, and a batch written again with fewer rows."""
     chunks = I.vector_chunks(spark, sf)

@@ -328,3 +328,47 @@ def test_search_of_a_collection_takes_its_own_dimension(spark, collection):
     collection.append(chunks(spark, *ROWS))
     queries = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [9.0])], "query_id int, vector array<float>")
     assert {r.query_id for r in collection.search(queries, k=2).collect()} == {1}
+
+
+def test_dynamic_fields(spark):
+    collection = Collection(spark, scratch_path(spark, "test"), 2, dynamic=True).create()
+    rows = chunks(spark, *[("d", str(i), "text", i, [1.0, float(i)]) for i in range(6)])
+    json = F.expr("""element_at(array('{"n": 1, "s": "x"}', '{"n": 1.5}', '{"n": "1"}', '{"n": null, "b": true}', 'no json', NULL), chunk_index + 1)""")
+    collection.append(rows.withColumn("dynamic", json), batch="a")
+    collection.append(rows.where("chunk_index = 0").withColumn("dynamic", F.create_map(F.lit("s"), F.lit("x"))).withColumn("chunk_id", F.lit("m")), batch="b")
+    found = lambda **filters: ids(collection.scan(filters=filters))
+    assert found(n=1) == found(n=1.0) == ["0"] and found(n=[1, 1.5]) == ["0", "1"] and found(n="1") == ["2"]
+    assert found(s="x") == ["0", "m"] and found(b=True) == ["3"] and found(b=1) == found(other="x") == []
+    collection.build_cells(2)
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<float>")
+    for using in ("rows", "cells", "bounds"):
+        assert sorted(r.id for r in collection.search(queries, using=using, filters={"s": "x", "doc_id": "d"}).collect()) == ["0", "m"]
+    smaller = collection.compact_to(scratch_path(spark, "compact"))
+    assert ids(smaller.scan(filters={"s": "x"})) == ["0", "m"]
+    with pytest.raises(TypeError):
+        collection.scan(filters={"s": None})
+
+
+def test_a_lookup_skips_row_groups(spark, tmp_path):
+    """Rows lie by document, so the statistics and filters of most row groups rule a document out."""
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "500")
+    try:
+        collection = Collection(spark, scratch_path(spark, "test"), 2).create()
+        rows = spark.range(6_000).selectExpr(
+            "concat('d', lpad(id * 7919 % 600, 4, '0')) AS doc_id", "CAST(id AS STRING) AS chunk_id", "'text' AS content_type", "CAST(id AS INT) AS chunk_index",
+            "concat('s', id * 7919 % 600) AS source", "repeat('x', 50) AS content", "array(1F, 2F) AS vector",
+        )
+        collection.append(rows.coalesce(1), batch="a")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+    def scanned(condition):
+        df = collection.read().where(condition)
+        found = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        return len(found), sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+    assert scanned("doc_id = 'd0300'") == (10, 500)  # one of twelve files, each one row group
+    n, read = scanned("metadata.source = 's123'")
+    assert n == 10 and read <= 1_500  # by the Bloom filters, with their false positives
