@@ -142,50 +142,75 @@ def number_chunks(docs: DataFrame, pieces: str = "pieces", doc_id: str = "doc_id
     )
 
 
+def _digits(value: int | Column) -> Column:
+    return value.cast("string") if isinstance(value, Column) else F.lit(str(value))
+
+
 def chunk_fixed(
     docs: DataFrame,
-    size: int = DEFAULT_CHUNK_SIZE,
-    overlap: int = DEFAULT_CHUNK_OVERLAP,
+    size: int | Column = DEFAULT_CHUNK_SIZE,
+    overlap: int | Column = DEFAULT_CHUNK_OVERLAP,
     doc_id: str = "doc_id",
     text: str = "content",
 ) -> DataFrame:
-    """Character windows of ``size`` every ``size - overlap`` characters.
+    """Character windows of ``size`` every ``size - overlap`` characters; both may be columns.
 
     One linear regular expression: a look-ahead captures the window while the
     match itself advances by the step. A tail lying wholly inside the previous
     window's overlap is not repeated; empty documents give no rows.
     """
-    if not 0 <= overlap < size:
+    if isinstance(size, int) and isinstance(overlap, int) and not 0 <= overlap < size:
         raise ValueError("fixed windows need 0 <= overlap < size")
-    pattern = rf"(?s)(?:\A|(?=.{{{overlap + 1}}}))(?=(.{{1,{size}}})).{{1,{size - overlap}}}"
-    windows = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
+    pattern = F.concat(
+        F.lit(r"(?s)(?:\A|(?=.{"), _digits(overlap + 1), F.lit(r"}))(?=(.{1,"), _digits(size), F.lit(r"})).{1,"), _digits(size - overlap), F.lit("}"),
+    )
+    windows = F.regexp_extract_all(F.col(text), pattern, F.lit(1))
     keep = [c for c in docs.columns if c != text]
     return number_chunks(docs.select(*keep, windows.alias("pieces")), doc_id=doc_id)
 
 
 def chunk_by_tokens(
     docs: DataFrame,
-    max_tokens: int,
-    overlap: int = 0,
+    max_tokens: int | Column,
+    overlap: int | Column = 0,
     doc_id: str = "doc_id",
     text: str = "content",
 ) -> DataFrame:
-    """Windows of at most ``max_tokens`` whitespace-separated tokens.
+    """Windows of at most ``max_tokens`` whitespace-separated tokens; both numbers may be columns.
 
     The same look-ahead form as ``chunk_fixed``, over single-spaced text.
     """
-    if not 0 <= overlap < max_tokens:
+    if isinstance(max_tokens, int) and isinstance(overlap, int) and not 0 <= overlap < max_tokens:
         raise ValueError("token windows need 0 <= overlap < max_tokens")
     keep = [c for c in docs.columns if c != text]
     single_spaced = F.trim(F.regexp_replace(text, r"\s+", " "))
-    pattern = (
-        rf"(?:\A|(?=(?:\S++ ){{{overlap}}}+\S))"
-        rf"(?=(\S++(?: \S++){{0,{max_tokens - 1}}}+))(?:\S++ ?){{1,{max_tokens - overlap}}}+"
+    pattern = F.concat(
+        F.lit(r"(?:\A|(?=(?:\S++ ){"), _digits(overlap), F.lit(r"}+\S))(?=(\S++(?: \S++){0,"), _digits(max_tokens - 1),
+        F.lit(r"}+))(?:\S++ ?){1,"), _digits(max_tokens - overlap), F.lit("}+"),
     )
-    windows = F.regexp_extract_all(single_spaced, F.lit(pattern), F.lit(1))
+    windows = F.regexp_extract_all(single_spaced, pattern, F.lit(1))
     return number_chunks(docs.select(*keep, windows.alias("pieces")), doc_id=doc_id)
 
 
+def chunk_as_asked(docs: DataFrame, doc_id: str = "doc_id", text: str = "content") -> DataFrame:
+    """Chunks of documents that bring their own way: chunk_size, chunk_overlap, max_tokens, strategy.
+
+    With max_tokens, windows of so many tokens; with the strategy "fixed", windows of
+    characters; else the recursive chunks that fit the content type, Markdown by sections for
+    "semantic". The columns of the request stay on the chunks.
+    """
+    fixed = F.col("max_tokens").isNull() & (F.col("strategy") == "fixed")
+    size, overlap = F.col("chunk_size").cast("int"), F.col("chunk_overlap").cast("int")
+    kind = route_chunker(F.col("content_type"), F.col("strategy"))
+    parts = [
+        chunk_documents(docs.where(F.col("max_tokens").isNull() & ~fixed), kind, size, overlap, doc_id=doc_id, text=text),
+        # an overlap as large as the window would never advance
+        chunk_fixed(docs.where(fixed), size, F.least(overlap, size - 1), doc_id, text),
+        chunk_by_tokens(docs.where(F.col("max_tokens").isNotNull()), F.col("max_tokens").cast("int"), 0, doc_id, text),
+    ]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
 def renumber_chunks(chunks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Document-wide index, count and id for chunks numbered per section.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.schema import BYTE_LIMITS, CHUNK_OVERLAP_BOUNDS, CHUNK_SIZE_BOUNDS, MAX_K, MIN_K
+from gleanery.schema import BYTE_LIMITS, CHUNK_OVERLAP_BOUNDS, CHUNK_SIZE_BOUNDS, CHUNK_STRATEGIES, MAX_K, MIN_K
 
 
 def _reasons(rules: dict[str, Column]) -> Column:
@@ -34,6 +34,10 @@ def validate_chunking(requests: DataFrame) -> DataFrame:
     }))
 
 
+def validate_strategy(requests: DataFrame) -> DataFrame:
+    return requests.withColumn("reasons", _reasons({"unknown_strategy": ~F.col("strategy").isin(*CHUNK_STRATEGIES)}))
+
+
 def validate_search(requests: DataFrame) -> DataFrame:
     return requests.withColumn("reasons", _reasons({"k_range": ~F.col("k").between(MIN_K, MAX_K)}))
 

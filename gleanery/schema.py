@@ -52,6 +52,7 @@ DEFAULT_NPROBE = 16
 DEFAULT_MAX_PAGES = 10
 DEFAULT_MAX_DEPTH = 2
 CHUNK_SIZE_BOUNDS = (100, 2000)
+CHUNK_STRATEGIES = ("semantic", "recursive", "fixed")
 CHUNK_OVERLAP_BOUNDS = (0, 500)
 BYTE_LIMITS = {
     "doc_id": 255,

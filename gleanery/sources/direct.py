@@ -1,6 +1,6 @@
 """Ingest sources: rows with url, file_path or content, and a content type."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.content_types import extension_to_mime, infer_document_type, type_of_mime
@@ -51,6 +51,7 @@ def page_documents(results: DataFrame) -> DataFrame:
     )
 
 
-def drop_original(documents: DataFrame, store_original: bool = True) -> DataFrame:
-    """Remove the whole text once it has been chunked, when it is not to be stored."""
-    return documents if store_original else documents.withColumn("content", F.lit(None).cast("string"))
+def drop_original(documents: DataFrame, store_original: bool | Column = True) -> DataFrame:
+    """Remove the whole text once it has been chunked, where it is not to be stored."""
+    stored = store_original if isinstance(store_original, Column) else F.lit(store_original)
+    return documents.withColumn("content", F.when(stored, F.col("content")))

@@ -131,6 +131,37 @@ def ingest_requests_query(spark, sf):
     return G.ingest_job_summary(log).select("job_id", "status", "message")
 
 
+_THIRD = "docs AS (SELECT doc_id, 0 AS section_index, text FROM documents WHERE doc_id % 3 = 0)"
+
+
+@query("ingest_request_options", f"""
+WITH d AS (SELECT doc_id, text, 300 + 100 * (doc_id % 5) AS size, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ts, 40 + doc_id % 7 AS m FROM documents),
+fixed AS (SELECT i, substr(text, CAST(i * (size - 50) + 1 AS BIGINT), size) AS content
+  FROM d, unnest(range(0, greatest(CAST(ceil((length(text) - 50) / (size - 50.0)) AS BIGINT), 1))) AS g(i) WHERE doc_id % 3 = 1 AND text <> ''),
+tokens AS (SELECT i, array_to_string(ts[i * m + 1 : (i + 1) * m], ' ') AS content
+  FROM d, unnest(range(0, CAST(ceil(len(ts) / CAST(m AS DOUBLE)) AS BIGINT))) AS g(i) WHERE doc_id % 3 = 2),
+recursive_ AS ({splitter_query(_THIRD, "docs", schema.TEXT_SEPARATORS, 1000, 200)})
+SELECT 'chunk' AS kind, CAST(chunk_index AS BIGINT) AS chunk_index, content_md5 FROM recursive_
+UNION ALL SELECT 'chunk', i, md5(content) FROM fixed UNION ALL SELECT 'chunk', i, md5(content) FROM tokens
+UNION ALL SELECT 'original', NULL, CASE WHEN doc_id % 2 = 0 THEN md5(text) END FROM documents""")
+def ingest_request_options(spark, sf):
+    """Every request with its own strategy, sizes, token limit and wish about the original; chunks and originals as stored."""
+    none = F.lit(None).cast("string")
+    i, text = F.col("doc_id"), I.table(spark, sf, "documents")
+    sources = text.select(
+        i.cast("string").alias("job_id"), none.alias("url"), none.alias("file_path"), F.col("text").alias("content"), none.alias("content_type"),
+        F.when(i % 3 == 1, 300 + 100 * (i % 5)).alias("chunk_size"), F.when(i % 3 == 1, 50).alias("chunk_overlap"),
+        F.when(i % 3 == 2, 40 + i % 7).alias("max_tokens"), F.when(i % 3 == 1, "fixed").alias("strategy"),
+        F.when(i % 2 == 1, False).alias("store_original"), F.create_map(F.lit("by"), F.lit("suite")).alias("metadata"),
+    )
+    files = spark.createDataFrame([], "source string, content string, content_type string")
+    collection, originals = Collection(spark, scratch_path(spark, "collection")).create(), scratch_path(spark, "originals")
+    ingest_requests(I.spread(sources), I.page_responses(spark, sf).drop("page_id"), files, collection, originals=originals)
+    chunks = collection.read().select(F.lit("chunk").alias("kind"), I.big("metadata.chunk_index").alias("chunk_index"), F.md5("content").alias("content_md5"))
+    kept = spark.read.schema("content string").parquet(originals)
+    return chunks.unionByName(kept.select(F.lit("original").alias("kind"), F.lit(None).cast("bigint").alias("chunk_index"), F.md5("content").alias("content_md5")))
+
+
 @query("stream_ingest", STORED_SQL)
 def stream_ingest(spark, sf):
     """The same plan as a stream, which must store the same chunks."""
