@@ -196,6 +196,26 @@ def stream_seen_urls_watermark(spark, sf):
     return spark.read.schema("url string").parquet(out)
 
 
+@query("stream_seen_urls_cleared", """
+WITH e AS (SELECT event_id, user_id % 7 AS scope, props AS url, event_id % 40 = 0 AS clear FROM events),
+s AS (SELECT *, count(*) FILTER (clear) OVER (PARTITION BY scope ORDER BY event_id) AS epoch FROM e)
+SELECT scope, url, min(event_id) AS at FROM s WHERE NOT clear AND url IS NOT NULL GROUP BY scope, url, epoch""")
+def stream_seen_urls_cleared(spark, sf):
+    """Every 40th event clears the memory of its scope; URLs are new again after it."""
+    path = f"{sf}/events.parquet"
+    source = M.stream_table(spark, path, spark.read.parquet(path).schema).select(
+        (F.col("user_id") % 7).alias("scope"), F.col("props").alias("url"), F.col("event_id").alias("at"), (F.col("event_id") % 40 == 0).alias("clear")
+    )
+    out, provider = scratch_path(spark, "seen"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        M.write_table(M.seen_since_cleared(source), out, scratch_path(spark, "checkpoint")).awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema("scope bigint, url string, at bigint").parquet(out)
+
+
 @query("stream_batches", """
 SELECT 'completed' AS status, count(*) AS n_documents, CAST(ceil(count(DISTINCT doc_id // 100) / 4.0) AS BIGINT) AS n_batches FROM documents""")
 def stream_batches(spark, sf):

@@ -117,3 +117,17 @@ def test_python_runs_once_per_document(spark):
 def test_overlap_larger_than_size_is_refused(spark):
     with pytest.raises(ValueError):
         C.chunk_documents(docs(spark), "text", 100, 200)
+
+
+def test_documents_are_chunked_as_they_ask(spark):
+    text = "One two three. Four five six. Seven eight nine."
+    rows = [("r", 20, 5, None, "recursive"), ("f", 20, 5, None, "fixed"), ("same", 20, 20, None, "fixed"), ("t", 20, 5, 4, "fixed")]
+    df = spark.createDataFrame([(*r, text, "text") for r in rows], "doc_id string, chunk_size int, chunk_overlap int, max_tokens int, strategy string, content string, content_type string")
+    found = {}
+    for r in C.chunk_as_asked(df).orderBy("doc_id", "chunk_index").collect():
+        found.setdefault(r.doc_id, []).append(r.content)
+    assert found["f"] == [text[i : i + 20] for i in (0, 15, 30)]
+    assert found["same"] == [text[i : i + 20] for i in range(len(text) - 19)]
+    assert found["t"] == ["One two three. Four", "five six. Seven eight", "nine."]
+    plain = C.chunk_documents(df.where("doc_id = 'r'"), "text", 20, 5).orderBy("chunk_index").collect()
+    assert found["r"] == [r.content for r in plain]

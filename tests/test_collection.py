@@ -372,3 +372,28 @@ def test_a_lookup_skips_row_groups(spark, tmp_path):
     assert scanned("doc_id = 'd0300'") == (10, 500)  # one of twelve files, each one row group
     n, read = scanned("metadata.source = 's123'")
     assert n == 10 and read <= 1_500  # by the Bloom filters, with their false positives
+
+
+def test_seen_urls_cleared_across_runs(spark, tmp_path):
+    """Memory and commands hold over restarts of the stream; one scope with nearly all URLs, null URLs and scopes."""
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    schema = "scope string, url string, at int, clear boolean"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def run(name, rows):
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / name))
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(folder))
+        M.write_table(M.seen_since_cleared(source, parts=3), out, checkpoint).awaitTermination()
+        return sorted((r.scope or "", r.url, r.at) for r in spark.read.schema("scope string, url string, at int").parquet(out).collect())
+
+    try:
+        first = [("a", f"u{i % 50}", i, None) for i in range(200)] + [("b", "u1", 1, False), (None, "u1", 1, None), ("a", None, 3, None)]
+        found = run("1", first + [("a", "u1", 100, True)])
+        want = [("", "u1", 1), ("b", "u1", 1)] + [("a", f"u{i}", i) for i in range(50)] + [("a", f"u{i - 100}", i) for i in range(100, 150)]
+        assert found == sorted(want)
+        found = run("2", [("a", "u1", 300, None), ("b", "u1", 300, None), ("b", None, 301, True), ("b", "u1", 302, None)])
+        assert found == sorted(want + [("b", "u1", 302)])
+    finally:
+        spark.conf.set(provider, before)
