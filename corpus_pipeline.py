@@ -51,7 +51,8 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids, round_trip, of every document.
 
     Blocks are smaller and fewer words are sent to every task than where it runs alone,
-    because other stages leave less memory; results are the same. Null and empty texts have no pieces, rows that are there twice are encoded twice, an empty table gives no rows.
+    because other stages leave less memory; results are the same. Null and empty texts have
+    no pieces, rows that are there twice are encoded twice, an empty table gives no rows.
     """
     return encode_pieces(docs, load_pieces(PIECE_MODEL), frequent_words=FREQUENT // 8, block_bytes=BLOCK_BYTES // 2)
 
