@@ -13,7 +13,7 @@ from gleanery.llm.contamination import contamination
 from gleanery.llm.exact_duplicates import exact_duplicates
 from gleanery.llm.languages import fit_languages, identify_languages
 from gleanery.llm.near_duplicates import near_duplicates
-from gleanery.llm.pieces import BLOCK_BYTES, FREQUENT, encode_pieces, load_pieces
+from gleanery.llm.pieces import BLOCK_BYTES, encode_pieces, load_pieces
 from gleanery.llm.queries import PIECE_MODEL
 from gleanery.session import cut_lineage
 
@@ -50,11 +50,11 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids, round_trip, of every document.
 
-    Blocks are smaller and fewer words are sent to every task than where it runs alone,
-    because other stages leave less memory; results are the same. Null and empty texts have
+    Blocks are smaller than where it runs alone, because other stages leave less memory;
+    results are the same. Null and empty texts have
     no pieces, rows that are there twice are encoded twice, an empty table gives no rows.
     """
-    return encode_pieces(docs, load_pieces(PIECE_MODEL), frequent_words=FREQUENT // 8, block_bytes=BLOCK_BYTES // 2)
+    return encode_pieces(docs, load_pieces(PIECE_MODEL), block_bytes=BLOCK_BYTES // 2)
 
 
 STAGES = [
