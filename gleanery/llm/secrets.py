@@ -25,7 +25,7 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']? *[:=]
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # runs of at least 16 are what is left of all runs
-_PERCENT = re.compile(r"""[^\s"'<>]*%[0-9A-Fa-f]{2}[^\s"'<>]*""")
+_UNBROKEN = re.compile(r"""[^\s"'<>]+""")
 _PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -92,21 +92,39 @@ def _escape(m):
     yield chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�", m.start(), m.end()
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """Decompressed bytes, None if they are not compressed; raises OverflowError beyond the limit."""
+def _opener(raw: bytes):
+    """What opens a compressed stream that begins like this; None for others."""
     if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-        opened = zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-    else:
-        return None
-    try:
-        out = opened.decompress(raw, LAYER_BYTES)
-    except (zlib.error, OSError, ValueError):
-        return None
-    if len(out) >= LAYER_BYTES:
-        raise OverflowError
-    return out if opened.eof else None
+        return zlib.decompressobj(47)
+    return bz2.BZ2Decompressor() if raw[:3] == b"BZh" else None
+
+
+def _inflated(raw: bytes) -> bytes | None:
+    """Decompressed bytes of all members, None if the first is not whole; raises OverflowError beyond the limit.
+
+    What follows the last whole member is left out.
+    """
+    out, size = [], 0
+    while (opened := _opener(raw)) is not None:
+        try:
+            part = opened.decompress(raw, LAYER_BYTES - size)
+        except (zlib.error, OSError, ValueError):
+            break
+        size += len(part)
+        if size >= LAYER_BYTES:
+            raise OverflowError
+        if not opened.eof:
+            break
+        out.append(part)
+        raw = opened.unused_data
+    return b"".join(out) if out else None
+
+
+def _percent_segments(text: str):
+    """Unbroken runs with a percent escape in them."""
+    for m in _UNBROKEN.finditer(text):
+        if text.find("%", m.start(), m.end()) >= 0 and _PERCENT_RUN.search(text, m.start(), m.end()):
+            yield m
 
 
 def _raw(body: str) -> bytes:
@@ -160,7 +178,7 @@ def _base64_runs(text: str):
 def _inner(text: str):
     """(how, text, starts, ends) of every encoded segment of a layer; a segment too large to unwrap has no text."""
     if "%" in text:
-        for m in _PERCENT.finditer(text):
+        for m in _percent_segments(text):
             yield "url", *_substituted(text, m.start(), m.end(), _PERCENT_RUN.finditer(text, m.start(), m.end()), _percent)
     if "\\" in text or "&#" in text:
         first = _ESCAPED.search(text)

@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -119,3 +121,19 @@ def test_base64_runs_continue_over_line_ends(end):
     assert span in [found[:3] for found in layers(text)[0]]
     packed = base64.encodebytes(gzip.compress(inner.encode() + bytes(range(256)))).decode()
     assert any(kind == 0 and how == "compressed" for kind, _, _, how in layers(f"begin:\n{packed}")[0])
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, zlib.compress])
+def test_every_member_of_a_compressed_stream_is_scanned(pack):
+    """Rotated logs are streams one after the other; what follows the last whole one is passed over."""
+    for tail in (b"", b"\x1f\x8bno member", b"other"):
+        found = layers(b64(pack(b"first member\n") + pack(f"token={HEX}\n".encode()) + tail))
+        assert any(s[0] == 0 for s in found[0]) and found[1] == 0
+    assert layers(b64(pack(b"cut short " * 50)[:-9]))[0] == []
+
+
+@pytest.mark.parametrize("run", ["日本" * 250_000 + "%", "x" * 500_000 + "%4", "%" * 300_000, "日" * 200_000 + "%41" + "本" * 200_000, "% " * 200_000])
+def test_percent_segments_take_linear_time(run):
+    started = time.perf_counter()
+    layers(run)
+    assert time.perf_counter() - started < 5
