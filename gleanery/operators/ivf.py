@@ -110,7 +110,7 @@ def ivf_search(
 # --- exact search that passes over cells ---------------------------------------
 
 def _distances(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Distances in double precision, and a little less than rounding could make of them."""
+    """Distances of all vectors from all centres in double precision."""
     vectors, centers = vectors.astype(np.float64), centers.astype(np.float64)
     squares = (vectors * vectors).sum(axis=1)[:, None] + (centers * centers).sum(axis=1) - 2 * vectors @ centers.T
     return np.sqrt(np.maximum(squares, 0.0))
@@ -145,12 +145,11 @@ def _reachable_cells(vector: Column, limit: Column, centers: np.ndarray, radii:
         rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
         if metric == "L2":
             # a row is at least as far as the centre less the radius
-            away = _distances(rows, centers) - radii
-            bound, worst = np.maximum(away, 0.0) ** 2, np.inf
+            bound = np.maximum(_distances(rows, centers) - radii, 0.0) ** 2
         else:
             # a row's inner product is at most that of the centre and the norm of the query times the radius
-            bound, worst = -(rows @ centers.T.astype(np.float64) + np.sqrt((rows * rows).sum(axis=1))[:, None] * radii), np.inf
-        most = np.array([worst if x is None else (x if metric == "L2" else -x) for x in limits.to_pylist()])
+            bound = -(rows @ centers.T.astype(np.float64) + np.sqrt((rows * rows).sum(axis=1))[:, None] * radii)
+        most = np.array([np.inf if x is None else (x if metric == "L2" else -x) for x in limits.to_pylist()])
         slack = 1e-6 * (1.0 + (rows * rows).sum(axis=1)[:, None] + (centers.astype(np.float64) ** 2).sum(axis=1) + radii**2)
         near = bound <= most[:, None] + slack
         return pa.array([np.flatnonzero(line).astype(np.int32) for line in near], pa.list_(pa.int32()))

@@ -45,7 +45,7 @@ FILTERS_SQL = "content_type IN ('markdown', 'python')"
 @query("vector_topk", _topk_sql(5, where=FILTERS_SQL))
 def vector_topk(spark, sf):
     """Flagship: exact top 5 with a filter, for the mean vector of every label."""
-    hits = S.vector_search(I.centroid_queries(spark, sf), _stored(spark, sf), 5, FILTERS, include_metadata=False)
+    hits = S.vector_search(I.centroid_queries(spark, sf), _stored(spark, sf), 5, FILTERS, include_metadata=False, dimension=I.DIMENSION)
     return _shown(hits)
 
 
@@ -120,7 +120,7 @@ def topk_per_query(spark, sf):
     """Every stored vector as a query: the shuffled block plan, no broadcast of the queries."""
     stored = _stored(spark, sf)
     queries = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    hits = S.nearest(queries, stored, 5, output=[], plan="blocks")
+    hits = S.nearest(queries, stored, 5, output=[], plan="blocks", dimension=I.DIMENSION)
     return hits.select("query_id", I.big("rank").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -320,5 +320,5 @@ def text_search(spark, sf):
     loader = E.hashed_bag_of_words()
     stored = collection_rows(E.embed_chunks(chunks.withColumn("content_type", F.lit("text")), loader))
     queries = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = S.text_search(queries, stored, loader, k=5, include_metadata=False)
+    hits = S.text_search(queries, stored, loader, k=5, include_metadata=False, dimension=384)
     return hits.select("query_id", I.big("rank").alias("rank"), F.round("score", 5).alias("score"))
