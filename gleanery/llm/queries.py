@@ -141,7 +141,7 @@ def op7_secrets(spark, sf):
 
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"),
-        F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans("spans").alias("spans"), "n_skipped",
+        F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans("spans").alias("spans"),
     )
 
 
