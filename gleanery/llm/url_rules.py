@@ -4,8 +4,10 @@ A host becomes a key of its labels in reverse, each ended by a NUL, so a rule's
 host and all its subdomains are one interval of keys. URLs and rules are split at
 sampled keys; a rule goes to every part its interval meets, which for a part is the
 chain of hosts around its first key plus what begins inside it. Each part is sorted
-and swept once with a stack of the rules whose interval is open; of those, the
-longest whose path fits wins.
+and swept once with a stack of the hosts whose interval is open. Paths are intervals in
+the same way: a url is behind the rules of its host whose path it begins with, so of
+each open host a table of its paths answers for the few lengths that its rules have.
+Of the rules that fit, the longest wins.
 """
 
 import bisect
@@ -37,12 +39,26 @@ def _key(host: str) -> str:
     return "\0".join(reversed(host.split("."))) + "\0"
 
 
-def _sweep(default: str):
-    def fits(rule, host, path):
-        return path.startswith(rule[1]) and (host == rule[0] or host.endswith("." + rule[0]))
+class _Paths:
+    """The rules of one host by path: the longest that a url's path begins with, in one look per length that rules have."""
+
+    def __init__(self) -> None:
+        self.actions, self.lengths = {}, []
+
+    def add(self, path: str, action: str) -> None:
+        """Rules come by length, shortest first; of two for one path block comes last and stays."""
+        if path not in self.actions and (not self.lengths or self.lengths[-1] != len(path)):
+            self.lengths.append(len(path))
+        self.actions[path] = action
 
+    def longest(self, path: str) -> str | None:
+        at = bisect.bisect_right(self.lengths, len(path))
+        return next((path[:n] for n in reversed(self.lengths[:at]) if path[:n] in self.actions), None)
+
+
+def _sweep(default: str):
     def sweep(batches):
-        part, stack = None, []  # of (key, rules of that host)
+        part, stack = None, []  # of (key, host, its paths)
         for batch in batches:
             out = [[] for _ in range(5)]
             for p, key, host, path, action, row in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "host", "path", "action", "row"))):
@@ -52,12 +68,16 @@ def _sweep(default: str):
                     stack.pop()
                 if action is not None:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((host, path, action))
+                        stack.append((key, host, _Paths()))
+                    stack[-1][2].add(path, action)
                     continue
-                found = [r for _, rules in stack for r in rules if fits(r, host, path)]
-                best = max(found, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r[2]), default=None)
-                for column, value in zip(out, (row["id"], host, path, best and best[0] + best[1], best[2] if best else default)):
+                # hosts on the stack grow, so of equal lengths the later one has the longer host
+                best = None
+                for _, suffix, paths in stack:
+                    found = paths.longest(path)
+                    if found is not None and (best is None or len(suffix) + len(found) >= len(best[0])):
+                        best = (suffix + found, paths.actions[found])
+                for column, value in zip(out, (row["id"], host, path, best and best[0], best[1] if best else default)):
                     column.append(value)
             kinds = [batch.schema.field("row").type.field("id").type] + [pa.string()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "host", "path", "rule", "verdict"])

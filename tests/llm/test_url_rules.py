@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from gleanery.llm.url_rules import url_rules
 
@@ -43,3 +44,17 @@ def test_one_host_with_most_rows_and_repeated_rows(spark):
 def test_empty_tables_and_default(spark):
     assert judged(spark, [(1, "http://a.com/")], [], default="block") == [(1, "a.com", "/", None, "block")]
     assert judged(spark, [], RULES) == []
+
+
+def test_thousands_of_rules_on_one_host(spark):
+    rng = random.Random(2)
+    paths = sorted({"/" + "/".join(rng.choices("abcd", k=rng.randint(0, 9))) for _ in range(6_000)})
+    rules = [("example.com", p, rng.choice(["allow", "block"])) for p in paths] + [("com", "/a/b/c", "block"), ("com", "/" + "a/" * 2_000, "block")]
+    rows = [(i, f"http://www.example.com/{'/'.join(rng.choices('abcd', k=rng.randint(0, 12)))}{rng.choice(['', '?x', '#y'])}") for i in range(6_000)]
+    rows += [(6_000, "http://example.com/" + "a/" * 3_000)]
+    started = time.perf_counter()
+    found = judged(spark, rows, rules)
+    assert time.perf_counter() - started < 30
+    some = rng.sample(rows, 200) + rows[-1:]
+    ids = {i for i, _ in some}
+    assert sorted(r for r in found if r[0] in ids) == sorted((i, *brute(u, rules)) for i, u in some)
