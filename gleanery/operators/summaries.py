@@ -12,7 +12,12 @@ def collection_stats(
     chunks: DataFrame, dimension: int, index_type: str = "IVF_FLAT", metric_type: str = "L2", approximate: bool = False
 ) -> DataFrame:
     distinct = F.approx_count_distinct if approximate else F.countDistinct
-    return chunks.agg(F.count("*").alias("chunks"), distinct("doc_id").alias("documents")).select(
+    return stats_row(chunks.agg(F.count("*").alias("chunks"), distinct("doc_id").alias("documents")), dimension, index_type, metric_type)
+
+
+def stats_row(counts: DataFrame, dimension: int, index_type: str = "IVF_FLAT", metric_type: str = "L2") -> DataFrame:
+    """Counts of chunks and documents with what describes the collection."""
+    return counts.select(
         "chunks", "documents",
         F.lit(dimension).alias("dimension"), F.lit(index_type).alias("index_type"), F.lit(metric_type).alias("metric_type"),
     )

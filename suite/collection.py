@@ -170,6 +170,19 @@ def collection_stats(spark, sf):
     return G.collection_stats(collection_rows(I.vector_chunks(spark, sf)), I.DIMENSION).withColumn("dimension", I.big("dimension"))
 
 
+@query("collection_sketches", f"""
+WITH {I.CHUNK_CTE}, k AS (SELECT * FROM c WHERE vec_id % 10 NOT IN (6, 9) AND doc_id <> 'doc7' OR vec_id % 10 = 9 AND doc_id = 'doc7')
+SELECT count(*) AS chunks, count(DISTINCT doc_id) AS exact_documents, true AS close FROM k""")
+def collection_sketches(spark, sf):
+    """Counts from stored sketches after deletions, a batch written again, and rows that come back; no row is read for them."""
+    chunks = I.vector_chunks(spark, sf)
+    collection = _with_cells(spark, sf)
+    collection.append(chunks.where("vec_id % 10 = 9 AND doc_id = 'doc7'"))
+    exact = collection.stats().select(F.col("documents").alias("exact_documents"))
+    close = F.abs(F.col("documents") - F.col("exact_documents")) <= 0.05 * F.col("exact_documents")
+    return collection.stats(approximate=True).join(exact, F.lit(True)).select("chunks", "exact_documents", close.alias("close"))
+
+
 @query("reassemble_document", f"""
 WITH {I.CHUNK_CTE} SELECT doc_id, string_agg(content, concat(chr(10), chr(10)) ORDER BY chunk_index, chunk_id) AS content,
  arg_min(source, chunk_index) AS source, count(*) AS n_chunks FROM c GROUP BY doc_id""")

@@ -397,3 +397,38 @@ def test_seen_urls_cleared_across_runs(spark, tmp_path):
         assert found == sorted(want + [("b", "u1", 302)])
     finally:
         spark.conf.set(provider, before)
+
+
+def _counts(collection):
+    row = collection.stats(approximate=True).first()
+    return row["chunks"], row["documents"]
+
+
+def test_stored_sketches_follow_every_change(spark, tmp_path):
+    rows = spark.range(3_000).select(
+        F.concat(F.lit("d"), F.col("id") % 1_000).alias("doc_id"), F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("x").alias("content"),
+        F.lit("text").alias("content_type"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"), F.lit(0).alias("chunk_index"), "id",
+    )
+    collection = Collection(spark, str(tmp_path / "c"), 2).create()
+    assert _counts(collection) == (0, 0)
+    collection.append(rows.where("id < 1500"), batch="a")
+    collection.append(rows.where("id >= 1500"), batch="b")
+    assert _counts(collection) == (3_000, 1_000)
+    collection.delete(spark.createDataFrame([("d1",), ("d2",), ("none",)], "doc_id string"))
+    collection.delete(spark.createDataFrame([("d1",)], "doc_id string"))
+    assert not collection.delete_document("d2")
+    assert _counts(collection) == (2_994, 998)
+    collection.append(rows.where("id = 1"))
+    assert _counts(collection) == (2_995, 999)
+    collection.append(rows.where("id < 1500 AND doc_id <> 'd3'"), batch="a")
+    for one in (collection, collection.compact_to(str(tmp_path / "compact"))):
+        exact = one.stats().first()
+        assert _counts(one) == (exact["chunks"], exact["documents"])
+    files = collection.stats(approximate=True).inputFiles()
+    assert files and all("/measures/" in name for name in files)
+    collection.vacuum()
+    assert _counts(collection) == (exact["chunks"], exact["documents"])
+    collection.append(rows.where("false"))
+    collection.clear()
+    collection.append(rows.where("false"))
+    assert _counts(collection) == (0, 0)
