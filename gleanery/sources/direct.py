@@ -3,9 +3,17 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.functions.content_types import extension_to_mime, infer_document_type, type_of_mime
+from gleanery.functions.content_types import ExtractorRegistry, extension_to_mime, infer_document_type, type_of_mime
+from gleanery.functions.html import html_to_text, page_description, page_language, page_title
 from gleanery.functions.metadata import attach_metadata
 from gleanery.functions.urls import document_id
+from gleanery.schema import DEFAULT_LANGUAGE
+
+
+def default_extractors() -> ExtractorRegistry:
+    registry = ExtractorRegistry()
+    registry.register("text/html", html_to_text)
+    return registry
 
 
 def direct_documents(sources: DataFrame, extra=None) -> DataFrame:
@@ -40,13 +48,29 @@ def file_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def page_documents(results: DataFrame) -> DataFrame:
-    """Documents from successful crawl results (see ``responses.crawl_results``)."""
+def page_documents(results: DataFrame, extractors: ExtractorRegistry | None = None) -> DataFrame:
+    """Documents from successful crawl results (see ``responses.crawl_results``), with what is known of the page.
+
+    HTML becomes text and gives title, description and language; of other types the
+    language is the default. Sitemap fields are there if the results have them (see
+    ``discovery.join_sitemap_metadata``), the time of crawling if they have ``fetched_at``.
+    """
+    extractors = extractors or default_extractors()
+    have = set(results.columns)
+    html = F.lower("content_type").contains("text/html")
+    filled = lambda value: F.when(html & (value != ""), value)
+    kept = [c for c in ("sitemap_lastmod", "sitemap_changefreq", "sitemap_priority", "images", "videos", "source_type") if c in have]
     return results.where((F.col("status") == 200) & F.col("error").isNull()).select(
         document_id(F.col("url")).alias("doc_id"),
         F.col("url").alias("source"),
         infer_document_type(F.col("content_type"), F.col("url")).alias("content_type"),
-        F.col("body").alias("content"),
+        extractors.extract(F.col("content_type"), F.col("body")).alias("content"),
+        filled(page_title(F.col("body"))).alias("title"),
+        filled(page_description(F.col("body"))).alias("description"),
+        F.coalesce(filled(page_language(F.col("body"))), F.lit(DEFAULT_LANGUAGE)).alias("language"),
+        F.col("status").cast("int").alias("status_code"),
+        *([F.col("fetched_at").cast("timestamp").alias("last_crawled")] if "fetched_at" in have else []),
+        *kept,
         F.create_map().cast("map<string,string>").alias("extra"),
     )
 

@@ -21,15 +21,17 @@ def crawl_results(urls: DataFrame, responses: DataFrame) -> DataFrame:
     """One result per distinct URL, from its newest response; a URL without one gets status 0 and an error.
 
     The URL list is reduced before the join, so a URL repeated very often is
-    one row by then.
+    one row by then, and responses nobody asked for are not ranked.
     """
-    known = newest_responses(responses).withColumn("_found", F.lit(True))
-    return urls.select("url").distinct().join(known, "url", "left").select(
+    wanted = urls.select("url").distinct()
+    known = newest_responses(responses.join(wanted, "url", "left_semi")).withColumn("_found", F.lit(True))
+    return wanted.join(known, "url", "left").select(
         "url",
         F.coalesce("status", F.lit(0)).alias("status"),
         F.coalesce("content_type", F.lit("")).alias("content_type"),
         F.coalesce("body", F.lit("")).alias("body"),
         F.when(F.col("_found").isNull(), "no response").alias("error"),
+        *(["fetched_at"] if "fetched_at" in responses.columns else []),
     )
 
 

@@ -200,8 +200,11 @@ def _finished(text: str) -> str:
     return _chain(text, [(r"^\s+", "''"), (r"\s+$", "''")])
 
 
+MARKDOWN_SQL, TITLE_SQL = _finished(_chain(_BODY, _AS_MARKDOWN + _BLOCKS + _TIDY)), DECODED_TITLE
+
+
 @query("html_to_text", f"""
-WITH t AS (SELECT page_id, {_finished(_chain(_BODY, _AS_MARKDOWN + _BLOCKS + _TIDY))} AS m,
+WITH t AS (SELECT page_id, {MARKDOWN_SQL} AS m,
                   {_finished(_chain(_BODY, _PLAIN + _TIDY))} AS p FROM pages)
 SELECT page_id, md5(m) AS content_md5, CAST(length(m) AS BIGINT) AS content_length,
        md5(p) AS plain_md5, CAST(length(p) AS BIGINT) AS plain_length FROM t""")
