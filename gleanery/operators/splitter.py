@@ -6,6 +6,7 @@ start comes for free and pieces are never copied before the final slice.
 """
 
 from bisect import bisect_left, bisect_right
+import itertools
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -119,32 +120,40 @@ def chunk_array(
 
     @F.arrow_udf(CHUNKS_TYPE)
     def chunks(sections: pa.Array, headers: pa.Array, kind: pa.Array, size: pa.Array, overlap: pa.Array) -> pa.Array:
-        ends = [0]
-        section, position, in_section, in_document, start, level, header, content = rows = [[] for _ in range(8)]
-        for texts, heads, name, limit, shared in zip(
-            *(column.to_pylist() for column in (sections, headers, kind, size, overlap))
-        ):
-            offset = 0
-            for number, text in enumerate(texts or []):
-                text = text or ""
-                head = heads[number] if heads else None
-                ranges = split_ranges(text, custom or SEPARATORS_BY_KIND[name], limit, shared)
-                n = len(ranges)
-                section.extend([number] * n)
-                position.extend(range(n))
-                in_section.extend([n] * n)
-                start.extend([offset + lo for lo, _ in ranges])
-                level.extend([head and head["level"]] * n)
-                header.extend([head and head["text"]] * n)
-                content.extend([text[lo:hi] for lo, hi in ranges])
-                offset += len(text)
-            total = len(content) - ends[-1]
-            in_document.extend([total] * total)
-            ends.append(len(content))
-        kinds = [pa.int32()] * 6 + [pa.string()] * 2
-        fields = ["section_index", "section_chunk_index", "section_chunk_count", "chunk_count", "start",
-                  "header_level", "header_text", "content"]
-        arrays = [pa.array(values, kind) for values, kind in zip(rows, kinds)]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, fields))
+        asked = [column.to_pylist() for column in (sections, headers, kind, size, overlap)]
+        return chunk_lists(*asked, itertools.repeat(custom))
 
     return chunks(sections, headers, kind, size, overlap)
+
+
+def chunk_lists(sections, headers, kinds, sizes, overlaps, separators) -> pa.Array:
+    """Chunks of documents, each given as texts of its sections; separators of its kind unless it has its own.
+
+    A null kind, size or overlap gives no chunk.
+    """
+    ends = [0]
+    section, position, in_section, in_document, start, level, header, content = rows = [[] for _ in range(8)]
+    for texts, heads, name, limit, shared, custom in zip(sections, headers, kinds, sizes, overlaps, separators):
+        offset = 0
+        known = limit is not None and shared is not None and (custom or name is not None)
+        for number, text in enumerate(texts or [] if known else []):
+            text = text or ""
+            head = heads[number] if heads else None
+            ranges = split_ranges(text, custom or SEPARATORS_BY_KIND[name], limit, shared)
+            n = len(ranges)
+            section.extend([number] * n)
+            position.extend(range(n))
+            in_section.extend([n] * n)
+            start.extend([offset + lo for lo, _ in ranges])
+            level.extend([head and head["level"]] * n)
+            header.extend([head and head["text"]] * n)
+            content.extend([text[lo:hi] for lo, hi in ranges])
+            offset += len(text)
+        total = len(content) - ends[-1]
+        in_document.extend([total] * total)
+        ends.append(len(content))
+    types = [pa.int32()] * 6 + [pa.string()] * 2
+    fields = ["section_index", "section_chunk_index", "section_chunk_count", "chunk_count", "start",
+              "header_level", "header_text", "content"]
+    arrays = [pa.array(values, type_) for values, type_ in zip(rows, types)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, fields))

@@ -6,6 +6,7 @@ from gleanery import schema
 from gleanery.operators import chunking as C
 from gleanery.operators import embedding as E
 from gleanery.session import cut_lineage
+from gleanery.functions.sql import register_chunkers
 from suite import inputs as I
 from suite import query
 from suite.splitter_sql import splitter_query
@@ -212,3 +213,28 @@ SELECT item_id, """ + ", ".join(
 def custom_embedder(spark, sf):
     v = E.embed_chunks(I.table(spark, sf, "benchmark"), letter_counts, text="text")
     return v.select("item_id", *[F.round(F.col("vector")[i].cast("double"), 6).alias(f"share_{c}") for i, c in enumerate("aeiou")])
+
+
+@query("chunk_by_sql", f"""
+SELECT 'text' AS kind, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, content_md5 FROM ({splitter_query(DOCS_CTE, "docs", schema.TEXT_SEPARATORS, SIZE, OVERLAP)})
+UNION ALL SELECT 'custom', doc_id, CAST(chunk_index AS BIGINT), content_md5 FROM ({splitter_query(DOCS_CTE, "docs", [". ", ", ", " ", ""], 500, 100)})
+UNION ALL SELECT 'windows', doc_id, i, md5(substr(text, i * 250 + 1, 300))
+  FROM documents, unnest(range(0, greatest(CAST(ceil((length(text) - 50) / 250.0) AS BIGINT), 1))) AS g(i) WHERE text <> ''
+UNION ALL SELECT 'tokens', doc_id, i, md5(array_to_string(ts[i * 40 + 1 : (i + 1) * 40], ' '))
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ts FROM documents),
+    unnest(range(0, CAST(ceil(len(ts) / 40.0) AS BIGINT))) AS g(i)""")
+def chunk_by_sql(spark, sf):
+    """The chunkers called from Spark SQL."""
+    register_chunkers(spark)
+    I.documents(spark, sf).createOrReplaceTempView("gleanery_documents")
+    exploded = "FROM (SELECT doc_id, {} AS cs FROM gleanery_documents) LATERAL VIEW OUTER posexplode(cs) t AS chunk_index, c WHERE c IS NOT NULL"
+    calls = {
+        "text": ("c.content", "chunk_recursive(content, 'text', 1000, 200, NULL)"),
+        "custom": ("c.content", "chunk_recursive(content, NULL, 500, 100, array('. ', ', ', ' ', ''))"),
+        "windows": ("c", "chunk_windows(content, 300, 50)"),
+        "tokens": ("c", "chunk_tokens(content, 40, 0)"),
+    }
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, md5({shown}) AS content_md5 " + exploded.format(call)
+        for kind, (shown, call) in calls.items()
+    ))

@@ -131,3 +131,22 @@ def test_documents_are_chunked_as_they_ask(spark):
     assert found["t"] == ["One two three. Four", "five six. Seven eight", "nine."]
     plain = C.chunk_documents(df.where("doc_id = 'r'"), "text", 20, 5).orderBy("chunk_index").collect()
     assert found["r"] == [r.content for r in plain]
+
+
+def test_chunkers_in_sql(spark):
+    from gleanery.functions.sql import register_chunkers
+
+    register_chunkers(spark)
+    text = "# One\nsome words here\n\n## Two\n" + "x" * 30
+    docs = spark.createDataFrame([("a", text), ("b", ""), ("c", None)], "doc_id string, content string")
+    docs.createOrReplaceTempView("some_documents")
+    rows = spark.sql(
+        "SELECT doc_id, i, c.start, c.content FROM some_documents LATERAL VIEW OUTER posexplode(chunk_recursive(content, 'markdown', 20, 4, NULL)) t AS i, c WHERE c IS NOT NULL"
+    ).collect()
+    direct = C.chunk_documents(docs, "markdown", 20, 4).select("doc_id", "chunk_index", "start", "content").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, direct)) and len(rows) > 3
+    one = spark.sql("SELECT markdown_sections(content) AS s, chunk_windows(content, 5, 5) AS w, chunk_windows(content, 10, 2) AS x, chunk_tokens(content, 2, 1) AS t, "
+                    "chunk_recursive(content, NULL, 10, 0, NULL) AS n FROM some_documents WHERE doc_id = 'a'").first()
+    assert "".join(one.s) == text and len(one.s) == 2 and one.w is None and one.n == []
+    assert one.x == [r.content for r in C.chunk_fixed(docs.where("doc_id = 'a'"), 10, 2).orderBy("chunk_index").collect()]
+    assert one.t == [r.content for r in C.chunk_by_tokens(docs.where("doc_id = 'a'"), 2, 1).orderBy("chunk_index").collect()]
