@@ -1,5 +1,7 @@
 """Ingest sources, jobs, validation and streams (A1, A2, G4, G5, M, O1-O3)."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from gleanery.operators import summaries as G
@@ -196,6 +198,18 @@ def stream_seen_urls_watermark(spark, sf):
     return spark.read.schema("url string").parquet(out)
 
 
+@contextmanager
+def _rocksdb(spark):
+    """The state store that streams with a state of their own need."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
 @query("stream_seen_urls_cleared", """
 WITH e AS (SELECT event_id, user_id % 7 AS scope, props AS url, event_id % 40 = 0 AS clear FROM events),
 s AS (SELECT *, count(*) FILTER (clear) OVER (PARTITION BY scope ORDER BY event_id) AS epoch FROM e)
@@ -206,16 +220,38 @@ def stream_seen_urls_cleared(spark, sf):
     source = M.stream_table(spark, path, spark.read.parquet(path).schema).select(
         (F.col("user_id") % 7).alias("scope"), F.col("props").alias("url"), F.col("event_id").alias("at"), (F.col("event_id") % 40 == 0).alias("clear")
     )
-    out, provider = scratch_path(spark, "seen"), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    out = scratch_path(spark, "seen")
+    with _rocksdb(spark):
         M.write_table(M.seen_since_cleared(source), out, scratch_path(spark, "checkpoint")).awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
     return spark.read.schema("scope bigint, url string, at bigint").parquet(out)
 
 
+@query("stream_job_progress", """
+WITH e AS (SELECT concat(user_id, '-', CAST(CAST(ts AS DATE) AS VARCHAR)) AS job_id, event_id, event_type = 'error' AS bad FROM events),
+j AS (SELECT job_id, bool_or(bad) AS bad, count(DISTINCT event_id) AS n FROM e GROUP BY job_id)
+SELECT job_id, 'pending' AS status, CAST(0 AS BIGINT) AS n_documents, CAST(NULL AS VARCHAR) AS message FROM j
+UNION ALL SELECT job_id, 'processing', n, NULL FROM j WHERE NOT bad
+UNION ALL SELECT job_id, 'completed', n, concat('Ingested ', n, ' documents') FROM j WHERE NOT bad
+UNION ALL SELECT job_id, 'failed', 0, 'could not read source' FROM j WHERE bad""")
+def stream_job_progress(spark, sf):
+    """All jobs are accepted, then their documents come, each twice, then their ends; every state on the way, the last one that of the summary."""
+    log, folder, files = _job_log(spark, sf), scratch_path(spark, "events"), 4
+    none = F.lit(None).cast("string")
+    jobs = log.select("job_id").distinct()
+    steps = [
+        jobs.select("job_id", F.lit("accepted").alias("kind"), none.alias("document_id"), none.alias("error")),
+        log.union(log).select("job_id", F.lit("document").alias("kind"), "document_id", "error"),
+        jobs.select("job_id", F.lit("end").alias("kind"), none.alias("document_id"), none.alias("error")),
+    ]
+    for step in steps:
+        step.repartition(files).write.mode("append").parquet(folder)
+    source = M.stream_table(spark, folder, steps[0].schema, files_per_batch=files)
+    out = scratch_path(spark, "trail")
+    with _rocksdb(spark):
+        M.write_table(M.job_progress(source), out, scratch_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.schema("job_id string, status string, n_documents bigint, message string").parquet(out)
+
+
 @query("stream_batches", """
 SELECT 'completed' AS status, count(*) AS n_documents, CAST(ceil(count(DISTINCT doc_id // 100) / 4.0) AS BIGINT) AS n_batches FROM documents""")
 def stream_batches(spark, sf):

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.operators import summaries as G
 from gleanery.operators import validation as V
@@ -432,3 +433,28 @@ def test_stored_sketches_follow_every_change(spark, tmp_path):
     collection.clear()
     collection.append(rows.where("false"))
     assert _counts(collection) == (0, 0)
+
+
+def test_jobs_that_fall_silent_fail(spark, tmp_path):
+    import time
+
+    from suite.jobs import _rocksdb
+
+    kinds = "job_id string, kind string, document_id string, error string"
+    folder, out = str(tmp_path / "events"), str(tmp_path / "trail")
+    rows = [("a", "accepted", None, None), ("b", "document", "1", None), ("b", "document", "1", None), ("c", "document", "1", "bad"),
+            ("c", "end", None, None), ("d", "document", "7", None), ("d", "end", None, None), (None, "end", None, None)]
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(folder)
+    wanted = [("a", "failed", 0), ("a", "pending", 0), ("b", "failed", 0), ("b", "processing", 1), ("c", "failed", 0), ("d", "completed", 1)]
+    progress = M.job_progress(M.stream_table(spark, folder, T.StructType.fromDDL(kinds)), quiet_ms=1_000)
+    with _rocksdb(spark):
+        query = progress.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "checkpoint"))
+        query = query.trigger(processingTime="1 second").start()
+        try:
+            until, found = time.monotonic() + 60, []
+            while found != wanted and time.monotonic() < until and query.isActive:
+                time.sleep(2)
+                found = sorted(tuple(r)[:3] for r in spark.read.schema("job_id string, status string, n_documents bigint").parquet(out).collect())
+        finally:
+            query.stop()
+    assert found == wanted
