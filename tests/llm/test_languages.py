@@ -60,3 +60,56 @@ def test_bad_labelled_rows_do_not_turn_rejection_off(spark):
     found = identify_languages(spark.createDataFrame(asked, "doc_id bigint, text string"), fitted).orderBy("row.doc_id").collect()
     assert [(r.lang_pred, r.rejected) for r in found][0] == ("en", False)
     assert [r.rejected for r in found[1:]] == [True, True]
+
+
+def test_query_against_brute_force(spark):
+    """Fitting and prediction of the registered query, restated with dictionaries, on tables small enough that every labelled row is sampled."""
+    import math
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+
+    def place(a, b, c):
+        return ((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 20
+
+    def trigrams(text):
+        folded = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in text.encode())
+        while b"  " in folded:
+            folded = folded.replace(b"  ", b" ")
+        return Counter(place(*folded[i : i + 3]) for i in range(len(folded) - 2))
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = [trigrams(d.text or "") for d in docs]
+    has_letter = [any(c.isalpha() for c in d.text or "") for d in docs]
+    held = [zlib.crc32(str(d.doc_id).encode()) % 5 == 0 for d in docs]
+    used = [i for i, d in enumerate(docs) if not held[i] and d.lang is not None and has_letter[i] and counts[i]]
+    met = Counter(p for i in used for p in counts[i])
+
+    def vector(found):
+        out = np.zeros(1 << 12)
+        for p, n in found.items():
+            out[p] = math.log1p(n) * (math.log((1 + len(used)) / (1 + met[p])) + 1)
+        return out / max(np.linalg.norm(out), 1e-12)
+
+    vectors = [vector(c) for c in counts]
+    centroids = []
+    for lang in sorted({docs[i].lang for i in used}):
+        x = np.stack([vectors[i] for i in used if docs[i].lang == lang])
+        centres = [x.mean(axis=0) / np.linalg.norm(x.mean(axis=0))]
+        while len(centres) < min(4, len(x)):
+            centres.append(x[int((x @ np.stack(centres).T).max(axis=1).argmin())])
+        for _ in range(12):
+            owner = (x @ np.stack(centres).T).argmax(axis=1)
+            for c in set(owner.tolist()):
+                centres[c] = x[owner == c].mean(axis=0) / np.linalg.norm(x[owner == c].mean(axis=0))
+        centroids += [(lang, c) for c in centres]
+    cosines = np.stack(vectors) @ np.stack([c for _, c in centroids]).T
+    found = {r.doc_id: r for r in QUERIES["op8_languages"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(found) == len(docs)
+    agree = 0
+    for i, d in enumerate(docs):
+        r, best = found[d.doc_id], int(cosines[i].argmax())
+        assert r.held_out == held[i] and 0 <= r.score <= 1 and (r.lang_pred == "und") == (not has_letter[i])
+        agree += not has_letter[i] or (r.lang_pred == centroids[best][0] and abs(r.score - cosines[i][best]) < 0.01)
+    assert agree >= 0.99 * len(docs)
