@@ -151,12 +151,13 @@ class Collection:
         stamped = accepted.withColumn("added_at", F.lit(added_at))
         stored = [c for c in self.schema.fieldNames() if c != "batch"]
         self._write(stamped.select(stored), self._part_path(entry))
-        self._measure(self._kept(self._read_parts([entry]), self._state()).withColumn("part", F.lit(entry["part"])), entry["part"])
+        written = self._read_parts([entry])
+        self._measure(self._kept(written, self._state()).withColumn("part", F.lit(entry["part"])), entry["part"])
         self._change(lambda state: {**state, "rows": [e for e in state["rows"] if e["batch"] != batch] + [entry]})
         refused = {kind: n for kind, n in counted.get.items() if n}
         if refused:
             logging.getLogger(__name__).warning("batch %s: chunks refused: %s", batch, refused)
-        return self._kept(self._read_parts([entry]), self._state()).select("chunk_id")
+        return self._kept(written, self._state()).select("chunk_id")
 
     def _judged(self, chunks: DataFrame, embedding_model: str) -> DataFrame:
         rows = collection_rows(chunks, embedding_model, self.dynamic)
