@@ -54,7 +54,7 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     results are the same. Null and empty texts have
     no pieces, rows that are there twice are encoded twice, an empty table gives no rows.
     """
-    return encode_pieces(docs, load_pieces(PIECE_MODEL), block_bytes=BLOCK_BYTES // 2)
+    return encode_pieces(docs, load_pieces(PIECE_MODEL), block_bytes=BLOCK_BYTES // 4)
 
 
 STAGES = [
