@@ -458,3 +458,19 @@ def test_jobs_that_fall_silent_fail(spark, tmp_path):
         finally:
             query.stop()
     assert found == wanted
+
+
+def test_an_append_lists_versions_once(spark, collection, monkeypatch):
+    """The newest version is looked for from the last one met, also when others wrote or removed versions meanwhile."""
+    collection.append(chunks(spark, ("d0", "a0", "text", 0, [1.0, 2.0])), batch="b0")
+    listed = []
+    numbers = type(collection.versions).numbers
+    monkeypatch.setattr(type(collection.versions), "numbers", lambda log: listed.append(1) or numbers(log))
+    for i in (1, 2):
+        collection.append(chunks(spark, (f"d{i}", f"a{i}", "text", 0, [1.0, 2.0])), batch=f"b{i}")
+    assert not listed
+    other = Collection(spark, collection.path, collection.dimension)
+    other.append(chunks(spark, ("d3", "a3", "text", 0, [1.0, 2.0])), batch="b3")
+    other.append(chunks(spark, ("d4", "a4", "text", 0, [1.0, 2.0])), batch="b4")
+    other.vacuum(keep=1)
+    assert ids(collection.read()) == ["a0", "a1", "a2", "a3", "a4"]
