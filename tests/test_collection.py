@@ -474,3 +474,45 @@ def test_an_append_lists_versions_once(spark, collection, monkeypatch):
     other.append(chunks(spark, ("d4", "a4", "text", 0, [1.0, 2.0])), batch="b4")
     other.vacuum(keep=1)
     assert ids(collection.read()) == ["a0", "a1", "a2", "a3", "a4"]
+
+
+def test_many_jobs_are_few_states(spark, tmp_path):
+    """All states of all jobs over several micro-batches, with far fewer parts than jobs."""
+    from suite.jobs import _rocksdb
+
+    kinds, folder, out, checkpoint = "job_id string, kind string, document_id string, error string", *(str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    jobs = [f"j{i}" for i in range(300)]
+    steps = [[(j, "accepted", None, None) for j in jobs], [(j, "document", d, None) for j in jobs for d in "xyx"] + [("j7", "document", None, e) for e in ("z", "b")],
+             [(j, "end", None, None) for j in jobs], [("j1", "document", "late", None)]]
+    for step in steps:
+        spark.createDataFrame(step, kinds).write.mode("append").parquet(folder)
+        with _rocksdb(spark):
+            M.write_table(M.job_progress(M.stream_table(spark, folder, T.StructType.fromDDL(kinds)), parts=4), out, checkpoint).awaitTermination()
+    found = sorted(tuple(r) for r in spark.read.schema("job_id string, status string, n_documents bigint, message string").parquet(out).collect())
+    good = [j for j in jobs if j != "j7"]
+    want = [(j, "pending", 0, None) for j in jobs] + [(j, "processing", 2, None) for j in good] + [(j, "completed", 2, "Ingested 2 documents") for j in good]
+    assert sorted(map(str, found)) == sorted(map(str, [*want, ("j7", "failed", 0, "b")]))
+
+
+def test_seen_urls_with_many_commands_in_a_batch(spark, tmp_path):
+    """Several commands in every micro-batch give what row by row gives."""
+    import random
+
+    from suite.jobs import _rocksdb
+
+    draw = random.Random(5)
+    rows = [(draw.choice("ab"), f"u{draw.randrange(6)}", i, draw.random() < 0.1) for i in range(400)]
+    schema, folder, out = "scope string, url string, at int, clear boolean", tmp_path / "in", str(tmp_path / "out")
+    for i, part in enumerate((rows[:150], rows[150:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(folder / str(i)))
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(folder))
+        with _rocksdb(spark):
+            M.write_table(M.seen_since_cleared(source, parts=2), out, str(tmp_path / "checkpoint")).awaitTermination()
+    memory, want = {"a": set(), "b": set()}, []
+    for scope, url, at, clear in rows:
+        if clear:
+            memory[scope].clear()
+        elif url not in memory[scope]:
+            memory[scope].add(url)
+            want.append((scope, url, at))
+    assert sorted(tuple(r) for r in spark.read.schema("scope string, url string, at int").parquet(out).collect()) == sorted(want)
