@@ -18,6 +18,9 @@ from gleanery.session import remembered
 Model = Callable[[list[str]], "np.ndarray"]
 Loader = Callable[[], Model]
 
+#: Tokens whose bucket a worker remembers, and rows whose vectors leave it at a time; both bound what it holds, not the result.
+BUCKET_TABLE, STEP_ROWS = 1 << 16, 1 << 10
+
 
 def hashed_bag_of_words(dimension: int = DEFAULT_DIMENSION) -> Loader:
     """Default model: token counts hashed into buckets, scaled to unit length.
@@ -31,7 +34,7 @@ def hashed_bag_of_words(dimension: int = DEFAULT_DIMENSION) -> Loader:
 
         def __missing__(self, token: str) -> int:
             found = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimension
-            if len(self) < 1_000_000:
+            if len(self) < BUCKET_TABLE:
                 self[token] = found
             return found
 
@@ -67,13 +70,16 @@ def embed_column(text: Column, loader: Loader, batch_size: int = 32) -> Column:
             if model is None:
                 yield pa.nulls(len(texts), pa.list_(pa.float32()))
                 continue
-            parts = []
+            parts, rows = [], 0
             for at in range(0, len(texts), batch_size):
                 part = texts[at : at + batch_size]
                 block = np.asarray(model([t or "" for t in part.to_pylist()]), dtype=np.float32)
                 offsets = pa.array(np.arange(len(part) + 1) * block.shape[1], pa.int32())
                 parts.append(pa.ListArray.from_arrays(offsets, pa.array(block.ravel(), pa.float32())))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+                rows += len(part)
+                if rows >= STEP_ROWS or at + batch_size >= len(texts):
+                    yield pa.concat_arrays(parts)
+                    parts, rows = [], 0
 
     # Marked nondeterministic so that Catalyst never runs the model twice, which
     # it would do for a filter on the vector.

@@ -516,3 +516,23 @@ def test_seen_urls_with_many_commands_in_a_batch(spark, tmp_path):
             memory[scope].add(url)
             want.append((scope, url, at))
     assert sorted(tuple(r) for r in spark.read.schema("scope string, url string, at int").parquet(out).collect()) == sorted(want)
+
+
+def test_workers_hold_a_few_documents_at_a_time(spark, monkeypatch):
+    """Chunks and vectors leave a worker in steps, with the results of whole batches."""
+    from gleanery.operators import embedding, splitter
+    from gleanery.operators.chunking import chunk_documents
+
+    docs = spark.range(100).repartition(1).select(F.col("id").cast("string").alias("doc_id"), F.expr("repeat('some words ', int(id) * 3)").alias("content"))
+    whole = sorted(map(str, embedding.embed_chunks(chunk_documents(docs, size=200, overlap=20)).collect()))
+    held = splitter.chunk_lists
+    monkeypatch.setattr(splitter, "STEP_ROWS", 7)
+    monkeypatch.setattr(embedding, "STEP_ROWS", 5)
+
+    def small(sections, *more):
+        assert len(sections) <= 7
+        return held(sections, *more)
+
+    monkeypatch.setattr(splitter, "chunk_lists", small)
+    again = embedding.embed_chunks(chunk_documents(docs, size=200, overlap=20, separators=["\n\n", "\n", " ", ""]), embedding.hashed_bag_of_words())
+    assert sorted(map(str, again.collect())) == whole
