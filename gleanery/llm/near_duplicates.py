@@ -4,18 +4,20 @@ One hash of every shingle fills BINS bins with their minima; an empty bin takes
 value of the first full bin in a probing order of its own, the same for every
 document. Bands of ROWS bins are bucket keys. Documents with the same set of
 shingles are one class, represented by its smallest id; only representatives are
-bucketed. In a bucket, candidates form a star around the smallest id, so a bucket
-of m rows gives m - 1 pairs; most buckets of a group have the same centre and give
-the same pairs. Pairs are confirmed on the full sets.
+bucketed, and of buckets with the same members one is kept. In a bucket, candidates
+form a star around the smallest id, so a bucket of m rows gives m - 1 pairs; most
+buckets of a group have the same centre and give the same pairs. Pairs are confirmed
+on the full sets.
 
 A star can miss a link between two rows that are both too far from the centre. So,
 while confirmed links leave a bucket in more than one component, its rows of
-different components are paired again: all pairs in buckets of up to SMALL rows, new
-centres in larger ones, until a round adds no link. What then is still in mixed larger
-buckets is joined on prefixes: with the shingles of every set in one order, rarest
-first, two sets of enough similarity share a shingle among the first few of each. The
-pairs of different components that this leaves are all confirmed, so no link between
-two rows of a bucket is missed.
+different components are paired again: all pairs in buckets of up to SMALL rows, once,
+and new centres in larger ones, as long as one pair in PAYS is a link. Buckets choose
+centres by one order of ids, so those with most members in common have the same. What
+then is still in mixed larger buckets is joined on prefixes: with the shingles of every
+set in one order, rarest first, two sets of enough similarity share a shingle among the
+first few of each. The pairs of different components that this leaves are all
+confirmed, so no link between two rows of a bucket is missed.
 """
 
 import hashlib
@@ -34,6 +36,8 @@ WIDTH = 5
 BINS, ROWS = 128, 4
 SMALL = 8
 CENTRES = 4
+#: New centres are tried as long as one pair in so many is a link; a family that hardly links goes to the prefix join.
+PAYS = 8
 #: Counters that order shingles by how common they are; collisions cost pairs to confirm, never links.
 COUNTERS = 1 << 18
 
@@ -216,7 +220,10 @@ def near_duplicates(
     # a class is met by the row of its representative; ids are unique, or else repeated buckets do no harm
     reps = named.select(F.col("print").alias("p"), "id", "n", "keys").join(classes, (F.col("p") == F.col("print")) & (F.col("id") == F.col("rep")))
     bucketed = reps.select("id", "n", F.explode("keys").alias("key"))
-    shared = bucketed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("centre")).filter("m > 1")
+    # members of a bucket as two sums of 64-bit hashes; buckets of the same members would give the same pairs
+    sums = [F.sum(F.xxhash64("id", "n", F.lit(seed)).cast("decimal(20,0)")).alias(f"sum{seed}") for seed in range(2)]
+    shared = bucketed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("centre"), *sums).filter("m > 1")
+    shared = shared.groupBy("m", "centre", "sum0", "sum1").agg(F.min("key").alias("key")).select("key", "m", "centre")
     members = cut_lineage(bucketed.join(shared, "key").distinct())
 
     candidates = members.select("id").distinct()
@@ -233,19 +240,26 @@ def near_duplicates(
     pairs = with_centre.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").filter(possible).select("a", "b").distinct()
     tested = cut_lineage(pairs)
     links = confirmed(tested)
-    turn = 0
+    labels = cut_lineage(components(links))
+    turn, pays = 0, True
     while True:
-        labels = cut_lineage(components(links))
-        rest = members.select("key", "id", "n", "m").join(labels, F.col("id") == F.col("node"), "left")
+        # all pairs of small buckets are tested in the first turn
+        met = members if turn == 0 else members.filter(F.col("m") > SMALL)
+        rest = met.select("key", "id", "n", "m").join(labels, F.col("id") == F.col("node"), "left")
         rest = rest.select("key", "id", "n", "m", F.coalesce("component", "id").alias("c"))
         mixed = rest.groupBy("key").agg(
             F.min("c").alias("low"), F.max("c").alias("high"),
-            *(F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", "key", F.lit(turn * CENTRES + i))).alias(f"s{i}") for i in range(CENTRES)),
+            *(F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", F.lit(turn * CENTRES + i))).alias(f"s{i}") for i in range(CENTRES)),
         ).filter("low <> high")
         mixed = cut_lineage(mixed)
         if mixed.isEmpty():
             break
         open_rows = cut_lineage(rest.join(mixed.select("key"), "key", "left_semi"))
+        if not pays:
+            large = texts.join(open_rows.select("id", "c").distinct(), "id").select("id", "c", "text")
+            left = _prefix_pairs(large, kind, width, percent).join(tested, ["a", "b"], "left_anti")
+            labels = cut_lineage(components(links.unionByName(confirmed(cut_lineage(left)))))
+            break
         # only centres of other components are exploded, each once
         centres = F.array_distinct(F.filter(F.array(*(F.struct(f"s{i}.id", f"s{i}.n", f"s{i}.c") for i in range(CENTRES))), lambda s: s["c"] != F.col("c")))
         stars = open_rows.filter(F.col("m") > SMALL).join(mixed, "key").select("id", "n", centres.alias("s")).distinct()
@@ -259,12 +273,12 @@ def near_duplicates(
         fresh = cut_lineage(fresh)
         found = confirmed(fresh)
         tested = cut_lineage(tested.unionByName(fresh))
-        if found.isEmpty():
-            large = texts.join(open_rows.filter(F.col("m") > SMALL).select("id", "c").distinct(), "id").select("id", "c", "text")
-            left = _prefix_pairs(large, kind, width, percent).join(tested, ["a", "b"], "left_anti")
-            labels = cut_lineage(components(links.unionByName(confirmed(cut_lineage(left)))))
-            break
-        links, turn = cut_lineage(links.unionByName(found)), turn + 1
+        added = found.count()
+        pays = added > 0 and PAYS * added >= fresh.count()
+        if added:
+            links = cut_lineage(links.unionByName(found))
+            labels = cut_lineage(components(links))
+        turn += 1
 
     grouped = signed.select("id", "n", "print").join(classes, "print", "left")
     # rows that share an id are one document: the least label of them

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.components import components
 from gleanery.llm.near_duplicates import densified, near_duplicates, probing_ranks
+from gleanery.session import cut_lineage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -113,3 +114,22 @@ def test_no_link_of_a_large_mixed_bucket_is_missed(spark, monkeypatch):
     assert 100 < len({c for _, c in expected.values()}) < len(rows)  # some are linked, most are not
     found = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bins=8, rows=2).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+
+
+def test_a_family_that_does_not_link_gives_pairs_in_proportion(spark, monkeypatch):
+    """Rows with a long passage in common, too unlike to link, share many buckets of ever other members."""
+    made = {}
+
+    def counted(df):
+        out = cut_lineage(df)
+        made.setdefault(tuple(out.columns), []).append(out.count())
+        return out
+
+    monkeypatch.setattr("gleanery.llm.near_duplicates.cut_lineage", counted)
+    passage = " ".join(f"p{i}" for i in range(64))
+    rows = [(i, f"{passage} " + " ".join(f"u{i}x{j}" for j in range(18))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 300, 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()} == brute(rows)
+    assert max(made["a", "b"]) < 30 * len(rows)  # all pairs tested
+    assert sum(made["key", "id", "n", "m", "c"]) <= 2 * made["key", "id", "n", "m", "centre"][0]  # rows of mixed buckets in all turns
