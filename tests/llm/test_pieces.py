@@ -84,3 +84,11 @@ def test_same_ids_as_the_library_on_a_unigram_model(spark, tmp_path):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for row in encode_pieces(docs, load_pieces(str(path)), frequent_words=1_000).collect():
         assert row.ids == library.encode(texts[row.doc_id])
+
+
+def test_texts_and_words_are_encoded_where_they_lie(spark, pieces):
+    df = spark.range(40).selectExpr("id AS doc_id", "concat('word', id, ' and some more') AS text").repartition(2)
+    found = encode_pieces(df.localCheckpoint(), pieces, frequent_words=2, block_bytes=64)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+    assert {r.doc_id: r.ids for r in found.collect()} == {i: brute(f"word{i} and some more", pieces) for i in range(40)}
