@@ -40,6 +40,8 @@ CENTRES = 4
 PAYS = 8
 #: Counters that order shingles by how common they are; collisions cost pairs to confirm, never links.
 COUNTERS = 1 << 18
+#: Words of 64 bits in a filter that every task gets, most; a fuller filter lets more rows move and changes no result.
+FILTER_WORDS = 1 << 18
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, width: int) -> list[np.ndarray]:
@@ -193,6 +195,17 @@ def _prefix_pairs(rows: DataFrame, kind: str, width: int, percent: int) -> DataF
     return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
+def _perhaps(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose value of ``column`` is in ``keys``, and a few others; they are found where they lie, by one bit per key."""
+    hashed = F.xxhash64(column)
+    word, bit = F.pmod(hashed, F.lit(FILTER_WORDS)).cast("int"), F.expr("shiftleft(1L, int(hash & 63))")
+    # the places of the bits are not those of the words
+    placed = keys.select(word.alias("word"), F.shiftrightunsigned(hashed, 40).alias("hash"))
+    bits = placed.groupBy("word").agg(F.bit_or(bit).alias("bits"))
+    met = rows.select("*", word.alias("word"), F.shiftrightunsigned(hashed, 40).alias("hash")).join(F.broadcast(bits), "word")
+    return met.filter(F.col("bits").bitwiseAND(bit) != 0).select(rows.columns)
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 75, bins: int = BINS, rows: int = ROWS
 ) -> DataFrame:
@@ -219,19 +232,25 @@ def near_duplicates(
     classes = cut_lineage(named.groupBy("print").agg(F.min("id").alias("rep")))
     # a class is met by the row of its representative; ids are unique, or else repeated buckets do no harm
     reps = named.select(F.col("print").alias("p"), "id", "n", "keys").join(classes, (F.col("p") == F.col("print")) & (F.col("id") == F.col("rep")))
+    reps = cut_lineage(reps.select("id", "n", "keys"))
     bucketed = reps.select("id", "n", F.explode("keys").alias("key"))
+    shared = cut_lineage(bucketed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
+    # few keys are shared, so most rows of buckets need not move again
+    met = cut_lineage(_perhaps(bucketed, shared, "key").join(shared, "key"))
     # members of a bucket as two sums of 64-bit hashes; buckets of the same members would give the same pairs
     sums = [F.sum(F.xxhash64("id", "n", F.lit(seed)).cast("decimal(20,0)")).alias(f"sum{seed}") for seed in range(2)]
-    shared = bucketed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("centre"), *sums).filter("m > 1")
-    shared = shared.groupBy("m", "centre", "sum0", "sum1").agg(F.min("key").alias("key")).select("key", "m", "centre")
-    members = cut_lineage(bucketed.join(shared, "key").distinct())
+    kept = met.groupBy("key", "m").agg(F.min("id").alias("centre"), *sums)
+    kept = kept.groupBy("m", "centre", "sum0", "sum1").agg(F.min("key").alias("key")).select("key", "centre")
+    members = cut_lineage(met.join(kept, "key").select("key", "id", "n", "m", "centre").distinct())
 
     candidates = members.select("id").distinct()
-    texts = cut_lineage(docs.join(candidates, "id", "left_semi"))
+    # no semi-join: Spark would make that before the filter
+    texts = cut_lineage(_perhaps(docs, candidates, "id").join(candidates, "id"))
     sizes = members.groupBy("id").agg(F.max("n").alias("n"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
+        own = _perhaps(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+        a, b = (own.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
         full = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
         return cut_lineage(full.mapInArrow(trimmed(_confirm(width, percent)), f"a {kind}, b {kind}").distinct())
 
@@ -256,7 +275,8 @@ def near_duplicates(
             break
         open_rows = cut_lineage(rest.join(mixed.select("key"), "key", "left_semi"))
         if not pays:
-            large = texts.join(open_rows.select("id", "c").distinct(), "id").select("id", "c", "text")
+            large = cut_lineage(open_rows.select("id", "c").distinct())
+            large = _perhaps(texts, large, "id").join(large, "id").select("id", "c", "text")
             left = _prefix_pairs(large, kind, width, percent).join(tested, ["a", "b"], "left_anti")
             labels = cut_lineage(components(links.unionByName(confirmed(cut_lineage(left)))))
             break

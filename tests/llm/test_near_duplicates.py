@@ -133,3 +133,23 @@ def test_a_family_that_does_not_link_gives_pairs_in_proportion(spark, monkeypatc
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()} == brute(rows)
     assert max(made["a", "b"]) < 30 * len(rows)  # all pairs tested
     assert sum(made["key", "id", "n", "m", "c"]) <= 2 * made["key", "id", "n", "m", "centre"][0]  # rows of mixed buckets in all turns
+
+
+def test_texts_without_candidates_stay_where_they_are(spark, monkeypatch):
+    from gleanery.llm import near_duplicates as module
+
+    moved, perhaps = [], module._perhaps
+
+    def counted(rows, keys, column):
+        out = perhaps(rows, keys, column)
+        moved.append((rows.columns, out.count(), out.join(keys, column, "left_semi").count(), rows.join(keys, column, "left_semi").count()))
+        return out
+
+    monkeypatch.setattr(module, "_perhaps", counted)
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(30))) for i in range(2_000)]
+    rows += [(5_000 + i, rows[i][1] + " more") for i in range(20)]
+    found = module.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.component_id for r in found.filter("NOT kept").collect()) == list(range(20))
+    assert all(met == wanted for _, _, met, wanted in moved)  # nothing is lost
+    assert [n for columns, n, *_ in moved if columns == ["id", "text"]][0] < 100  # of 2,020 texts
+    assert [n for columns, n, *_ in moved if "key" in columns][0] < 5_000  # of 64,640 rows of buckets
