@@ -18,6 +18,10 @@ then is still in mixed larger buckets is joined on prefixes: with the shingles o
 set in one order, rarest first, two sets of enough similarity share a shingle among the
 first few of each. The pairs of different components that this leaves are all
 confirmed, so no link between two rows of a bucket is missed.
+
+Before the texts of a pair are moved, its outlines are compared: PLACES bits for each
+row, every shingle turning one of them over. Bits that differ are no more than the
+shingles that only one of two sets has, so a pair with too many of them is no link.
 """
 
 import hashlib
@@ -40,6 +44,8 @@ CENTRES = 4
 PAYS = 8
 #: Counters that order shingles by how common they are; collisions cost pairs to confirm, never links.
 COUNTERS = 1 << 18
+#: Bits of an outline; fewer let more pairs through to the full sets and lose no link.
+PLACES = 1 << 10
 #: Words of 64 bits in a filter that every task gets, most; a fuller filter lets more rows move and changes no result.
 FILTER_WORDS = 1 << 18
 
@@ -115,6 +121,30 @@ def _signatures(width: int, bins: int, rows: int):
     return sign
 
 
+def _outlines(width: int):
+    def outline(batches):
+        for batch in slices(batches):
+            sets = shingle_sets(batch, "text", width)
+            odd = [np.bincount((s & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES) & 1 for s in sets]
+            bits = [np.packbits(row.astype(bool)).view(np.int64) for row in odd]
+            columns = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "bits"])
+
+    return outline
+
+
+def _likely(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose outlines allow a link: all that are links, and some more.
+
+    Sets of sizes whose sum is S and that differ in D shingles are linked if
+    (100 + percent) * D <= (100 - percent) * S.
+    """
+    a, b = (outlines.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, one: n + one)
+    near = pairs.join(a, "a").join(b, "b").filter((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    return near.select("a", "b").distinct()
+
+
 def _confirm(width: int, percent: int):
     def confirm(batches):
         for batch in slices(batches):
@@ -246,9 +276,11 @@ def near_duplicates(
     candidates = members.select("id").distinct()
     # no semi-join: Spark would make that before the filter
     texts = cut_lineage(_perhaps(docs, candidates, "id").join(candidates, "id"))
+    outlines = cut_lineage(texts.mapInArrow(trimmed(_outlines(width)), f"id {kind}, n bigint, bits array<bigint>"))
     sizes = members.groupBy("id").agg(F.max("n").alias("n"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = cut_lineage(_likely(pairs, outlines, percent))
         own = _perhaps(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
         a, b = (own.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
         full = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")

@@ -153,3 +153,41 @@ def test_texts_without_candidates_stay_where_they_are(spark, monkeypatch):
     assert all(met == wanted for _, _, met, wanted in moved)  # nothing is lost
     assert [n for columns, n, *_ in moved if columns == ["id", "text"]][0] < 100  # of 2,020 texts
     assert [n for columns, n, *_ in moved if "key" in columns][0] < 5_000  # of 64,640 rows of buckets
+
+
+def test_texts_move_only_for_pairs_that_may_be_links(spark, monkeypatch):
+    """A family too unlike to link gives many pairs; their outlines tell nearly all of them, and no link, without a text."""
+    from gleanery.llm import near_duplicates as module
+
+    moved, perhaps = [], module._perhaps
+
+    def counted(rows, keys, column):
+        if rows.columns == ["id", "text"]:
+            moved.append(keys.count())
+        return perhaps(rows, keys, column)
+
+    monkeypatch.setattr(module, "_perhaps", counted)
+    passage = " ".join(f"p{i}" for i in range(64))
+    rows = [(i, f"{passage} " + " ".join(f"u{i}x{j}" for j in range(30))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 300, 50)]
+    found = module.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows)
+    assert sum(moved[1:]) < len(rows)  # the first call keeps the texts of candidates; two ids for each pair
+
+
+def test_outlines_of_links_always_pass(spark):
+    from gleanery.llm.near_duplicates import _likely, _outlines
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        base = [f"g{i}w{j}" for j in range(rng.choice([3, 20, 90, 400, 3_000]))]
+        rows.append((2 * i, " ".join(base)))
+        rows.append((2 * i + 1, " ".join(base[: len(base) - rng.randrange(len(base) // 3)])))
+    sets = {i: shingles(t) for i, t in rows}
+    links = {(2 * i, 2 * i + 1) for i in range(60) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 75 * len(sets[2 * i] | sets[2 * i + 1])}
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    outlines = df.mapInArrow(_outlines(5), "id bigint, n bigint, bits array<bigint>")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(60)] + [(2 * i, 2 * i + 2) for i in range(59)], "a bigint, b bigint")
+    found = {(r.a, r.b) for r in _likely(pairs, outlines, 75).collect()}
+    assert links and links <= found and len(found) < 119
