@@ -10,6 +10,7 @@ file, and any store that Spark writes to will do.
 """
 
 import bisect
+import gc
 import json
 import os
 import re
@@ -18,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ BLOCK_BITS = 1 << 16
 SHARD_IDS = 1 << 21
 #: Words remembered by an encoding task, twice at most.
 REMEMBERED = 600_000
+#: Characters of texts whose words are looked up together.
+STEP_CHARACTERS = 1 << 22
 END = 0
 
 
@@ -63,7 +67,7 @@ class WaveletMatrix:
             counts = [int(np.count_nonzero(one[start : start + BLOCK_BITS])) for start in range(0, n, BLOCK_BITS)]
             ranks.append(np.cumsum([0, *counts])[:-1] if n else np.zeros(0, np.int64))
             zeros.append(n - sum(counts))
-            ids = np.concatenate([ids[~one], ids[one]])
+            ids = np.concatenate([ids.take(np.flatnonzero(~one)), ids.take(np.flatnonzero(one))])
         head = json.dumps({"n": n, "bits": bits, "zeros": zeros}).encode()
         directory = np.concatenate(ranks).astype("<u4") if n else np.zeros(0, "<u4")
         ends = np.cumsum([len(p) for p in packed]).astype("<u4")
@@ -144,13 +148,14 @@ class WaveletMatrix:
             raw = [zlib.decompress(self.image[self.ends[k] : self.ends[k + 1]]) for k in range(plane * self.blocks, (plane + 1) * self.blocks)]
             one = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8))[: self.n].astype(bool)
             before = np.empty_like(values)
-            before[~one] = values[: self.zeros[plane]]
-            before[one] = values[self.zeros[plane] :] | np.uint32(1 << (self.bits - 1 - plane))
+            before[np.flatnonzero(~one)] = values[: self.zeros[plane]]
+            before[np.flatnonzero(one)] = values[self.zeros[plane] :] | np.uint32(1 << (self.bits - 1 - plane))
             values = before
         return values
 
 
-_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?])(?:\n([^\W\d_]+)([.,;:!?])?)?")
+MARKS = "!#$%&*+,./:;=?@-"
+_MARKED = re.compile(rf"([^\W\d_]+)([{MARKS}]*)(?:\n([^\W\d_]+)([{MARKS}]*))?")
 _BEFORE, _AFTER = re.compile(r"[^\S ] "), re.compile(r" [^\S ]")
 
 
@@ -178,6 +183,25 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+def _byte_characters() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible in Latin-1, else one from 256 on."""
+    visible = np.zeros(256, bool)
+    visible[[*range(33, 127), *range(161, 173), *range(174, 256)]] = True
+    out = np.arange(256, dtype="<u2")
+    out[~visible] = 256 + np.arange(np.count_nonzero(~visible))
+    return out
+
+
+def _gathered(pieces: list[bytes], at: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pieces at these places, one after another, and where those of each place end."""
+    size = np.array([len(p) for p in pieces], np.int64) // kind().itemsize
+    first, own = np.cumsum(size) - size, size[at]
+    ends = np.cumsum(own)
+    places = np.repeat(first[at] - (ends - own), own)
+    places += np.arange(len(places))
+    return np.frombuffer(b"".join(pieces), kind)[places], ends
+
+
 class Encoder:
     """Ids of texts by the tokenizers library; the ids of words met lately are remembered.
 
@@ -186,9 +210,14 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same for words of letters only, each a piece of its own, given in the characters of their bytes.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.characters = _byte_characters()
+        self.byte_level = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
         #: Control strings, each one id wherever it stands; a text that holds one is encoded as a whole.
         self.control = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
         self.kind = np.uint32 if self.tokenizer.get_vocab_size() > 1 << 16 else np.uint16
@@ -212,16 +241,21 @@ class Encoder:
 
     @staticmethod
     def _parts(key: str) -> list[str] | None:
-        """Keys whose ids together are those of a word with a mark at its end, and of two such words around a line feed.
+        """Keys whose ids together are those of a word with marks at its end, and of two words around a line feed.
 
         The pre-tokenizer ends a run of letters before a mark, a run of marks before
         white space, and a single line feed before a letter.
         """
+        word = key.rstrip(MARKS)
+        if word.isalpha():  # most keys, told without the expression
+            return None if len(word) == len(key) else [word, " " + key[len(word) :]]
         lead, body = (" ", key[1:]) if key[:1] == " " else ("", key)
         m = _MARKED.fullmatch(body)
-        if m is None or not m[1].isalpha() or not (m[3] or "a").isalpha():
+        if m is None or not (m[2] or m[3]) or not m[1].isalpha() or not (m[3] or "a").isalpha():
             return None
-        out = [lead + m[1], " " + m[2]]
+        out = [lead + m[1]]
+        if m[2]:
+            out.append(" " + m[2])
         if m[3]:
             out += [" \n", " " + m[3]]
             if m[4]:
@@ -249,20 +283,33 @@ class Encoder:
 
     def _ask(self, words: list[str]) -> None:
         """Encodes words in lines of many: a line feed before a space is a piece of its own, so it separates their ids."""
-        width, plain = self.kind().itemsize, []
+        plain, letters = [], []
         if self.line_feed is not None:
-            plain = [key for key in words if key[:1] != " " and "\n" not in key]
-        chosen = set(plain)
+            letters = [key for key in words if self.byte_level and (key[1:] if key[:1] == " " else key).isalpha()]
+            rest = set(words).difference(letters)
+            plain = [key for key in rest if key[:1] != " " and "\n" not in key]
+        chosen = {*plain, *letters}
         single = [key for key in words if key not in chosen]
-        lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for line, found in zip(lines, self.tokenizer.encode_batch_fast([" " + "\n ".join(line) for line in lines], add_special_tokens=False)):
+        self._lines(plain, self.tokenizer, lambda line: " " + "\n ".join(line))
+        self._lines(letters, self.letters, self._spelled)
+        for key, found in zip(single, self.tokenizer.encode_batch_fast([self._chunk(k) for k in single], add_special_tokens=False)):
+            self.recent[key] = np.array(found.ids, self.kind).tobytes()
+
+    def _lines(self, words: list[str], tokenizer, joined) -> None:
+        width = self.kind().itemsize
+        lines = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for line, found in zip(lines, tokenizer.encode_batch_fast([joined(line) for line in lines], add_special_tokens=False)):
             ids = np.array(found.ids, self.kind)
             raw, start = ids.tobytes(), 0
             for word, end in zip(line, [*np.flatnonzero(ids == self.line_feed).tolist(), len(ids)]):
                 self.recent[word] = raw[start * width : end * width]
                 start = end + 1
-        for key, found in zip(single, self.tokenizer.encode_batch_fast([self._chunk(k) for k in single], add_special_tokens=False)):
-            self.recent[key] = np.array(found.ids, self.kind).tobytes()
+
+    def _spelled(self, words: list[str]) -> str:
+        """The chunks of words, and line feeds between them, in the characters of their bytes, with white space between all."""
+        raw = np.frombuffer("\n".join(map(self._chunk, words)).encode(), np.uint8)
+        feed = chr(self.characters[10])
+        return self.characters[raw].tobytes().decode("utf-16-le").replace(feed, f" {feed} ")
 
     def _whole(self, text: str) -> bool:
         return any(control in text for control in self.control)
@@ -275,20 +322,61 @@ class Encoder:
             for i in whole:
                 out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.kind)
             return [out[i] for i in range(len(texts))]
-        keys = [self._keys(text) if text else [] for text in texts]
-        known = self.recent
-        missing = []
-        for key in set().union(*keys).difference(known):
-            if key in self.older:
-                known[key] = self.older[key]
-            else:
-                missing.append(key)
-        self._learn(missing)
-        out = [np.frombuffer(b"".join([known[k] for k in own]), self.kind) for own in keys]
-        if len(known) > REMEMBERED:
-            self.older, self.recent = known, {}
+        collecting = gc.isenabled()
+        gc.disable()  # hundreds of thousands of new words set off the collector again and again, and none is in a cycle
+        try:
+            return self._plain(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without control strings."""
+        out = [np.zeros(0, self.kind)] * len(texts)
+        odd = {i for i, text in enumerate(texts) if text and _odd_spaces(text)}
+        some = [i for i, text in enumerate(texts) if text and i not in odd]
+        if some:
+            # words as numbers: each is looked up once
+            split = pc.split_pattern(pa.array([texts[i] for i in some], pa.large_string()), " ")
+            words = split.values.dictionary_encode()
+            keys, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy().astype(np.int64)
+            bounds = split.offsets.to_numpy()
+            first = [f" {texts[i].split(' ', 1)[0]}" for i in some]
+            at[bounds[:-1]] = len(keys) + np.arange(len(some))
+            ids, ends = _gathered(self._known(keys + first), at, self.kind)
+            for i, found in zip(some, np.split(ids, ends[bounds[1:-1] - 1])):
+                out[i] = found
+        for i in odd:
+            out[i] = np.frombuffer(b"".join(self._known(self._keys(texts[i]))), self.kind)
+        if len(self.recent) > REMEMBERED:
+            self.older, self.recent = self.recent, {}
         return out
 
+    def _known(self, keys: list[str]) -> list[bytes]:
+        """The ids of keys; those that are new are learned first."""
+        known = self.recent
+        found = list(map(known.get, keys))
+        empty = [i for i, ids in enumerate(found) if ids is None]
+        if empty:
+            missing = []
+            for key in {keys[i] for i in empty}:
+                if key in self.older:
+                    known[key] = self.older[key]
+                else:
+                    missing.append(key)
+            self._learn(missing)
+            for i in empty:
+                found[i] = known[keys[i]]
+        return found
+
+
+def _steps(texts: list[str]) -> list[tuple[int, int]]:
+    """Runs of texts of about STEP_CHARACTERS; a longer text ends its run."""
+    ends = np.cumsum([len(text) for text in texts], dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // STEP_CHARACTERS)) + 2
+    bounds = sorted({0, *cuts.tolist(), len(texts)})
+    return [(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
+
 
 def _shards(path: str, bits: int, shard_ids: int, id_type: pa.DataType):
     def write(batches):
@@ -306,8 +394,8 @@ def _shards(path: str, bits: int, shard_ids: int, id_type: pa.DataType):
 
         for batch in slices(batches):
             names, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            for start in range(0, len(texts), 256):
-                for name, found in zip(names[start : start + 256], encoder.encode(texts[start : start + 256])):
+            for start, end in _steps(texts):
+                for name, found in zip(names[start:end], encoder.encode(texts[start:end])):
                     ids.append(name)
                     lengths.append(len(found) + 1)
                     gathered.append(np.append(found, np.array([END], found.dtype)))

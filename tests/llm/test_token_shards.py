@@ -76,6 +76,27 @@ def test_encoding_with_remembered_words_is_encoding(words):
     assert encoder().encode([text, text])[1].tolist() == encoded([text])[0][:-1]
 
 
+def test_every_word_is_looked_up_once_and_the_library_gets_few():
+    """Marks, line feeds and first words are put together from words; each step asks for a word once."""
+    fresh, asked, known = Encoder(BYTE_BPE), [], []
+    ask, look = fresh._ask, fresh._known
+    fresh._ask = lambda words: (asked.extend(words), ask(words))[1]
+    fresh._known = lambda keys: (known.extend(keys), look(keys))[1]
+    words = ["abc", "Été", "straße", "日本"]
+    marked = [f"{a}{m}" for a in words for m in ("", ".", "!!", "$$$", ".***")]
+    texts = [" ".join(marked + [f"{a}\n{b}" for a in marked for b in marked])] * 5
+    found = fresh.encode(texts)
+    assert [f.tolist() for f in found] == [ids[:-1] for ids in encoded(texts)]
+    assert len(known) <= len(marked) * (len(marked) + 1) + 10  # 2,100 words in all
+    assert len(asked) < 40  # 420 distinct ones
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abÉß日ªʼⅷ²'!$*.-_|\n\x1c\x85 ", max_size=12), max_size=5))
+def test_encoding_of_marks_and_letters_is_encoding(texts):
+    assert [f.tolist() for f in encoder().encode(texts)] == [ids[:-1] for ids in encoded(texts)]
+
+
 def test_documents_of_every_kind(spark):
     rows = [(1, None), (2, ""), (3, "a  b \n c\n\n"), (4, "<|endoftext|>"), (5, "word " * 30_000), (6, "日本語 'twas  "), (7, "x" * 5_000), (8, "a <|endoftext|> b<|endoftext|>")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, ids string").repartition(3)
