@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -92,3 +93,32 @@ def test_texts_and_words_are_encoded_where_they_lie(spark, pieces):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan
     assert {r.doc_id: r.ids for r in found.collect()} == {i: brute(f"word{i} and some more", pieces) for i in range(40)}
+
+
+def test_every_distinct_word_goes_through_the_lattice(spark, pieces, monkeypatch):
+    from gleanery.llm import pieces as module
+
+    seen, edges_of = [], module.lattice_edges
+
+    def watched(words, table):
+        seen.extend(r.word for r in words.select("word").collect())
+        return edges_of(words, table)
+
+    monkeypatch.setattr(module, "lattice_edges", watched)
+    texts = [f"word{i} other,\nNext{i}" for i in range(30)] + ["y" * 100, "word1  two", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    found = {r.doc_id: r.ids for r in encode_pieces(df, pieces, frequent_words=5, block_bytes=100).collect()}
+    assert found == {i: brute(t or "", pieces) for i, t in enumerate(texts)}
+    pattern = re.compile(pieces.pattern)
+    assert sorted(seen) == sorted({w for text in texts for part in module.marked(text or "") for w in module.words_of(part, pattern)})
+
+
+def test_words_end_only_where_no_piece_goes_across(pieces):
+    from gleanery.llm.pieces import marked, words_of
+
+    pattern = re.compile(pieces.pattern)
+    pairs = {p[i : i + 2] for p, _, _ in pieces.table for i in range(len(p) - 1)}
+    for text in ("a.b, (c)\n\nD's x1.5 é.\nThe  end *** [e] http://x.y/z", "▁m ▁", "日本。語 №5 don't.", " "):
+        words = [w for part in marked(text) for w in words_of(part, pattern)]
+        assert "".join(words) == MARK + text.replace(" ", MARK)
+        assert not [(a, b) for a, b in zip(words, words[1:]) if a[-1] + b[0] in pairs]
