@@ -80,3 +80,19 @@ def test_stages_take_rows_of_every_kind(spark, name, stage):
     }[name]
     assert ids == sorted(expected, key=repr)
     assert stage(spark, df.limit(0), SF_DIR).collect() == []
+
+
+def test_the_last_stage_takes_every_distinct_word_through_the_lattice(spark, monkeypatch):
+    from gleanery.llm import pieces
+
+    seen, edges_of = [], pieces.lattice_edges
+
+    def watched(words, table):
+        seen.extend(r.word for r in words.select("word").collect())
+        return edges_of(words, table)
+
+    monkeypatch.setattr(pieces, "lattice_edges", watched)
+    monkeypatch.setattr(pieces, "SAMPLE_BYTES", 1)  # hardly a text is in the sample of frequent words
+    df = spark.createDataFrame([(i, f"rareword{chr(97 + i)} and more", "en") for i in range(20)], "doc_id bigint, text string, lang string")
+    assert all(r.round_trip for r in corpus_pipeline.piece_ids(spark, df, "").collect())
+    assert {f"▁rareword{chr(97 + i)}" for i in range(20)} <= set(seen)
